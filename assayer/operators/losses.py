@@ -68,8 +68,8 @@ def paired_losses(
     scored = score(base, width, prefix="base_").select(*base.columns, "base_nll")
     joined = scored.join(alt, ["id", "qid"], "left")
     paired = F.col("view_logits").isNotNull()
-    swapped = joined.withColumns({"__first": F.col("logits"), "logits": F.coalesce("view_logits", "logits")})
-    both = score(swapped, width, prefix="view_").withColumn("logits", F.col("__first"))
+    swapped = joined.withColumns({"base_logits": F.col("logits"), "logits": F.coalesce("view_logits", "logits")})
+    both = score(swapped, width, prefix="view_").withColumn("logits", F.col("base_logits"))
     eligible = paired & (F.col("scope") == SCOPE_ALL)
     if "readouts" in base.columns and "readouts" in view.columns:
         aux = F.when(eligible, readout_alignment(F.col("readouts"), F.col("view_readouts")))
@@ -77,7 +77,7 @@ def paired_losses(
         aux = F.when(
             eligible, F.raise_error("full readouts are required for this scope").cast("double")
         )
-    return both.withColumns(
+    return both.drop("base_logits").withColumns(
         {
             "loss": F.when(paired, (F.col("base_nll") + F.col("view_nll")) / 2).otherwise(
                 F.col("base_nll")

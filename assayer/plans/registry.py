@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from assayer.plans import metric_queries
+from assayer.plans import answer_queries, metric_queries
 
-MODULES = (metric_queries,)
+MODULES = (metric_queries, answer_queries)
 
 
 def queries() -> dict:
