@@ -43,74 +43,77 @@ def finite(text: Column) -> Column:
     return ~F.exists(floats, lambda x: F.abs(x.cast("double")) == F.lit(float("inf")))
 
 
-def kind(value: Column) -> Column:
-    """null, string, boolean, integer, float, array or object, from a VARIANT."""
-    schema = F.schema_of_variant(value)
+MEMBER = "array<struct<key:string,kind:string,json:string,text:string>>"
+ITEM = "array<struct<kind:string,json:string,text:string>>"
+
+
+def json_kind(text: Column) -> Column:
+    """null, string, boolean, integer, float, array or object, from the start of a JSON text."""
+    first = F.substring(text, 1, 1)
     return (
-        F.when(value.isNull() | (schema == "VOID"), "null")
-        .when(schema == "STRING", "string")
-        .when(schema == "BOOLEAN", "boolean")
-        .when(schema == "BIGINT", "integer")
-        .when(schema.startswith("DECIMAL") & schema.endswith(",0)"), "integer")
-        .when(schema.startswith("DECIMAL") | schema.isin("DOUBLE", "FLOAT"), "float")
-        .when(schema.startswith("ARRAY"), "array")
-        .when(schema.startswith("OBJECT"), "object")
-        .otherwise("other")
+        F.when(first == '"', "string")
+        .when(first == "{", "object")
+        .when(first == "[", "array")
+        .when(first == "n", "null")
+        .when(first.isin("t", "f"), "boolean")
+        .when(text.rlike("[.eE]"), "float")
+        .otherwise("integer")
     )
 
 
+def kind(value: Column) -> Column:
+    """Kind of a VARIANT."""
+    return F.coalesce(let(F.to_json(value), lambda t: F.when(t.isNotNull(), json_kind(t))), F.lit("null"))
+
+
 def quote(text: Column) -> Column:
     """A string as a JSON literal."""
     wrapped = F.to_json(F.array(text))
     return F.substring(wrapped, F.lit(2), F.length(wrapped) - 2)
 
 
+def _member(raw: Column, value: Column) -> list[Column]:
+    """kind, json and text of one value. Nested values keep the wording of the document."""
+    plain = F.coalesce(F.to_json(value), F.lit("null"))
+
+    def named(t: Column) -> Column:
+        nested = F.substring(t, 1, 1).isin("{", "[")
+        return F.struct(
+            json_kind(t).alias("kind"), F.when(nested, raw).otherwise(t).alias("json"), raw.alias("text")
+        )
+
+    return let(plain, named)
+
+
 def entries(text: Column) -> Column:
-    """The members of a JSON object in document order: ARRAY<STRUCT<key, kind, json>>.
+    """The members of a JSON object in document order: ARRAY<STRUCT<key, kind, json, text>>.
 
-    ``json`` is the member's compact text; nested objects keep their key order.
+    ``json`` is the member's compact text (nested objects keep their key order), ``text`` the same
+    without quotes for a string.
     """
     raw = F.map_entries(F.from_json(text, "map<string,string>"))
     typed = F.map_entries(F.from_json(text, "map<string,variant>"))
-    return F.zip_with(
-        raw,
-        typed,
-        lambda r, t: F.struct(
-            r["key"].alias("key"),
-            kind(t["value"]).alias("kind"),
-            _text(r["value"], t["value"]).alias("json"),
-        ),
-    )
 
+    def member_of(r: Column, t: Column) -> Column:
+        return let(
+            _member(r["value"], t["value"]),
+            lambda m: F.struct(r["key"].alias("key"), m["kind"].alias("kind"), m["json"].alias("json"),
+                               m["text"].alias("text")),
+        )
 
-def _text(raw: Column, value: Column) -> Column:
-    k = kind(value)
-    return (
-        F.when(k == "string", quote(raw))
-        .when(k == "null", F.lit("null"))
-        .otherwise(raw)
-    )
+    return F.zip_with(raw, typed, member_of).cast(MEMBER)
 
 
 def items(text: Column) -> Column:
-    """The elements of a JSON array: ARRAY<STRUCT<kind, json>>."""
+    """The elements of a JSON array: ARRAY<STRUCT<kind, json, text>>."""
     raw = F.from_json(text, "array<string>")
     typed = F.from_json(text, "array<variant>")
-    return F.zip_with(
-        raw,
-        typed,
-        lambda r, t: F.struct(kind(t).alias("kind"), _text(r, t).alias("json")),
-    )
+    return F.zip_with(raw, typed, _member).cast(ITEM)
 
 
 def text_kind(text: Column) -> Column:
-    """Kind of a JSON text; NULL text is "absent"."""
-    return F.when(text.isNull(), "absent").otherwise(kind(F.try_parse_json(text)))
-
-
-def unquote(text: Column) -> Column:
-    """The value of a JSON string literal."""
-    return F.get(F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>"), F.lit(0))
+    """Kind of a strict JSON text; NULL text is "absent"."""
+    return F.when(text.isNull(), "absent").otherwise(json_kind(F.ltrim(text, F.lit(" \t\r\n"))))
 
 
 def member(members: Column, name: str) -> Column:

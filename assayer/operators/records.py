@@ -21,8 +21,8 @@ def _keys(members: Column) -> Column:
 
 def _string_member(members: Column, name: str) -> Column:
     """The member's value when it is a string, else NULL."""
-    found = F.get(F.filter(members, lambda e: e["key"] == name), F.lit(0))
-    return F.when(found["kind"] == "string", J.unquote(found["json"]))
+    found = F.filter(members, lambda e: (e["key"] == name) & (e["kind"] == "string"))
+    return F.get(found, F.lit(0))["text"]
 
 
 def _kind_of(members: Column, name: str) -> Column:
@@ -89,11 +89,13 @@ def question(
 
 def _parse_question(e: Column) -> Column:
     def with_members(m: Column) -> Column:
-        kind = _string_member(m, "type")
         ckind = _kind_of(m, "criteria")
         text = J.member(m, "criteria")
 
         def with_criteria(c: Column) -> Column:
+            return J.let(_string_member(m, "type"), lambda kind: typed(kind, c))
+
+        def typed(kind: Column, c: Column) -> Column:
             return question(
                 e["key"], kind, F.transform(c, lambda x: x["key"]),
                 F.transform(c, lambda x: x["json"]), J.member(m, "instructions"),
@@ -102,14 +104,7 @@ def _parse_question(e: Column) -> Column:
                 extra=_keys(m),
             )
 
-        as_list = F.transform(
-            J.items(text),
-            lambda x, i: F.struct(i.cast("string").alias("key"), x["kind"].alias("kind"),
-                                  x["json"].alias("json")),
-        )
-        empty = F.array().cast("array<struct<key:string,kind:string,json:string>>")
-        parts = F.when(ckind == "object", J.entries(text)).when(ckind == "array", as_list)
-        return J.let(F.coalesce(parts, empty), with_criteria)
+        return J.let(_parts(text, ckind), with_criteria)
 
     return J.let(
         F.coalesce(F.when(e["kind"] == "object", J.entries(e["json"])), _no_members()), with_members
@@ -117,7 +112,18 @@ def _parse_question(e: Column) -> Column:
 
 
 def _no_members() -> Column:
-    return F.array().cast("array<struct<key:string,kind:string,json:string>>")
+    return F.array().cast(J.MEMBER)
+
+
+def _parts(text: Column, kind: Column) -> Column:
+    """Members of an object, or elements of an array with their index as key."""
+    listed = F.transform(
+        J.items(text),
+        lambda x, i: F.struct(i.cast("string").alias("key"), x["kind"].alias("kind"),
+                              x["json"].alias("json"), x["text"].alias("text")),
+    )
+    found = F.when(kind == "object", J.entries(text)).when(kind == "array", listed)
+    return F.coalesce(found, _no_members())
 
 
 def parse_questions(text: Column, kind: Column) -> Column:
@@ -190,12 +196,6 @@ def _parse_target(e: Column) -> Column:
     def with_members(m: Column) -> Column:
         vkind = _kind_of(m, "values")
         text = J.member(m, "values")
-        listed = F.transform(
-            J.items(text),
-            lambda x, i: F.struct(i.cast("string").alias("key"), x["kind"].alias("kind"),
-                                  x["json"].alias("json")),
-        )
-        parts = F.when(vkind == "object", J.entries(text)).when(vkind == "array", listed)
 
         def with_values(v: Column) -> Column:
             return target(
@@ -209,7 +209,7 @@ def _parse_target(e: Column) -> Column:
                 allowed=F.when(
                     vkind == "array",
                     F.transform(
-                        v, lambda x: F.when(x["kind"] == "string", J.unquote(x["json"]))
+                        v, lambda x: F.when(x["kind"] == "string", x["text"])
                     ),
                 ),
                 fields=_keys(m), is_object=e["kind"] == "object",
@@ -217,7 +217,7 @@ def _parse_target(e: Column) -> Column:
                 values_kind=vkind, value_kinds=F.transform(v, lambda x: x["kind"]),
             )
 
-        return J.let(F.coalesce(parts, _no_members()), with_values)
+        return J.let(_parts(text, vkind), with_values)
 
     return J.let(
         F.coalesce(F.when(e["kind"] == "object", J.entries(e["json"])), _no_members()), with_members
@@ -234,7 +234,7 @@ def parse_request(text: Column, kind: Column) -> Column:
             ikind == "array",
             F.transform(
                 J.items(J.member(m, "images")),
-                lambda x: F.when(x["kind"] == "string", J.unquote(x["json"])),
+                lambda x: F.when(x["kind"] == "string", x["text"]),
             ),
         )
         return F.struct(

@@ -311,7 +311,7 @@ l AS (SELECT n.id, 1.0 + label % 2 AS w, CASE WHEN n.id % 5 <> 0 THEN (b + v) /
 
 def _fit_sql(rows: str, levels: int = 7) -> str:
     """Bisection by refined grids: keep the last inverse temperature with a falling loss."""
-    parts = ["fit0 AS (SELECT key, 0.01 AS lo, 100.0 AS hi FROM (SELECT DISTINCT key FROM f))"]
+    parts = ["fit0 AS (SELECT key, 0.0001 AS lo, 100.0 AS hi FROM (SELECT DISTINCT key FROM f))"]
     for i in range(levels):
         parts.append(
             f"""g{i} AS (SELECT b.key, b.lo + (b.hi - b.lo) * j / 64.0 AS beta, (b.hi - b.lo) / 64.0 AS step

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from assayer.plans import answer_queries, metric_queries
+from assayer.plans import answer_queries, metric_queries, record_queries
 
-MODULES = (metric_queries, answer_queries)
+MODULES = (metric_queries, answer_queries, record_queries)
 
 
 def queries() -> dict:
