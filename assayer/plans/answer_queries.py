@@ -248,10 +248,10 @@ def temperature_fit(spark, folder):
 
 
 def temperature_fit_by_count(spark, folder):
-    """Scores, choices and true/false questions fitted together, one entry per outcome count."""
+    """Choices and true/false questions fitted together, one entry per outcome count."""
     cut = lambda d: with_target_vectors(d).select(
         "type", "kind", "keys", "logits", "t", F.lit(1.0).alias("weight"))
-    rows = cut(X.choice10(spark, folder)).unionByName(cut(X.score5(spark, folder))).unionByName(
+    rows = cut(X.choice10(spark, folder)).unionByName(
         cut(X.noul2(spark, folder, soft=True).withColumn("logits", F.reverse("logits"))))
     fit = C.fit_temperatures(rows, by_count=True, width=10)
     return fit.select("key", F.round("temperature", 4).alias("temperature"), "questions")
@@ -331,15 +331,9 @@ _FIT_CHOICE = _fit_sql(
 _FIT_ALL = _fit_sql(
     "SELECT 'choice:10' AS key, 'c' || id AS id, k, z, max(z) OVER (PARTITION BY id) AS zmax, "
     "CASE WHEN k = label THEN 1.0 ELSE 0.0 END AS t FROM z0 UNION ALL "
-    "SELECT 'score:5', 's' || id, k, z, max(z) OVER (PARTITION BY id), "
-    "CASE WHEN k = level THEN 1.0 ELSE 0.0 END FROM b5 UNION ALL "
     "SELECT 'noul:2', 'n' || id || qid, k, CASE WHEN k = 1 THEN x ELSE 0 END, greatest(x, 0), "
     "CASE WHEN k = 0 THEN pt ELSE 1 - pt END FROM q2 CROSS JOIN range(0, 2) r(k)"
 )
-_B5 = """b5 AS (SELECT o_orderkey AS id, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) - 1 AS level, k,
-  (o_totalprice / 100000.0 - o_orderkey % 5) * (k - 2) / 2.0 - (o_orderkey + k) % 3 AS z
-  FROM orders CROSS JOIN range(0, 5) r(k))"""
-
 ORACLE = {
     "answers_choice": f"""WITH {CHOICE10.replace('4 * CAST', '1 / 0.7 * 4 * CAST')}, {softmax()}
 SELECT id, CAST(any_value(mode) AS VARCHAR) AS choice, {r6('greatest(0, (any_value(top) - 0.1) / 0.9)')} AS confidence,
@@ -413,7 +407,7 @@ n AS (SELECT f.id, ln(sum(exp(z))) - sum(t * z) AS b, ln(sum(exp(z * lo))) - lo
   FROM f JOIN fit7 USING (key) GROUP BY f.id, lo)
 SELECT 'choice' AS key, round((SELECT 1 / lo FROM fit7), 4) AS temperature, count(*) AS questions,
   {r6('avg(b)')} AS nll_before, {r6('avg(a)')} AS nll_after FROM n""",
-    "temperature_fit_by_count": f"""WITH {CHOICE10}, {_B5}, {_noul_rows(True).replace('b AS (', 'bn AS (', 1).replace('FROM b)', 'FROM bn)').replace('c AS (SELECT *, y', 'cn AS (SELECT *, y').replace('dbrier FROM c)', 'dbrier FROM cn)').replace('q AS (', 'q2 AS (')},
+    "temperature_fit_by_count": f"""WITH {CHOICE10}, {_noul_rows(True).replace('b AS (', 'bn AS (', 1).replace('FROM b)', 'FROM bn)').replace('c AS (SELECT *, y', 'cn AS (SELECT *, y').replace('dbrier FROM c)', 'dbrier FROM cn)').replace('q AS (', 'q2 AS (')},
 {_FIT_ALL}
 SELECT key, round(1 / lo, 4) AS temperature, (SELECT count(DISTINCT id) FROM f WHERE f.key = fit7.key) AS questions FROM fit7""",
 }

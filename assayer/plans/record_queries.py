@@ -240,7 +240,7 @@ def _record_texts(spark, folder):
         F.lit('},"weight":'), F.when(hit("bool_number"), "true").when(hit("zero_weight"), "0").otherwise("1.5"),
         F.lit(',"question_weights":{"kind":2}}'), pick("trailing", " {}", ""),
     )
-    return rows.select("event_id", "d", text.alias("value"))
+    return rows.select("event_id", "d", V.evaluated_once(text).alias("value"))
 
 
 def strict_json(spark, folder):
@@ -313,7 +313,7 @@ def _with_views(spark, folder):
         F.lit(f'","task_id":"t","request":{{"state":"s","questions":{{"q":{base}}}}},"targets":{{"q":'
               '{"kind":"class","value":"'), F.col("label"), F.lit('"}},"views":['), view("a"), F.lit(","), second,
         F.lit(',7]}'))
-    return R.parse_records(rows.select("vid", text.alias("value")), "value")
+    return R.parse_records(rows.select("vid", V.evaluated_once(text).alias("value")), "value")
 
 
 def view_audit(spark, folder):
