@@ -392,11 +392,13 @@ def question_json(q: Column) -> Column:
     )
 
 
-def request_json(r: Column) -> Column:
+def request_json(r: Column, references: Column | None = None) -> Column:
+    """Compact JSON of a request struct; ``references`` are JSON texts that stand for its images."""
     questions = J.object_from(
         F.transform(r["questions"], lambda q: q["qid"]), F.transform(r["questions"], question_json)
     )
-    images = F.when(r["images"].isNotNull(), J.array_of(F.transform(r["images"], J.quote)))
+    listed = F.transform(r["images"], J.quote) if references is None else references
+    images = F.when(r["images"].isNotNull(), J.array_of(listed))
     return J.object_of(
         [
             ("model", F.when(r["model"].isNotNull(), J.quote(r["model"]))),
@@ -424,7 +426,7 @@ def target_json(t: Column) -> Column:
     )
 
 
-def view_json(v: Column) -> Column:
+def view_json(v: Column, references: Column | None = None) -> Column:
     eq = J.object_of(
         [
             ("verified", v["verified"].cast("string")), ("relation", J.quote(v["relation"])),
@@ -433,12 +435,13 @@ def view_json(v: Column) -> Column:
         ]
     )
     return J.object_of(
-        [("view_id", J.quote(v["view_id"])), ("request", request_json(v["request"])), ("equivalence", eq)]
+        [("view_id", J.quote(v["view_id"])), ("request", request_json(v["request"], references)), ("equivalence", eq)]
     )
 
 
-def record_json(df: DataFrame) -> Column:
-    """Compact JSON of a typed record, in the field order of the format."""
+def record_json(df: DataFrame, references: Column | None = None, view_references=None) -> Column:
+    """Compact JSON of a typed record, in the field order of the format. ``references`` and
+    ``view_references(view, index)`` replace the images of the base request and of each view."""
     targets = J.object_from(
         F.transform("targets", lambda t: t["qid"]), F.transform("targets", target_json)
     )
@@ -446,7 +449,7 @@ def record_json(df: DataFrame) -> Column:
         ("schema_version", J.quote(F.col("schema_version"))),
         ("id", J.quote(F.col("id"))),
         ("task_id", J.quote(F.col("task_id"))),
-        ("request", request_json(F.col("request"))),
+        ("request", request_json(F.col("request"), references)),
         ("targets", targets),
         ("metadata", F.col("metadata_json")),
     ]
@@ -459,7 +462,10 @@ def record_json(df: DataFrame) -> Column:
         )
         pairs.append(("question_weights", F.when(F.size("question_weights") > 0, weights)))
     if "views" in df.columns:
-        pairs.append(("views", F.when(F.col("views").isNotNull(), J.array_of(F.transform("views", view_json)))))
+        every = F.transform(
+            "views", lambda v, i: view_json(v, view_references(v, i) if view_references else None)
+        )
+        pairs.append(("views", F.when(F.col("views").isNotNull(), J.array_of(every))))
     return J.object_of(pairs)
 
 

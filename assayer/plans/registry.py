@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from assayer.plans import answer_queries, metric_queries, plan_queries, record_queries
+from assayer.plans import answer_queries, io_queries, metric_queries, plan_queries, record_queries
 
-MODULES = (metric_queries, answer_queries, record_queries, plan_queries)
+MODULES = (metric_queries, answer_queries, record_queries, plan_queries, io_queries)
 
 
 def queries() -> dict:
