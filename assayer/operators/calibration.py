@@ -13,7 +13,7 @@ from assayer.functions.vectors import Arrays, Lanes
 
 MAX_STEPS = 60
 STEP_LIMIT = 1.0
-TOLERANCE = 1e-12
+TOLERANCE = 1e-9
 
 
 def calibration_rows(df: DataFrame, *, by_count: bool = False) -> DataFrame:

@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 
 from assayer.constants import ALLOWED_SET, BERNOULLI, BOOLEAN, CHOICE, CLASS, DISTRIBUTION, SCORE
 
+# Tables whose queries compute much per row.
+SPREAD = ("lineitem", "orders", "events", "documents", "embeddings", "customer")
 DIGITS = [str(i) for i in range(10)]
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A driver table. A file of a single row group arrives as one split; then the rows are spread
+    over the cores before any arithmetic. A table with enough splits is left alone."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in SPREAD and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def names(values: list[str]) -> Column:

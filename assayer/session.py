@@ -21,6 +21,8 @@ def local_session(cores: int | str = 8, name: str = "assayer", **conf: str) -> S
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
+        # Lane formulas make long generated methods; the JVM compiles those only when told to.
+        .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)

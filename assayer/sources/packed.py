@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from assayer.constants import TOKEN_COLUMNS
 from assayer.functions import json as J
 from assayer.operators import records as R
+from assayer.operators.validate import evaluated_once
 
 FORMAT = "packed-images-1"
 ROW_GROUP_BYTES = 16 * 1024 * 1024
@@ -92,7 +93,7 @@ def pack(records: DataFrame) -> DataFrame:
             "__decoded",
             lambda d: F.struct(d["bytes"].alias("bytes"), F.lit(None).cast("string").alias("path")),
         ).alias("images"),
-        F.when(empty, "empty_image_bytes").alias("problem"),
+        evaluated_once(F.when(empty, "empty_image_bytes")).alias("problem"),
     )
 
 
@@ -160,16 +161,16 @@ def packed_problem(df: DataFrame) -> DataFrame:
     n = F.size("images")
     used = F.array_sort(F.transform("refs", lambda r: r["image_index"]))
     every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return df.withColumn(
-        "problem",
+    problem = (
         F.when(~(text("id").eqNullSafe(F.col("id")) & text("schema_version").eqNullSafe(F.col("schema_version"))), "identity")
         .when(F.exists("refs", lambda r: F.coalesce(~r["image_index"].between(0, n - 1), F.lit(True))), "image_index")
         .when(
             F.exists("images", lambda i: i["bytes"].isNull() | (F.octet_length(i["bytes"]) == 0) | i["path"].isNotNull()),
             "image_bytes",
         )
-        .when(used != every, "references"),
+        .when(used != every, "references")
     )
+    return df.withColumn("problem", evaluated_once(problem))
 
 
 def _url(reference: Column) -> Column:

@@ -28,7 +28,7 @@ def located(bad: DataFrame, spark: SparkSession, path: str) -> DataFrame:
     """Line numbers of bad lines. Only needed for a report, so only files with bad lines are read
     again, whole, one task per file."""
     files = bad.select("source_file").distinct()
-    whole = spark.read.option("wholetext", True).text(path).select(
+    whole = spark.read.text(path, wholetext=True).select(
         F.col("value").alias("content"), F.col("_metadata.file_path").alias("source_file")
     )
     lines = whole.join(files, "source_file", "left_semi").select(
@@ -41,7 +41,7 @@ def located(bad: DataFrame, spark: SparkSession, path: str) -> DataFrame:
 
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
     """(value, position, source_file): elements of files that each hold an array of objects."""
-    whole = spark.read.option("wholetext", True).text(path).select(
+    whole = spark.read.text(path, wholetext=True).select(
         "value", F.col("_metadata.file_path").alias("source_file")
     )
     sound = J.strict(F.col("value")) & (J.text_kind(F.col("value")) == "array")
