@@ -12,7 +12,7 @@ from assayer.constants import ALLOWED_SET
 from assayer.functions.vectors import Arrays, Lanes
 
 MAX_STEPS = 60
-STEP_LIMIT = 1.0
+STEP_LIMIT = 2.0
 TOLERANCE = 1e-9
 
 

@@ -267,6 +267,16 @@ def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.filter(F.size("violations") == 0).drop("violations"), bad
 
 
+def violation_counts(df: DataFrame) -> DataFrame:
+    """Records per broken rule, and the accepted ones as rule "accepted". One pass, combined
+    map-side: a record counts once per rule."""
+    names = F.array_distinct(F.transform("violations", lambda v: v["rule"]))
+    listed = F.when(F.size(names) == 0, F.array(F.lit("accepted"))).otherwise(names)
+    return (
+        validated(df).select(F.explode(listed).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
 def require_valid(df: DataFrame) -> DataFrame:
     """The same rows; the first invalid one fails the job."""
     checked = validated(df)

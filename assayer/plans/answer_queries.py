@@ -12,7 +12,7 @@ from assayer.operators import losses as L
 from assayer.operators.metrics import with_target_vectors
 from assayer.plans import fixtures as X
 from assayer.plans.metric_queries import _SCORE5, _noul_rows, _rounded
-from assayer.plans.sql import CHOICE10, SOFT10, r6, softmax
+from assayer.plans.sql import CHOICE10, r6, softmax
 
 TEMPERATURES = [("choice:10", 0.7), ("choice", 1.5), ("score", 2.0), ("noul", 0.8)]
 

@@ -251,7 +251,7 @@ def _plan(spark, folder, epochs=2, **options):
 
 def update_plan(spark, folder):
     """Small blocks, so that many hand-overs between blocks take part."""
-    return _plan(spark, folder, block_rows=64, blocks_per_group=4)
+    return _plan(spark, folder, block_rows=256, blocks_per_group=2)
 
 
 def update_plan_capped(spark, folder):

@@ -257,9 +257,7 @@ def record_rules(spark, folder):
 
 
 def quarantine_counts(spark, folder):
-    good, bad = V.quarantine(R.parse_records(_record_texts(spark, folder), "value", views=False))
-    accepted = good.agg(F.count(F.lit(1)).alias("n")).select(F.lit("accepted").alias("rule"), "n")
-    return accepted.unionByName(bad.groupBy("rule").agg(F.count_distinct("id").alias("n")).filter("rule != 'strict_json'"))
+    return V.violation_counts(R.parse_records(_record_texts(spark, folder), "value", views=False))
 
 
 def parsed_questions(spark, folder):
@@ -408,7 +406,7 @@ SELECT 'lang:' || substr(sha256('{"lang":"' || lang || '","text":' || j || '}'),
   CASE WHEN event_id % 16 = 3 THEN 0 ELSE 1 END AS finite FROM events""",
     "record_rules": None,
     "quarantine_counts": f"""SELECT CASE WHEN r = '' THEN 'accepted' ELSE r END AS rule, count(*) AS n
-FROM (SELECT {_RULES} AS r FROM events) WHERE r <> 'strict_json' GROUP BY 1""",
+FROM (SELECT {_RULES} AS r FROM events) GROUP BY 1""",
     "parsed_questions": """SELECT 'e' || event_id AS id, q.qid, CAST(q.pos AS INTEGER) AS q_pos, q.keys,
   round(1.5 * CASE WHEN q.qid = 'kind' THEN 2 ELSE 1 END / 4, 6) AS weight, 'u' || user_id AS split_group
 FROM events CROSS JOIN (VALUES ('kind', 0, 'click|error|purchase|signup|view'), ('level', 1, '0|1|2'), ('sure', 2, 'true|false')) q(qid, pos, keys)

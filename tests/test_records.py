@@ -211,3 +211,26 @@ def test_split_check_names_the_problem(spark):
     with pytest.raises(ValueError, match="cross-split leakage"):
         K.check_splits(rows)
     K.check_splits(rows.filter("id = 'a'"))
+
+
+def test_manifests_reports_and_temperatures(spark, tmp_path):
+    data = str(tmp_path / "data")
+    spark.range(20).repartition(2).write.parquet(data)
+    files = P.file_digests(spark, data + "/*.parquet")
+    rows = files.collect()
+    splits = spark.createDataFrame([(r["path"], "train") for r in rows], "path string, split string")
+    one = P.split_manifest(files, splits).first()
+    assert one["files"] == len(rows) == 2 and one["bytes"] == sum(r["bytes"] for r in rows)
+    assert P.split_manifest(files.orderBy(F.col("path").desc()), splits).first() == one
+    report = spark.createDataFrame([("choice", 0.7, "m1")], "key string, temperature double, model_sha256 string")
+    report.write.parquet(str(tmp_path / "t"))
+    assert P.read_temperatures(spark, str(tmp_path / "t"), "m1").first()["value"] == 0.7
+    with pytest.raises(Exception, match="different model"):
+        P.read_temperatures(spark, str(tmp_path / "t"), "m2").collect()
+    S.append_report(report, str(tmp_path / "r"))
+    S.append_report(report, str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).count() == 2
+    with pytest.raises(Exception, match="non-finite"):
+        S.finite_report(report.withColumn("temperature", F.lit(float("nan")))).collect()
+    with pytest.raises(ValueError, match="empty dataset"):
+        S.require_rows(report.limit(0), "none")
