@@ -59,7 +59,7 @@ def _pass(rows: DataFrame, beta: dict[str, float], width: int | None) -> dict[st
 def fit_temperatures(df: DataFrame, *, by_count: bool = False, width: int | None = None) -> DataFrame:
     """Temperature per question type (or type and outcome count) minimising the weighted loss.
 
-    Newton in log T with a sign bracket: the loss is convex in 1/T, so the slope's sign always tells
+    Newton in 1/T, bounded in log T, with a sign bracket: the loss is convex in 1/T, so the slope's sign always tells
     the side of the minimum. A key whose fit does not improve on 1 keeps 1. Only a few numbers per
     key reach the driver.
     """
@@ -79,7 +79,7 @@ def fit_temperatures(df: DataFrame, *, by_count: bool = False, width: int | None
             for k in sorted(open_keys):
                 _f, g, h, _n = state[k]
                 beta = math.exp(-u[k])
-                slope, curve = -beta * g, beta * beta * h + beta * g
+                slope = -beta * g
                 if abs(slope) < TOLERANCE:
                     open_keys.discard(k)
                     continue
@@ -87,7 +87,9 @@ def fit_temperatures(df: DataFrame, *, by_count: bool = False, width: int | None
                     high[k] = u[k]
                 else:
                     low[k] = u[k]
-                step = -slope / curve if curve > 0 else -math.copysign(STEP_LIMIT, slope)
+                # The loss is close to quadratic in 1/T: step there, move in log T.
+                target = beta - g / h if h > 0 else 0.0
+                step = -math.log(target / beta) if target > 0 else -math.copysign(STEP_LIMIT, slope)
                 new = u[k] + max(-STEP_LIMIT, min(STEP_LIMIT, step))
                 if not low[k] < new < high[k]:
                     new = (low[k] + high[k]) / 2
