@@ -238,8 +238,15 @@ def selected_view(spark, folder):
     return L.selected_views(views, chosen).select("id", "view_id", "view_index")
 
 
+def _informed(spark, folder):
+    """Every third vector scores its label higher, so the fit has an inner minimum at any size."""
+    bonus = F.transform(
+        X.dims(0), lambda z, i: z + F.when((i == F.col("label")) & (F.pmod("vec_id", F.lit(3)) == 0), 2.0).otherwise(0.0))
+    return X.choice10(spark, folder, bonus)
+
+
 def temperature_fit(spark, folder):
-    rows = with_target_vectors(X.choice10(spark, folder))
+    rows = with_target_vectors(_informed(spark, folder))
     fit = C.fit_temperatures(rows, width=10)
     return fit.select(
         "key", F.round("temperature", 4).alias("temperature"), "questions",
@@ -251,8 +258,9 @@ def temperature_fit_by_count(spark, folder):
     """Choices and true/false questions fitted together, one entry per outcome count."""
     cut = lambda d: with_target_vectors(d).select(
         "type", "kind", "keys", "logits", "t", F.lit(1.0).alias("weight"))
-    rows = cut(X.choice10(spark, folder)).unionByName(
-        cut(X.noul2(spark, folder, soft=True).withColumn("logits", F.reverse("logits"))))
+    rows = cut(_informed(spark, folder)).unionByName(
+        cut(X.noul2(spark, folder, soft=True).withColumn(
+            "logits", F.array((2 * F.col("p_true") - 1) * 1.5, F.get("logits", F.lit(0))))))
     fit = C.fit_temperatures(rows, by_count=True, width=10)
     return fit.select("key", F.round("temperature", 4).alias("temperature"), "questions")
 
@@ -331,9 +339,11 @@ _FIT_CHOICE = _fit_sql(
 _FIT_ALL = _fit_sql(
     "SELECT 'choice:10' AS key, 'c' || id AS id, k, z, max(z) OVER (PARTITION BY id) AS zmax, "
     "CASE WHEN k = label THEN 1.0 ELSE 0.0 END AS t FROM z0 UNION ALL "
-    "SELECT 'noul:2', 'n' || id || qid, k, CASE WHEN k = 1 THEN x ELSE 0 END, greatest(x, 0), "
+    "SELECT 'noul:2', 'n' || id || qid, k, CASE WHEN k = 1 THEN x ELSE (2 * pt - 1) * 1.5 END, greatest(x, (2 * pt - 1) * 1.5), "
     "CASE WHEN k = 0 THEN pt ELSE 1 - pt END FROM q2 CROSS JOIN range(0, 2) r(k)"
 )
+_INFORMED = CHOICE10.replace("AS z\n", "+ CASE WHEN k = label AND vec_id % 3 = 0 THEN 2.0 ELSE 0.0 END AS z\n")
+
 ORACLE = {
     "answers_choice": f"""WITH {CHOICE10.replace('4 * CAST', '1 / 0.7 * 4 * CAST')}, {softmax()}
 SELECT id, CAST(any_value(mode) AS VARCHAR) AS choice, {r6('greatest(0, (any_value(top) - 0.1) / 0.9)')} AS confidence,
@@ -402,12 +412,12 @@ SELECT z.id, {r6('max(CASE WHEN z.r = 0 THEN lin + inter END)')} AS z0, {r6('max
   {r6('max(CASE WHEN z.r = 2 THEN lin + inter END)')} AS z2, {r6('max(CASE WHEN z.r = 0 THEN lin END)')} AS without_global
 FROM z JOIN wh ON z.id = wh.id AND z.r = wh.r GROUP BY z.id""",
     "selected_view": "SELECT doc_id AS id, 'v1' AS view_id, 1 AS view_index FROM documents WHERE doc_id % 3 > 0",
-    "temperature_fit": f"""WITH {CHOICE10}, {_FIT_CHOICE},
+    "temperature_fit": f"""WITH {_INFORMED}, {_FIT_CHOICE},
 n AS (SELECT f.id, ln(sum(exp(z))) - sum(t * z) AS b, ln(sum(exp(z * lo))) - lo * sum(t * z) AS a
   FROM f JOIN fit7 USING (key) GROUP BY f.id, lo)
 SELECT 'choice' AS key, round((SELECT 1 / lo FROM fit7), 4) AS temperature, count(*) AS questions,
   {r6('avg(b)')} AS nll_before, {r6('avg(a)')} AS nll_after FROM n""",
-    "temperature_fit_by_count": f"""WITH {CHOICE10}, {_noul_rows(True).replace('b AS (', 'bn AS (', 1).replace('FROM b)', 'FROM bn)').replace('c AS (SELECT *, y', 'cn AS (SELECT *, y').replace('dbrier FROM c)', 'dbrier FROM cn)').replace('q AS (', 'q2 AS (')},
+    "temperature_fit_by_count": f"""WITH {_INFORMED}, {_noul_rows(True).replace('b AS (', 'bn AS (', 1).replace('FROM b)', 'FROM bn)').replace('c AS (SELECT *, y', 'cn AS (SELECT *, y').replace('dbrier FROM c)', 'dbrier FROM cn)').replace('q AS (', 'q2 AS (')},
 {_FIT_ALL}
 SELECT key, round(1 / lo, 4) AS temperature, (SELECT count(DISTINCT id) FROM f WHERE f.key = fit7.key) AS questions FROM fit7""",
 }
