@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import near_dedup
+from assayer.llm import near_dedup, packing
+
+
+def tokenizer(name: str) -> str:
+    """Where the installed public vocabulary file lies, on the driver and on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,7 +24,12 @@ def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 QUERIES = {
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op7_near_duplicates": op7_near_duplicates,
 }
 ORACLE: dict[str, str] = {}
