@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import near_dedup, packing
+from assayer.llm import line_dedup, near_dedup, packing
 
 
 def tokenizer(name: str) -> str:
@@ -19,6 +19,36 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
+    found = line_dedup.dedup_lines(docs.withColumn("n_lines", lines))
+    return found.select("doc_id", "n_lines", "removed_lines", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+OP6_SQL = """
+WITH lines AS (
+  SELECT doc_id, i, a[i + 1] AS line, CAST('0x' || substr(md5(a[i + 1]), 1, 7) AS BIGINT) AS f
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), unnest(range(len(a))) AS t(i)
+), marked AS (
+  SELECT *, CAST((3 * lag(f, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) + f) % 2 = 0 AS INT) AS ends FROM lines
+), placed AS (
+  SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk
+  FROM marked
+), chunks AS (
+  SELECT doc_id, chunk, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n FROM placed GROUP BY doc_id, chunk
+), gone AS (
+  SELECT doc_id, chunk FROM chunks WHERE n > 1
+  QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, chunk) > 1
+), kept AS (
+  SELECT p.doc_id, count(*) AS n_lines, count(g.doc_id) AS removed_lines,
+    coalesce(string_agg(p.line, chr(10) ORDER BY p.i) FILTER (WHERE g.doc_id IS NULL), '') AS text
+  FROM placed p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.chunk = g.chunk GROUP BY p.doc_id
+)
+SELECT doc_id, n_lines, removed_lines, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5 FROM kept
+"""
+
+
 def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     found = near_dedup.near_duplicates(_table(spark, folder, "documents"), size=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -30,6 +60,9 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op6_line_dedup": op6_line_dedup,
     "op7_near_duplicates": op7_near_duplicates,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_line_dedup": OP6_SQL,
+}
