@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import line_dedup, near_dedup, packing
+from assayer.llm import decontaminate, line_dedup, near_dedup, packing
 
 
 def tokenizer(name: str) -> str:
@@ -26,6 +26,10 @@ def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "removed_lines", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")).drop("th")
+
+
 OP6_SQL = """
 WITH lines AS (
   SELECT doc_id, i, a[i + 1] AS line, CAST('0x' || substr(md5(a[i + 1]), 1, 7) AS BIGINT) AS f
@@ -60,6 +64,7 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_decontamination": op4_decontamination,
     "op6_line_dedup": op6_line_dedup,
     "op7_near_duplicates": op7_near_duplicates,
 }
