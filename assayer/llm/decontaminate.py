@@ -1,6 +1,6 @@
 """Benchmark decontamination: BM25 over an inverted index of the test items, searched with block-max WAND.
 
-Terms are word triples, so ordinary text rarely meets the index. Every training text is cut into overlapping passages; a
+Words are runs of letters and digits, A-Z lower-cased. Terms are word triples, so ordinary text rarely meets the index. Every training text is cut into overlapping passages; a
 passage is the query, all items at or above the threshold are retrieved, and each is verified on the passage: enough of the question's
 five-word shingles and enough of the answer's words must be there. An item's weights are divided by the least
 score that a passage passing the verification can have, so the common threshold 1 loses none of them.
@@ -23,6 +23,7 @@ SHINGLE = 5  # words of a shingle in the verification
 SHARE = 0.8  # of the question's shingles, and of the answer's words
 K1, B = 1.2, 0.75
 BLOCK = 64  # postings that share one maximum
+STOPS = list(b".!?\n")
 ITEMS = 20_000  # of one index; more items are searched index by index
 
 
@@ -41,11 +42,11 @@ def item_of(item_id: int, text: str | None) -> Item | None:
     """The answer is the last line or sentence, but a quarter of the words at most; the question is what comes before. An item of
     fewer than 2 x SHINGLE words is too short to tell a leak from chance and gives None."""
     data, off = tx.texts(pa.array([text or ""]))
-    hashes, rows, begin, end = tx.words(data, off, places=True)
+    hashes, rows, begin, end = tx.words(data, off, places=True, gaps=tx.MARKS)
     n = len(hashes)
     if n < 2 * SHINGLE:
         return None
-    stops = [i + 1 for i in range(n - 1) if data[end[i] - 1] in b".!?" or 10 in data[end[i] : begin[i + 1]]]
+    stops = [i + 1 for i in range(n - 1) if np.isin(data[end[i] : begin[i + 1]], STOPS).any()]
     cut = max(stops[-1] if stops else 0, n - n // 4)
     terms, often = np.unique(tx.shingles(hashes, rows, TERM)[0], return_counts=True)
     one = np.zeros(cut, dtype=np.int32)
@@ -168,7 +169,7 @@ def matches(index: Index, column: pa.Array) -> Iterator[tuple[int, int, float, i
         return
     span = 3 * index.longest  # a passage; they begin half a passage apart
     step = span // 2
-    hashes, rows = tx.words(*tx.texts(column))
+    hashes, rows = tx.words(*tx.texts(column), gaps=tx.MARKS)
     terms, first = tx.shingles(hashes, rows, TERM)
     got = index.find.find(terms)
     hit = np.flatnonzero(got >= 0)

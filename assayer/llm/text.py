@@ -30,6 +30,8 @@ def _random(n: int, seed: int) -> np.ndarray:
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+MARKS = SPACE.copy()  # also ASCII punctuation and control characters
+MARKS[[x for x in range(128) if not chr(x).isalnum()]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BYTE = np.where(SPACE, U64(0), _random(256, 1)[LOWER])
@@ -86,13 +88,14 @@ def blocks(data: np.ndarray, off: np.ndarray, limit: int = BLOCK) -> Iterator[tu
         at = to
 
 
-def words(data: np.ndarray, off: np.ndarray, places: bool = False):
-    """Fingerprint and row of every word, in order; with ``places`` also where it begins and ends."""
+def words(data: np.ndarray, off: np.ndarray, places: bool = False, gaps: np.ndarray = SPACE):
+    """Fingerprint and row of every word, in order; with ``places`` also where it begins and ends. ``gaps`` marks the bytes
+    between words (at least those of SPACE)."""
     hashes, rows, begin, end = [], [], [], []
     for at, to in blocks(data, off):
         part = data[at:to]
         n = to - at
-        gap = SPACE[part]
+        gap = gaps[part]
         first, last = np.searchsorted(off, at, "left"), np.searchsorted(off, to, "right")
         cuts = off[first:last] - at
         before = np.ones(n, dtype=bool)
