@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import decontaminate, line_dedup, near_dedup, packing
+from assayer.llm import decontaminate, language, line_dedup, near_dedup, packing
+from assayer.llm.shared import remainder
 
 
 def tokenizer(name: str) -> str:
@@ -58,11 +59,19 @@ def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    net = language.fit(docs, ~held_out)
+    return language.identify(docs.withColumn("held_out", held_out), net, ["doc_id", "held_out"])
+
+
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_decontamination": op4_decontamination,
     "op6_line_dedup": op6_line_dedup,
