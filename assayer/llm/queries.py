@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import decontaminate, language, line_dedup, near_dedup, packing
+from assayer.llm import decontaminate, language, line_dedup, near_dedup, packing, url_filter
 from assayer.llm.shared import remainder
 
 
@@ -17,6 +19,8 @@ def tokenizer(name: str) -> str:
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    # Python workers import this package from where the driver did, whatever folder the driver was started in
+    spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -59,6 +63,34 @@ def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+ALLOWED = ["org/", "com/fr/"]
+BLOCKED = ["example.org/es/", "example.org/en/1", "com/de/"]
+
+
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages").select("page_id", "url")
+    return url_filter.judge(pages, url_filter.rules_of(spark, ALLOWED, BLOCKED)).drop("url")
+
+
+OP1_SQL = """
+WITH rules(rule, rule_host, rule_path, verdict) AS (VALUES
+  ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'),
+  ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'),
+  ('com/de/', 'com', '/de/', 'block')
+), rest AS (
+  SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path
+  FROM rest
+)
+SELECT p.page_id, p.host, p.path, r.rule, coalesce(r.verdict, 'allow') AS verdict
+FROM parts p LEFT JOIN rules r
+  ON (p.host = r.rule_host OR ends_with(p.host, '.' || r.rule_host)) AND starts_with(p.path, r.rule_path)
+QUALIFY row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.rule) DESC) = 1
+"""
+
+
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     held_out = remainder(F.col("doc_id"), 3) == 1
@@ -71,6 +103,7 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_language_id": op2_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_decontamination": op4_decontamination,
@@ -78,5 +111,6 @@ QUERIES = {
     "op7_near_duplicates": op7_near_duplicates,
 }
 ORACLE: dict[str, str] = {
+    "op1_url_filter": OP1_SQL,
     "op6_line_dedup": OP6_SQL,
 }
