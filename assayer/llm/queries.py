@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import decontaminate, language, line_dedup, near_dedup, packing, url_filter
+from assayer.llm import decontaminate, language, line_dedup, near_dedup, packing, quality, url_filter
 from assayer.llm.shared import remainder
 
 
@@ -102,6 +102,13 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = quality.fit(docs, _table(spark, folder, "labels"), ~quality.held_out(F.col("doc_id")))
+    scored = quality.score(docs.withColumn("held_out", quality.held_out(F.col("doc_id"))), model, ["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_language_id": op2_language_id,
@@ -109,6 +116,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op6_line_dedup": op6_line_dedup,
     "op7_near_duplicates": op7_near_duplicates,
+    "op9_quality": op9_quality,
 }
 ORACLE: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
