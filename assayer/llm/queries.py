@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import decontaminate, language, line_dedup, near_dedup, packing, quality, url_filter
+from assayer.llm import context_tree, decontaminate, language, line_dedup, near_dedup, packing, quality, url_filter
 from assayer.llm.shared import remainder
 
 
@@ -109,6 +109,12 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op10_context_tree_score(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    held_out = remainder(F.col("doc_id"), 7) == 2
+    return context_tree.score(docs.withColumn("held_out", held_out), ~held_out, ["doc_id", "held_out"])
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_language_id": op2_language_id,
@@ -117,6 +123,7 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op7_near_duplicates": op7_near_duplicates,
     "op9_quality": op9_quality,
+    "op10_context_tree_score": op10_context_tree_score,
 }
 ORACLE: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
