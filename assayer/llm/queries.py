@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import context_tree, decontaminate, language, line_dedup, near_dedup, packing, quality, url_filter
+from assayer.llm import context_tree, decontaminate, language, line_dedup, near_dedup, neighbours, packing, quality, url_filter
 from assayer.llm.shared import remainder
 
 
@@ -102,6 +102,11 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "embeddings")
+    return neighbours.search(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     model = quality.fit(docs, _table(spark, folder, "labels"), ~quality.held_out(F.col("doc_id")))
@@ -122,6 +127,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op6_line_dedup": op6_line_dedup,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_quality": op9_quality,
     "op10_context_tree_score": op10_context_tree_score,
 }
