@@ -18,21 +18,21 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     # Python workers import this package from where the driver did, whatever folder the driver was started in
     spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
     found = line_dedup.dedup_lines(docs.withColumn("n_lines", lines))
     return found.select("doc_id", "n_lines", "removed_lines", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    return decontaminate.leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")).drop("th")
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("th")
 
 
 OP6_SQL = """
@@ -59,7 +59,7 @@ SELECT doc_id, n_lines, removed_lines, CAST(length(text) AS BIGINT) AS n_chars,
 
 
 def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    found = near_dedup.near_duplicates(_table(spark, folder, "documents"), size=3, percent=85)
+    found = near_dedup.near_duplicates(table(spark, folder, "documents"), size=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
@@ -68,7 +68,7 @@ BLOCKED = ["example.org/es/", "example.org/en/1", "com/de/"]
 
 
 def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
-    pages = _table(spark, folder, "pages").select("page_id", "url")
+    pages = table(spark, folder, "pages").select("page_id", "url")
     return url_filter.judge(pages, url_filter.rules_of(spark, ALLOWED, BLOCKED)).drop("url")
 
 
@@ -92,30 +92,30 @@ QUALIFY row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.rule) DESC)
 
 
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _table(spark, folder, "documents")
+    docs = table(spark, folder, "documents")
     held_out = remainder(F.col("doc_id"), 3) == 1
     net = language.fit(docs, ~held_out)
     return language.identify(docs.withColumn("held_out", held_out), net, ["doc_id", "held_out"])
 
 
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(_table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"))
+    return packing.pack(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op8_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _table(spark, folder, "embeddings")
+    rows = table(spark, folder, "embeddings")
     return neighbours.search(rows, rows.where(F.col("vec_id") % 100 == 0))
 
 
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _table(spark, folder, "documents")
-    model = quality.fit(docs, _table(spark, folder, "labels"), ~quality.held_out(F.col("doc_id")))
+    docs = table(spark, folder, "documents")
+    model = quality.fit(docs, table(spark, folder, "labels"), ~quality.held_out(F.col("doc_id")))
     scored = quality.score(docs.withColumn("held_out", quality.held_out(F.col("doc_id"))), model, ["doc_id", "held_out"])
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
 def op10_context_tree_score(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _table(spark, folder, "documents")
+    docs = table(spark, folder, "documents")
     held_out = remainder(F.col("doc_id"), 7) == 2
     return context_tree.score(docs.withColumn("held_out", held_out), ~held_out, ["doc_id", "held_out"])
 
