@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import context_tree, decontaminate, language, line_dedup, near_dedup, neighbours, packing, quality, url_filter
+from assayer.llm import chat, context_tree, decontaminate, language, line_dedup, near_dedup, neighbours, packing, quality, url_filter
 from assayer.llm.shared import remainder
 
 
@@ -35,6 +35,10 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("th")
 
 
+def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.repair(table(spark, folder, "conversations"))
+
+
 OP6_SQL = """
 WITH lines AS (
   SELECT doc_id, i, a[i + 1] AS line, CAST('0x' || substr(md5(a[i + 1]), 1, 7) AS BIGINT) AS f
@@ -125,6 +129,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_decontamination": op4_decontamination,
+    "op5_chat_format": op5_chat_format,
     "op6_line_dedup": op6_line_dedup,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_nearest_neighbours": op8_nearest_neighbours,
