@@ -53,7 +53,7 @@ def texts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts of a column, and the n + 1 places where they begin. A null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if pa.types.is_string(column.type):
+    if not pa.types.is_large_string(column.type):
         column = column.cast(pa.large_string())
     if column.null_count:
         column = column.fill_null("")
