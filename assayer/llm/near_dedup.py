@@ -1,15 +1,18 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
 Each document becomes the set of its distinct word shingles. Documents with equal sets form one class, so
-copies are never expanded into pairs. A class has a signature of 128 symbols of 16 bits, one per minimum hash. The first 64
+copies are never expanded into pairs. A class has a signature of 256 symbols of 16 bits, one per minimum hash. The first 64
 symbols are cut into 12 chunks. Two signatures with at most 23 different symbols must have a chunk with at most one
 (pigeonhole: 12 x 2 > 23), so every way to leave out one symbol of a chunk is a key, 64 keys per
 class, and all pairs under the distance meet under a key. Candidates are confirmed on the full shingle sets, computed again
 from the whole texts.
 
-Links are found in two rounds. First each class is compared with one hub, the closest first member of its keys; that joins
-most large groups by one comparison per member. Then all classes that share a key but lie in different groups are compared: they
-are matched on signatures inside bounded blocks of a key's members, and only pairs under the distance leave the task.
+Links are found in two ways. First each class is compared with one hub, the most central member of its keys: the one whose own
+keys are shared most, which in a group of varied copies is what they were made from. That joins
+large groups by one comparison per member, and is repeated with the next hubs while it pays. Then classes that share a key but lie in
+different groups are matched on signatures, inside bounded blocks of a key's members. What is within the distance forms clusters,
+of which only spanning edges leave a task; the full shingle sets of a cluster are compared slice by slice, and again only
+edges that span the links leave a task. So no stage emits the pairs of a group.
 """
 
 from __future__ import annotations
@@ -26,10 +29,12 @@ from pyspark.sql import functions as F
 from assayer.llm import text as tx
 from assayer.llm.shared import components, small, stored
 
-SYMBOLS = 128  # of a signature
+SYMBOLS = 256  # of a signature
 INDEXED = 64  # of them in the index
 MISSED = 1e-5  # chance that a pair at exactly the threshold is further apart than the distance allowed
-BLOCK_ROWS = 1024  # members of a key that one comparison block holds
+BLOCK_ROWS = 1024  # members of a key whose signatures one task compares with each other
+SLICE_ROWS = 256  # members of a cluster whose shingle sets one task compares with each other
+GAIN = 0.2  # share of links among the tried hub pairs that makes another round of hubs worth its jobs
 HUB_ROWS = 64  # pairs of a hub that share one copy of its text
 
 
@@ -120,8 +125,28 @@ def keys(nodes: DataFrame, percent: int) -> DataFrame:
     return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
 
 
+def _unlike(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends lie in different groups so far."""
+    root = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
+    both = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b")
+
+
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``node, root`` after more links: only the groups that they touch are joined."""
+    if roots is None:
+        return stored(components(links), "roots")
+    known = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
+    both = links.join(known("a"), "a", "left").join(known("b"), "b", "left")
+    both = stored(both.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).distinct(), "group-links")
+    moved = components(both).withColumnRenamed("root", "to")
+    old = roots.join(moved.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    fresh = moved.join(roots, "node", "left_anti").select("node", F.col("to").alias("root"))
+    return stored(old.union(fresh), "roots")
+
+
 def _apart(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` within the signature distance and with sizes that allow a link; adds ``apart``."""
+    """Pairs ``a, b, weight`` within the signature distance and with sizes that allow a link; adds ``apart``."""
     near, far = allowed(INDEXED, percent), allowed(SYMBOLS, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,13 +156,22 @@ def _apart(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             other = _symbols(batch.column("sig_a")) != _symbols(batch.column("sig_b"))
             first, total = other[:, :INDEXED].sum(axis=1), other.sum(axis=1)
             keep = pa.array((first <= near) & (total <= far))
-            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(total.astype(np.int32))], ["a", "b", "apart"])
+            columns = [batch.column("a"), batch.column("b"), batch.column("weight"), pa.array(total.astype(np.int32))]
+            out = pa.RecordBatch.from_arrays(columns, ["a", "b", "weight", "apart"])
             yield out.filter(keep)
 
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return both.where(fits).select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, apart int")
+    return both.where(fits).select("a", "b", "weight", "sig_a", "sig_b").mapInArrow(run, "a long, b long, weight long, apart int")
+
+
+def _texts(used: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node, text`` of the nodes in ``used``."""
+    want = stored(used.join(nodes, "node").select("node", "doc_id", "th"), "wanted")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
+    rows = rows.join(small(want), rows.doc_id.eqNullSafe(want.doc_id) & (rows.th == want.th)).select("node", "text")
+    return stored(rows.dropDuplicates(["node"]), "texts")
 
 
 def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -153,10 +187,7 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, perc
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    want = stored(used.join(nodes, "node").select("node", "doc_id", "th"), "wanted")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(small(want), rows.doc_id.eqNullSafe(want.doc_id) & (rows.th == want.th)).select("node", "text")
-    text = stored(rows.dropDuplicates(["node"]), "texts")
+    text = _texts(used, nodes, docs)
     hubs = pairs.groupBy("a").agg(F.count("*").alias("n"))
     parts = F.ceil(F.col("n") / HUB_ROWS).cast("long")
     hub_text = (
@@ -169,78 +200,132 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, perc
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a key's members that lie in different groups and within the distance.
-
-    ``rows`` has ``key, block, side, node, root, n_shingles, sig``, sorted by block within each partition. A block holds one
-    slice of a key's members (side 0), or two slices to be compared with each other.
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each value of ``key``, for batches that are sorted by it."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        table = pa.Table.from_batches([batch])
+        value = table.column(key).to_numpy()
+        if held and held[0].column(key)[0].as_py() != value[0]:
+            yield pa.concat_tables(held).combine_chunks()
+            held = []
+        cuts = [0, *(np.flatnonzero(np.diff(value)) + 1), len(value)]
+        for k, (i, j) in enumerate(zip(cuts, cuts[1:])):
+            held.append(table.slice(i, j - i))
+            if k < len(cuts) - 2:
+                yield pa.concat_tables(held).combine_chunks()
+                held = []
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+class _Groups:
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.find(i), self.find(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _close(rows: DataFrame, percent: int) -> DataFrame:
+    """Members of a key that lie in different groups and within the distance, as edges ``a, b`` that span them: at most one
+    per member, not all pairs.
+
+    ``rows`` has ``block, side, node, root, n_shingles, sig``, sorted by block within each partition. A block holds one
+    slice of a key's members (side 0), or two slices (1 and 2) to be compared with each other.
     """
     near, far = allowed(INDEXED, percent), allowed(SYMBOLS, percent)
 
-    def pairs_of(x, y, same: bool):
-        for i in range(len(x["node"])):
-            pick = np.flatnonzero(y["root"] != x["root"][i])
-            if same:
-                pick = pick[pick > i]
-            n, m = x["n"][i], y["n"][pick]
-            pick = pick[100 * np.minimum(n, m) >= percent * np.maximum(n, m)]
-            if len(pick):
-                other = y["sig"][pick] != x["sig"][i]
-                pick = pick[(other[:, :INDEXED].sum(axis=1) <= near) & (other.sum(axis=1) <= far)]
-                for k in pick:
-                    a, b = int(x["node"][i]), int(y["node"][k])
-                    yield min(a, b), max(a, b)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def groups(table: pa.Table, final: bool):
-            block = table.column("block").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1), len(block)]
-            full = len(cuts) - 1 if final else len(cuts) - 2
-            for a, b in zip(cuts[:full], cuts[1 : full + 1]):
-                yield table.slice(a, b - a)
-            return table.slice(cuts[full]) if not final else None
-
-        def out(found: set):
-            a, b = zip(*sorted(found)) if found else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        def work(table: pa.Table, final: bool, found: set):
-            walk = groups(table, final)
-            while True:
-                try:
-                    part = next(walk)
-                except StopIteration as end:
-                    return end.value
-                if len(part) < 2:
+        for part in _runs(batches, "block"):
+            node, root, size = (part.column(c).to_numpy() for c in ("node", "root", "n_shingles"))
+            sig, side = _symbols(part.column("sig")), part.column("side").to_numpy()
+            groups, found = _Groups(len(node)), []
+            for i in range(len(node)):
+                if side[i] == 2:
                     continue
-                x = {
-                    "node": part.column("node").to_numpy(), "root": part.column("root").to_numpy(),
-                    "n": part.column("n_shingles").to_numpy(), "sig": _symbols(part.column("sig")),
-                }
-                side = part.column("side").to_numpy()
-                if side.any():
-                    left, right = ({k: v[side == s] for k, v in x.items()} for s in (1, 2))
-                    found.update(pairs_of(left, right, False))
-                else:
-                    found.update(pairs_of(x, x, True))
+                other = np.flatnonzero((root != root[i]) & (side == 2 if side[i] else np.arange(len(node)) > i))
+                other = other[100 * np.minimum(size[i], size[other]) >= percent * np.maximum(size[i], size[other])]
+                if len(other):
+                    differ = sig[other] != sig[i]
+                    other = other[(differ[:, :INDEXED].sum(axis=1) <= near) & (differ.sum(axis=1) <= far)]
+                    found += [(int(node[i]), int(node[j])) for j in other.tolist() if groups.join(i, j)]
+            yield _edges(found)
 
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if held is not None and len(held):
-                table = pa.concat_tables([held, table]).combine_chunks()
-            found: set = set()
-            held = work(table, False, found) if len(table) else held
-            yield out(found)
-        if held is not None and len(held):
-            found = set()
-            work(held, True, found)
-            yield out(found)
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _exact(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links ``a, b`` between different groups, by the full shingle sets, as edges that span what is linked.
+
+    ``rows`` has ``block, side, node, root, text``, sorted by block: two slices of a cluster, or one slice (side 0).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _runs(batches, "block"):
+            node, root, side = (part.column(c).to_numpy() for c in ("node", "root", "side"))
+            sets = list(_sets(*tx.texts(part.column("text")), size))
+            count = np.array([len(x) for x in sets])
+            right = np.flatnonzero(side == 2) if side.any() else np.arange(len(node))
+            every = np.concatenate([sets[j] for j in right])
+            owner = np.repeat(np.arange(len(right)), count[right])
+            order = np.argsort(every, kind="stable")
+            every, owner = every[order], owner[order]
+            groups, found = _Groups(len(node)), []
+            for i in range(len(node)):
+                if side[i] == 2:
+                    continue
+                first, last = np.searchsorted(every, sets[i], "left"), np.searchsorted(every, sets[i], "right")
+                length = last - first
+                at = np.repeat(first - np.cumsum(length) + length, length) + np.arange(length.sum())
+                both = np.bincount(owner[at], minlength=len(right))
+                good = (100 * both >= percent * (count[i] + count[right] - both)) & (root[right] != root[i])
+                found += [(int(node[i]), int(node[j])) for j in right[good].tolist() if groups.join(i, j)]
+            yield _edges(found)
 
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _clusters(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Slices of each cluster of close nodes, and the pairs of slices to compare: ``block, side, node, root``.
+
+    A large group's members have slices of their own, which need not be compared with each other; members of small groups
+    share slices.
+    """
+    clusters = components(edges).select("node", F.col("root").alias("cluster"))
+    rows = stored(clusters.join(roots, "node", "left").select("node", "cluster", F.coalesce("root", "node").alias("root")), "clusters")
+    large = rows.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+    rows = rows.join(large, ["cluster", "root"]).withColumn("own", F.when(F.col("n") > SLICE_ROWS, F.col("root")))
+    total = rows.groupBy("cluster", "own").agg(F.count("*").alias("m")).withColumn("slices", F.ceil(F.col("m") / SLICE_ROWS))
+    total = stored(total.select(F.col("cluster"), "own", F.col("slices").cast("int").alias("slices")), "slices")
+    same = rows.cluster.eqNullSafe(total.cluster) & rows.own.eqNullSafe(total.own)
+    placed = rows.join(total, same).select(
+        rows.cluster, rows.own, "node", "root", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int").alias("slice")
+    )
+    every = total.select(F.col("cluster"), F.col("own").alias("other"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other_slice"))
+    both = placed.join(every, "cluster")
+    mine, theirs = (F.struct(F.coalesce(o, F.lit(0)).alias("o"), s.alias("s"), o.isNull().alias("mixed")) for o, s in ((F.col("own"), F.col("slice")), (F.col("other"), F.col("other_slice"))))
+    both = both.where(F.col("own").isNull() | F.col("other").isNull() | (F.col("own") != F.col("other")))
+    side = F.when(mine == theirs, 0).when(mine < theirs, 1).otherwise(2)
+    block = F.xxhash64("cluster", F.least(mine, theirs), F.greatest(mine, theirs))
+    return both.select(block.alias("block"), side.alias("side"), "node", "root")
+
+
 def _blocks(shared: DataFrame) -> DataFrame:
     """Cut each key's members into slices by hash and pair the slices of large keys with each other."""
     counts = shared.groupBy("key").agg(F.count("*").alias("members"))
@@ -271,22 +356,32 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     signed = stored(signatures(docs, size), "signatures")
     nodes = stored(signed.where("node is not null").dropDuplicates(["node"]), "nodes")
     keyed = keys(nodes, percent)
-    first = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("key", "a")
-    first = stored(first, "shared-keys")
-    shared = stored(keyed.join(first, "key"), "members")
-    star = _apart(shared.where("a <> node").select("a", F.col("node").alias("b")).distinct(), nodes, percent)
-    best = star.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best"))
-    tried = stored(best.select("best.a", "b"), "hub-pairs")
-    links = stored(confirm(tried, nodes, docs, size, percent), "hub-links")
-    roots = components(links)
+    common = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
+    shared = stored(keyed.join(common, "key"), "members")
+    central = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    hubs = shared.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("hub"))
+    star = shared.join(hubs, "key").where("node <> hub.node").select(F.col("hub.node").alias("a"), F.col("node").alias("b"), "hub.weight")
+    star = _apart(star.groupBy("a", "b").agg(F.max("weight").alias("weight")), nodes, percent)
+    star = stored(star, "hub-candidates")
+    tried = roots = None
+    while True:
+        open_ = star if roots is None else _unlike(star, roots).join(tried, ["a", "b"], "left_anti")
+        best = open_.groupBy("b").agg(F.max(F.struct("weight", -F.col("apart"), "a")).alias("best"))
+        pairs = stored(best.select("best.a", "b"), "hub-pairs")
+        links = stored(confirm(pairs, nodes, docs, size, percent), "hub-links")
+        tried = pairs if tried is None else tried.union(pairs)
+        roots = _joined(roots, links)
+        if links.count() < GAIN * pairs.count() or not links.head(1):
+            break
     placed = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("key")
     members = placed.join(mixed, "key").join(nodes.select("node", "n_shingles", "sig"), "node")
     blocks = _blocks(members).repartition("block").sortWithinPartitions("block")
-    rest = _across(blocks, percent).distinct().join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    rest = stored(rest, "cross-pairs")
-    links = links.union(stored(confirm(rest, nodes, docs, size, percent), "cross-links"))
-    roots = components(links)
+    edges = stored(_close(blocks, percent).distinct(), "close")
+    compared = stored(_clusters(edges, roots), "compared")
+    text = _texts(compared.select("node").distinct(), nodes, docs)
+    compared = compared.join(text, "node").repartition("block").sortWithinPartitions("block")
+    roots = _joined(roots, stored(_exact(compared, size, percent), "cross-links"))
     full = signed.where("node is not null").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("sig")
     least = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = full.join(least, "root").select("doc_id", "th", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
