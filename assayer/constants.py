@@ -17,7 +17,6 @@ COSINE_EPS = 1e-8
 KL_EPS = 1e-12
 LOGIT_LIMIT = 1e6
 HEAD_WIDTH = 256
-READOUT_SAMPLE = 256
 BINS = 10
 LENGTH_LIMITS = (128, 256, 512, 1024, 2048, 4096, 32768)
 

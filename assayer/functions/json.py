@@ -148,7 +148,19 @@ def digest(text: Column) -> Column:
     return F.substring(F.sha2(canonical(text), 256), 1, 20)
 
 
-def numeric_leaves(text: Column, depth: int = 6) -> Column:
+def nesting(text: Column) -> Column:
+    """How deep objects lie in objects, an upper bound for texts that are no JSON. Strings do not count."""
+    marks = F.split(F.regexp_replace(text, r'"(\\.|[^"\\])*"|[^{}]', ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
+
+    def step(s: Column, mark: Column) -> Column:
+        now = s["now"] + F.when(mark == "{", 1).when(mark == "}", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(s["top"], now).alias("top"))
+
+    return F.aggregate(marks, start, step, lambda s: s["top"])
+
+
+def numeric_leaves(text: Column, depth: int = 16) -> Column:
     """Numbers of nested objects as ARRAY<STRUCT<name, value>> with names joined by "/".
 
     Booleans, strings and arrays are skipped. Objects nested deeper than ``depth`` are an error.

@@ -124,15 +124,24 @@ def score(
 ) -> DataFrame:
     """Add the metric columns of ``METRICS``, ``chosen`` and ``non_finite``.
 
+    A row without logits, or whose logits, outcomes and target differ in length, is an error.
     ``width`` states the largest number of outcomes in the table; a longer row is an error. Without
     it, rows up to ``LANE_LIMIT`` outcomes run on lanes and longer rows on arrays.
     """
+    n = F.size("logits")
+    lost = F.col("logits").isNull() | (n == 0)
+    uneven = (F.size("t") != n) | (F.size("allowed") != n)  # NULL where there is no such target
+    if "keys" in df.columns:
+        uneven = F.coalesce(uneven, F.lit(False)) | (F.size("keys") != n)
+    checked = F.when(lost, F.raise_error("a question without logits")).when(
+        uneven, F.raise_error("logits, outcomes and target differ in length")
+    )
     if width is not None:
-        checked = F.when(
-            F.size("logits") > width, F.raise_error(f"more than {width} outcomes in a row")
-        ).otherwise(F.col("logits"))
-        return _score(df.withColumn("logits", checked), lambda c: Lanes.of(c, width), keep_p, prefix)
-    short = F.size("logits") <= LANE_LIMIT
+        checked = checked.when(n > width, F.raise_error(f"more than {width} outcomes in a row"))
+        df = df.withColumn("logits", checked.otherwise(F.col("logits")))
+        return _score(df, lambda c: Lanes.of(c, width), keep_p, prefix)
+    df = df.withColumn("logits", checked.otherwise(F.col("logits")))
+    short = F.size("logits") <= LANE_LIMIT  # never NULL: a row without logits has failed
     return _score(
         df.filter(short), lambda c: Lanes.of(c, LANE_LIMIT), keep_p, prefix
     ).unionByName(_score(df.filter(~short), Arrays, keep_p, prefix))

@@ -295,7 +295,7 @@ def _dynamic_choice(src: Source, config: dict):
     local = dict(config)
     if isinstance(dtype, T.ArrayType) and not isinstance(dtype.elementType, T.StructType):
         if config.get("answer_encoding") != "index":
-            raise ConfigError("list choices require answer_encoding=index")
+            raise ConfigError("a list of choices needs answers given by position")
         keys = F.transform(column, lambda _x, i: i.cast("string"))
         texts = F.transform(column, lambda x: json_of(x, dtype.elementType))
         index = source_label(src.column("label"), src.type(src.name("label")), "integer")
@@ -459,7 +459,7 @@ def normalize(
     }
     if "view_state_field" in config and src.has(config["view_state_field"]):
         if src.has("views"):
-            raise ConfigError("use either full views or view_state_field, not both")
+            raise ConfigError("views come from a field or from another state, not from both")
         extra["views"] = F.array(_alternative_view(src, config, F.col("__request")))
     elif src.has("views"):
         extra["views"] = F.col("views")

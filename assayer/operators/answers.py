@@ -33,9 +33,10 @@ def temperature_violations(temperatures: DataFrame) -> DataFrame:
 def with_temperature(df: DataFrame, temperatures: DataFrame) -> DataFrame:
     """Add ``temperature``: the entry for type and outcome count, else the type, else 1.0.
 
-    Keys are types with counts up to 255, so the table has at most a few hundred rows.
+    A repeated key is an error. Keys are types with counts up to 255, so the table has at most a few hundred rows.
     """
-    small = temperatures.select("key", "value")
+    once = F.when(F.count(F.lit(1)) > 1, F.raise_error("a temperature key repeats").cast("double"))
+    small = temperatures.groupBy("key").agg(once.otherwise(F.any_value("value").cast("double")).alias("value"))
     exact = small.select(F.col("key").alias("__exact"), F.col("value").alias("__t1"))
     plain = small.select(F.col("key").alias("__plain"), F.col("value").alias("__t2"))
     count = F.size("keys").cast("string")
@@ -194,4 +195,5 @@ def shared_states(
     )
     encoded = encode(distinct).drop(state)
     options = {} if rows_per_task is None else {"rows_per_task": rows_per_task}
-    return fan_out_join(keyed, encoded, "state_sha", row_key, **options)
+    # The hot list comes from the counts, so that ``encode`` is in the plan once.
+    return fan_out_join(keyed, encoded, "state_sha", row_key, counts=distinct.select("state_sha", "n"), **options)

@@ -19,6 +19,17 @@ def aligned_distribution(kind: Column, truth: Column, answer: Column, keys: Colu
     )
 
 
+def answered(gold: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Gold and predictions joined by (id, qid) with ``status``: ok, missing (no prediction), unexpected (no gold) or repeated."""
+    count = lambda df, name: df.groupBy("id", "qid").agg(F.count(F.lit(1)).alias(name))
+    both = count(gold, "asked").join(count(predictions, "given"), ["id", "qid"], "full")
+    status = (
+        F.when(F.col("given").isNull(), "missing").when(F.col("asked").isNull(), "unexpected")
+        .when((F.col("given") > 1) | (F.col("asked") > 1), "repeated").otherwise("ok")
+    )
+    return both.select("id", "qid", status.alias("status")).join(gold, ["id", "qid"], "left").join(predictions, ["id", "qid"], "left")
+
+
 def decision_metrics(df: DataFrame) -> DataFrame:
     """Per-decision columns from ``p``, ``g`` (gold probabilities), ``keys``, ``label``, ``type``."""
     p, g, keys = F.col("p"), F.col("g"), F.col("keys")

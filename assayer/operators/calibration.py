@@ -98,6 +98,8 @@ def fit_temperatures(df: DataFrame, *, by_count: bool = False, width: int | None
                 u[k] = new
             if not open_keys:
                 break
+        if open_keys:
+            raise ValueError(f"no minimum found within {MAX_STEPS} steps for {sorted(open_keys)}")
         result = []
         for k in sorted(keys):
             before, (where, after) = first[k][0], last[k]

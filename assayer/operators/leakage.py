@@ -55,9 +55,9 @@ def group_gate(records: DataFrame, *, allow_inferred: bool = False) -> DataFrame
 def check_splits(records: DataFrame) -> None:
     """Raise on a repeated id, a missing group or a key in two splits. Reads at most one bad row."""
     for problem, rows in (
-        ("duplicate record id", duplicate_ids(records)),
-        ("audited split_group required", group_gate(records, allow_inferred=True)),
-        ("cross-split leakage", split_leakage(records)),
+        ("an id repeats", duplicate_ids(records)),
+        ("a record has no audited group", group_gate(records, allow_inferred=True)),
+        ("a key occurs in two splits", split_leakage(records)),
     ):
         bad = rows.head(1)
         if bad:
@@ -110,7 +110,7 @@ def merge_courses(inherited: DataFrame, current: DataFrame) -> DataFrame:
     )
 
 
-def ancestors(runs: DataFrame, *, max_depth: int = 1000) -> DataFrame:
+def ancestors(runs: DataFrame) -> DataFrame:
     """Closure (run, ancestor, depth, cyclic) over ``runs(run, parent, self_contained)``.
 
     A run is its own ancestor at depth 0; a self-contained run needs no parent. Each round doubles
@@ -124,7 +124,7 @@ def ancestors(runs: DataFrame, *, max_depth: int = 1000) -> DataFrame:
     jumps = edges.withColumn("d", F.lit(1)).checkpoint()
     pairs = jumps
     reach = 1
-    while reach < max_depth:
+    while True:  # ends when no new pair appears, in a cycle too
         # pairs: every ancestor up to distance ``reach``; jumps: exactly ``reach``.
         further = (
             pairs.join(jumps.select(F.col("src").alias("mid"), F.col("dst").alias("far"), F.col("d").alias("e")),
@@ -195,8 +195,9 @@ def pair_differences(records: DataFrame, view_set: DataFrame, text: str = "recor
 
 def attach_views(records: DataFrame, view_set: DataFrame) -> DataFrame:
     """Views of the same id replace those of the record; view records without a match are added
-    once. Both sides share their columns; ``views`` decides what is replaced."""
-    views = view_set.select("id", F.col("views").alias("__views"))
+    once. An id that repeats in the view set is an error. Both sides share their columns; ``views`` decides what is replaced."""
+    once = F.when(F.count(F.lit(1)) > 1, F.raise_error("a view set repeats an id").cast(view_set.schema["views"].dataType))
+    views = view_set.groupBy("id").agg(once.otherwise(F.any_value("views")).alias("__views"))
     joined = records.join(views, "id", "left").withColumn(
         "views", F.coalesce("__views", "views")
     ).drop("__views")

@@ -47,7 +47,7 @@ def selected_views(views: DataFrame, chosen: DataFrame | None = None) -> DataFra
         counts = views.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     keys = [c for c in ("id", "view_id") if c in counts.columns]
     one = F.when(F.col("n") == 1, F.col("n")).otherwise(
-        F.raise_error("selected_view_id must identify exactly one view").cast("long")
+        F.raise_error("the chosen view is not there exactly once").cast("long")
     )
     return matched.join(counts.withColumn("n", one), keys).filter(F.col("n") == 1).drop("n")
 

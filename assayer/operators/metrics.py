@@ -12,7 +12,6 @@ from assayer.operators.prefix import range_bucket, running_sums
 from assayer.session import task_count
 
 CURVE_POINTS = 11
-MAX_RANGES = 256
 
 
 def with_target_vectors(df: DataFrame) -> DataFrame:
@@ -143,9 +142,7 @@ def risk_coverage(
     """
     by = list(by)
     spark = rows.sparkSession
-    scored, _ = range_bucket(
-        _soft(rows), "top_probability", min(buckets or task_count(spark), MAX_RANGES)
-    )
+    scored, _ = range_bucket(_soft(rows), "top_probability", buckets or task_count(spark))
     steps = (
         scored.groupBy(*by, "bucket", F.col("top_probability").alias("threshold"))
         .agg(
@@ -195,5 +192,6 @@ def slice_curves(rows: DataFrame, labels: str = "labels", **options) -> DataFram
 
 
 def decisions(questions: DataFrame, targets: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Supervised questions with their target and prediction, keyed by (id, qid)."""
-    return questions.join(targets, ["id", "qid"]).join(predictions, ["id", "qid"])
+    """Supervised questions with their target and prediction, keyed by (id, qid). A question without
+    a prediction stays, with NULL logits, which scoring refuses."""
+    return questions.join(targets, ["id", "qid"]).join(predictions, ["id", "qid"], "left")

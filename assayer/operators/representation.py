@@ -9,19 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.constants import READOUT_SAMPLE
-
 NORM_FLOOR = 1e-12
 
 
-def first_readouts(rows: DataFrame, order: list[str], n: int = READOUT_SAMPLE) -> DataFrame:
-    """The first n vectors in a stated order, the sample the diagnostics are defined on."""
-    return rows.orderBy(*order).limit(n)
-
-
 def moment_rows(rows: DataFrame, vector: str = "vector") -> DataFrame:
-    """Per-partition sums of unit directions: one row per matrix row, so that the sum over
-    partitions runs as an ordinary aggregation with d groups instead of on the driver."""
+    """Sums of unit directions, one row per matrix row: first within each partition, then over partitions by row number.
+    NULL and empty vectors take no part."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram = total = None
@@ -39,12 +32,24 @@ def moment_rows(rows: DataFrame, vector: str = "vector") -> DataFrame:
         if gram is None:
             return
         d = len(total)
-        data = np.vstack([gram, total, np.concatenate([[n, norm_sum], np.zeros(d - 2)])])
+        data = np.zeros((d + 2, max(d, 2)))
+        data[:d, :d], data[d, :d], data[d + 1, :2] = gram, total, (n, norm_sum)
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(d + 2), pa.int32()), pa.array(list(data), pa.list_(pa.float64()))], ["i", "v"]
         )
 
-    return rows.select(vector).mapInArrow(partial, "i int, v array<double>")
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[i] = sums.get(i, 0) + np.array(v.values)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.int32()), pa.array([x for x in sums.values()], pa.list_(pa.float64()))], ["i", "v"]
+        )
+
+    kind = "i int, v array<double>"
+    parts = rows.where(F.size(vector) > 0).select(vector).mapInArrow(partial, kind)
+    return parts.repartition("i").mapInArrow(summed, kind)
 
 
 def representation_stats(rows: DataFrame, vector: str = "vector") -> DataFrame:
@@ -53,22 +58,18 @@ def representation_stats(rows: DataFrame, vector: str = "vector") -> DataFrame:
     Only the d x d moment matrix is brought together, never the vectors. Its eigenvalues are the
     squared singular values of the centred directions.
     """
-    d = F.posexplode("v").alias("j", "x")
-    sums = moment_rows(rows, vector).select("i", d).groupBy("i", "j").agg(F.sum("x").alias("x"))
-    matrix = sums.groupBy().agg(F.collect_list(F.struct("i", "j", "x")).alias("m"))
+    matrix = moment_rows(rows, vector).groupBy().agg(F.collect_list(F.struct("i", "v")).alias("m"))  # d + 2 rows
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for entries in batch.column(0).to_pylist():
                 if not entries:
                     continue
-                size = max(e["j"] for e in entries) + 1
-                full = np.zeros((size + 2, size))
-                for e in entries:
-                    full[e["i"], e["j"]] = e["x"]
+                full = np.array([e["v"] for e in sorted(entries, key=lambda e: e["i"])])
+                size = len(full) - 2
                 n, norms = full[size + 1, 0], full[size + 1, 1]
-                mean = full[size] / n
-                cov = full[:size] / n - np.outer(mean, mean)
+                mean = full[size, :size] / n
+                cov = full[:size, :size] / n - np.outer(mean, mean)
                 energy = np.clip(np.linalg.eigvalsh(cov), 0, None)
                 rank = 0.0
                 if energy.sum() > 0:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from assayer.constants import BOOLEAN, CHOICE, SCOPE_ALL, SCOPE_QUESTION, SCORE
 from assayer.operators import answers as A
 from assayer.operators import benchmark as B
+from assayer.operators import overlap as O
 from assayer.operators import calibration as C
 from assayer.operators import losses as L
 from assayer.operators.metrics import with_target_vectors
@@ -135,6 +136,18 @@ def benchmark_metrics(spark, folder):
     return _rounded(out, *[c for c in out.columns if c != "decisions"])
 
 
+def benchmark_answers(spark, folder):
+    """Status of every decision when some predictions are missing, repeated or belong to no case."""
+    rows = X.table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.lit("q").alias("qid"), F.col("label").alias("gold"))
+    given = rows.filter("id % 7 > 0").select(F.when(F.col("id") % 50 == 1, F.col("id") + 1_000_000).otherwise(F.col("id")).alias("id"), "qid", F.col("gold").alias("answer"))
+    given = given.unionByName(given.filter("id % 31 = 3 and id < 1000000"))
+    return B.answered(rows, given).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("gold") == F.col("answer")).alias("hits"))
+
+
+def text_overlap_filter(spark, folder):
+    return O.text_overlap(X.table(spark, folder, "benchmark"), X.table(spark, folder, "documents"), "item_id")
+
+
 def macro_f1_pooled(spark, folder):
     return _rounded(B.macro_f1(B.decision_metrics(_cases(spark, folder))), "macro_f1")
 
@@ -269,7 +282,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         answers_choice, answers_score, answers_noul, temperature_lookup, rotation_variants,
-        rotation_average, usage_tokens, state_reuse, benchmark_metrics, macro_f1_pooled,
+        rotation_average, usage_tokens, state_reuse, benchmark_metrics, benchmark_answers, text_overlap_filter, macro_f1_pooled,
         latency_median, view_consistency, record_loss_paired, batch_loss, readout_alignment,
         head_scoring, selected_view, temperature_fit, temperature_fit_by_count,
     )
@@ -345,6 +358,19 @@ _FIT_ALL = _fit_sql(
 _INFORMED = CHOICE10.replace("AS z\n", "+ CASE WHEN k = label AND vec_id % 3 = 0 THEN 2.0 ELSE 0.0 END AS z\n")
 
 ORACLE = {
+    "benchmark_answers": """WITH g AS (SELECT vec_id AS id, label AS gold FROM embeddings),
+p AS (SELECT CASE WHEN id % 50 = 1 THEN id + 1000000 ELSE id END AS id, gold AS answer FROM g WHERE id % 7 > 0),
+a AS (SELECT * FROM p UNION ALL SELECT * FROM p WHERE id % 31 = 3 AND id < 1000000),
+c AS (SELECT coalesce(x.id, y.id) AS id, CASE WHEN y.n IS NULL THEN 'missing' WHEN x.n IS NULL THEN 'unexpected'
+  WHEN x.n > 1 OR y.n > 1 THEN 'repeated' ELSE 'ok' END AS status
+  FROM (SELECT id, count(*) AS n FROM g GROUP BY 1) x FULL JOIN (SELECT id, count(*) AS n FROM a GROUP BY 1) y ON x.id = y.id)
+SELECT status, count(*) AS n, count(*) FILTER (WHERE gold = answer) AS hits FROM c LEFT JOIN g USING (id) LEFT JOIN a USING (id) GROUP BY 1""",
+    "text_overlap_filter": """WITH t AS (SELECT 'i' AS side, item_id AS id, text FROM benchmark UNION ALL SELECT 'd', doc_id, text FROM documents),
+w AS (SELECT side, id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t-\\r]+') AS a FROM t),
+g AS (SELECT DISTINCT side, id, array_to_string(a[i:i + 7], ' ') AS gram FROM w, unnest(range(1, len(a) - 6)) AS u(i)),
+s AS (SELECT DISTINCT gram FROM g WHERE side = 'd')
+SELECT b.item_id, count(g.gram) AS grams, count(s.gram) AS seen
+FROM benchmark b LEFT JOIN g ON g.side = 'i' AND g.id = b.item_id LEFT JOIN s ON s.gram = g.gram GROUP BY 1""",
     "answers_choice": f"""WITH {CHOICE10.replace('4 * CAST', '1 / 0.7 * 4 * CAST')}, {softmax()}
 SELECT id, CAST(any_value(mode) AS VARCHAR) AS choice, {r6('greatest(0, (any_value(top) - 0.1) / 0.9)')} AS confidence,
   {r6('sum(CASE WHEN k = 3 THEN p END)')} AS p3 FROM p0 GROUP BY id""",

@@ -134,11 +134,11 @@ def representation_stats(spark, folder):
 
 
 def representation_rank(spark, folder):
-    """Effective rank of all vectors and of the first 256, the sample of the diagnostics."""
-    rows = X.table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
-    part = G.representation_stats(G.first_readouts(rows, ["vec_id"])).withColumn("scope", F.lit("first"))
-    return G.representation_stats(rows).withColumn("scope", F.lit("all")).unionByName(part).select(
-        "scope", "count", F.round("effective_rank", 6).alias("effective_rank"))
+    """Effective rank of all vectors, folded to two dimensions by the sums of their even and odd entries."""
+    whole = F.col("embedding").cast("array<double>")
+    part = lambda k: F.aggregate(F.filter(whole, lambda _, i: i % 2 == k), F.lit(0.0), lambda s, x: s + x)
+    rows = X.table(spark, folder, "embeddings").select(F.array(part(0), part(1)).alias("vector"))
+    return G.representation_stats(rows).select("count", F.round("effective_rank", 6).alias("effective_rank"))
 
 
 def _log(rows):
@@ -244,6 +244,12 @@ ORACLE = {
   WHEN doc_id % 5 = 3 AND doc_id % 3 > 0 THEN 'image_bytes' WHEN doc_id % 5 = 4 THEN 'references' ELSE 'ok' END AS problem FROM documents""",
     "image_audit": "SELECT doc_id, ['ok', 'ok', 'ok', 'media_type', 'animation', 'empty_image_bytes'][doc_id % 6 + 1] AS problem FROM documents",
     "token_publish": "SELECT lang AS _split_group, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS tokens FROM documents GROUP BY 1",
+    "representation_rank": """WITH e AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, unnest(range(1, len(embedding) + 1)) AS t(i)),
+s AS (SELECT sum(v) FILTER (WHERE i % 2 = 1) AS x, sum(v) FILTER (WHERE i % 2 = 0) AS y FROM e GROUP BY vec_id),
+u AS (SELECT x / greatest(sqrt(x * x + y * y), 1e-12) AS x, y / greatest(sqrt(x * x + y * y), 1e-12) AS y FROM s),
+m AS (SELECT count(*) AS n, avg(x * x) - avg(x) ** 2 AS a, avg(y * y) - avg(y) ** 2 AS d, avg(x * y) - avg(x) * avg(y) AS b FROM u),
+l AS (SELECT n, (a + d) / 2 + sqrt(((a - d) / 2) ** 2 + b * b) AS p, (a + d) / 2 - sqrt(((a - d) / 2) ** 2 + b * b) AS q FROM m)
+SELECT n AS count, round(exp(-(p / (p + q) * ln(p / (p + q)) + q / (p + q) * ln(q / (p + q)))), 6) AS effective_rank FROM l""",
     "table_digest": """WITH h AS (SELECT sha256('{"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '"}') AS s FROM orders)
 SELECT count(*) AS rows, sha256(concat_ws(':', """ + ", ".join(
         f"CAST(sum(CAST('0x' || substr(s, {1 + 15 * i}, 15) AS HUGEINT)) AS VARCHAR)" for i in range(4)) + ")) AS digest FROM h",

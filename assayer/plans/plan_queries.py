@@ -198,7 +198,7 @@ def encoder_preface(spark, folder):
         F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"), F.sum(F.length("text")).alias("n"))
     rows = turns.select(
         "conv_id", T.preface(F.transform("t", lambda x: F.concat(F.lit("About "), x["role"]))).alias("preface"),
-        F.concat(F.lit('"'), F.repeat(F.lit("w "), F.least(F.col("n"), F.lit(1500)).cast("int")), F.lit('"')).alias("state_json"),
+        F.concat(F.lit('"'), F.repeat(F.lit("w "), F.col("n").cast("int")), F.lit('"')).alias("state_json"),
         F.lit(20).alias("longest"), F.lit(60).alias("asked"))
     out = T.state_tokens(rows, LAYOUT, longest="longest", asked="asked", with_preface="preface")
     return out.select("conv_id", "preface", "state_tokens", F.col("has_preface").cast("int").alias("has_preface"))
@@ -416,7 +416,7 @@ SELECT id, CAST(head + n * 21 + 1 AS INTEGER) AS tokens, CAST(head + n * 21 AS I
     "neutralized_markers": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 19 ELSE 0 END AS added, 0 AS markers FROM documents",
     "encoder_preface": f"""WITH t AS (SELECT conv_id, role, min(turn) AS f FROM conversations GROUP BY 1, 2),
 c AS (SELECT conv_id, CAST(to_json(list('About ' || role ORDER BY f)) AS VARCHAR) AS j FROM t GROUP BY 1),
-n AS (SELECT conv_id, least(sum(length(text)), 1500) + 4 AS body FROM conversations GROUP BY 1),
+n AS (SELECT conv_id, sum(length(text)) + 4 AS body FROM conversations GROUP BY 1),
 a AS (SELECT conv_id, chr(10) || chr(10) || 'questions: ' || j AS preface, body FROM c JOIN n USING (conv_id)),
 b AS (SELECT *, body + {_words('preface')} AS aware FROM a)
 SELECT conv_id, preface, CAST(CASE WHEN aware + 20 <= 1500 AND aware + 60 <= 1600 THEN aware ELSE body END AS INTEGER) AS state_tokens,

@@ -32,9 +32,13 @@ def local_session(cores: int | str = 8, name: str = "assayer", **conf: str) -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or a new local one if unset."""
+    """The folder every executor can reach: spark.checkpoint.dir. Where it is unset, a local session (one machine) gets a new
+    folder of its own, and any other session is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="assayer-")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:

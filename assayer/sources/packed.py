@@ -37,9 +37,8 @@ def image_problem(mime: Column, content: Column) -> Column:
     fits = F.lit(False)
     for name, pattern in MAGIC.items():
         fits = fits | ((mime == name) & head.rlike(pattern))
-    body = F.hex(content)
-    animated = ((mime == "image/png") & body.contains("6163544C")) | (
-        (mime == "image/webp") & body.contains("414E494D")
+    animated = ((mime == "image/png") & F.contains(content, F.lit(b"acTL"))) | (
+        (mime == "image/webp") & F.contains(content, F.lit(b"ANIM"))
     )
     return (
         F.when(content.isNull() | (F.octet_length(content) == 0), "empty_image_bytes")
@@ -98,17 +97,26 @@ def pack(records: DataFrame) -> DataFrame:
 
 
 def embed_files(records: DataFrame, spark: SparkSession, path: str, column: str = "image_path") -> DataFrame:
-    """Replace a file path by a data URL of its bytes. The type comes from the file name ending."""
+    """Replace a file path by a data URL of its bytes. The type comes from the file name ending.
+
+    A relative path is taken from ``path``; files match on their whole path, not on their name.
+    """
+
+    def plain(p: Column) -> Column:
+        p = F.regexp_replace(p, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", "/")
+        return F.regexp_replace(F.regexp_replace(p, r"/(\./)+", "/"), "/+", "/")
+
     ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))
     mime = F.try_element_at(F.create_map(*[F.lit(x) for kv in ENDINGS.items() for x in kv]), ending)
     files = spark.read.format("binaryFile").load(path).select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("__name"),
+        plain(F.col("path")).alias("__file"), mime.isNull().alias("__unknown"),
         F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64("content")).alias("image"),
     )
-    joined = records.withColumn("__name", F.regexp_extract(column, r"([^/]+)$", 1)).join(files, "__name", "left")
-    return joined.withColumn(
-        "image_problem", F.when(F.col("image").isNull(), "image_must_be_local_or_data_url")
-    ).drop("__name")
+    own = F.col(column)
+    full = F.when(own.rlike("^(/|[A-Za-z][A-Za-z0-9+.-]*:)"), own).otherwise(F.concat(F.lit(path + "/"), own))
+    joined = records.withColumn("__file", plain(full)).join(files, "__file", "left")
+    problem = F.when(F.col("__unknown").isNull(), "no_such_file").when(F.col("__unknown"), "unknown_image_type")
+    return joined.withColumn("image_problem", problem).drop("__file", "__unknown")
 
 
 def write_packed(packed: DataFrame, path: str, *, max_rows: int | None = None) -> None:
@@ -224,8 +232,8 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 def publish_tokens(spark: SparkSession, rows: DataFrame, tokens: DataFrame, path: str, settings: dict) -> int:
     """Write rows with their token columns as a new version and publish it in the manifest.
 
-    Old token columns are replaced. The version becomes visible only after the written row count
-    equals the input's; readers take the highest published version, so a failed write leaves the
+    Old token columns are replaced. The version becomes visible only after every id is written as often as
+    the input has it; readers take the highest published version, so a failed write leaves the
     previous one in place.
     """
     base = rows.drop(*[c for c in TOKEN_COLUMNS if c in rows.columns])
@@ -238,9 +246,13 @@ def publish_tokens(spark: SparkSession, rows: DataFrame, tokens: DataFrame, path
     version = 0 if latest is None else latest + 1
     target = f"{path}/version={version}"
     base.join(tokens, "id").write.mode("errorifexists").option("compression", "zstd").parquet(target)
-    wanted, written = base.count(), spark.read.parquet(target).count()
-    if wanted != written:
-        raise ValueError(f"tokenization changed the number of records: {wanted} -> {written}")
+    before = base.groupBy("id").agg(F.count(F.lit(1)).alias("wanted"))
+    after = spark.read.parquet(target).groupBy("id").agg(F.count(F.lit(1)).alias("written"))
+    both = before.join(after, "id", "full")
+    sums = both.agg(F.count_if(~F.col("wanted").eqNullSafe(F.col("written"))).alias("bad"), F.coalesce(F.sum("written"), F.lit(0)).alias("n")).first()
+    if sums["bad"]:
+        raise ValueError(f"tokenization lost or repeated {sums['bad']} ids")
+    written = sums["n"]
     entry = [(FORMAT, version, target, json.dumps(settings, sort_keys=True), written)]
     spark.createDataFrame(entry, "format string, version long, path string, settings string, rows long").coalesce(
         1

@@ -45,30 +45,30 @@ def read_json_array(spark: SparkSession, path: str) -> DataFrame:
         "value", F.col("_metadata.file_path").alias("source_file")
     )
     sound = J.strict(F.col("value")) & (J.text_kind(F.col("value")) == "array")
-    text = F.when(sound, F.col("value")).otherwise(F.raise_error("input must be an array of row objects"))
+    text = F.when(sound, F.col("value")).otherwise(F.raise_error("the file is no array of objects"))
     rows = whole.select(F.posexplode(J.items(text)).alias("position", "item"), "source_file")
     value = F.when(F.col("item.kind") == "object", F.col("item.json")).otherwise(
-        F.raise_error("input must be an array of row objects").cast("string")
+        F.raise_error("the file is no array of objects").cast("string")
     )
     return rows.select(value.alias("value"), "position", "source_file")
 
 
 def read_delimited(spark: SparkSession, path: str, *, sep: str = ",", strict: bool = True) -> DataFrame:
-    """CSV or TSV with unique header names. Every value stays a string; a ragged row is an error, or
+    """CSV or TSV with unique header names, the same in every file (another header fails). Every value stays a string; a ragged row is an error, or
     with ``strict=False`` a row whose ``_corrupt`` column holds the text."""
     header = spark.read.text(path).first()
     if header is None:
-        raise ValueError("CSV/TSV requires a header")
+        raise ValueError("the first line has no column names")
     names = spark.createDataFrame([(header["value"].lstrip("﻿"),)], "h string").select(
         F.from_csv("h", F.lit(", ".join(f"c{i} string" for i in range(header["value"].count(sep) + 1))), {"sep": sep}).alias("r")
     ).first()["r"]
     columns = [c for c in names if c is not None]
     if len(columns) != len(set(columns)) or not columns:
-        raise ValueError("CSV/TSV requires unique header names")
+        raise ValueError("column names repeat")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, CORRUPT]])
     rows = (
         spark.read.schema(schema)
-        .option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"')
+        .option("header", True).option("sep", sep).option("multiLine", True).option("enforceSchema", False).option("escape", '"')
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
         .option("emptyValue", "").option("nullValue", "\u0000").csv(path)
     )
@@ -78,7 +78,7 @@ def read_delimited(spark: SparkSession, path: str, *, sep: str = ",", strict: bo
     broken = F.col(CORRUPT).isNotNull() | missing
     if not strict:
         return rows.withColumn(CORRUPT, F.when(broken, F.coalesce(CORRUPT, F.lit(""))))
-    first = F.when(broken, F.raise_error("malformed CSV/TSV row").cast("string")).otherwise(F.col(f"`{columns[0]}`"))
+    first = F.when(broken, F.raise_error("a row does not fit the columns").cast("string")).otherwise(F.col(f"`{columns[0]}`"))
     return rows.select(first.alias(columns[0]), *[F.col(f"`{c}`") for c in columns[1:]])
 
 

@@ -64,7 +64,7 @@ def leakage_gate(spark: SparkSession, sources: str, accepted: str, rejected: str
     return write
 
 
-def log_metrics(rows: DataFrame, text: str, time: str, *, delay: str, window: str, depth: int = 4) -> DataFrame:
+def log_metrics(rows: DataFrame, text: str, time: str, *, delay: str, window: str, depth: int = 16) -> DataFrame:
     """Mean, extremes and count of every number of a JSON log per tumbling window."""
     leaves = rows.withWatermark(time, delay).select(time, F.inline(J.numeric_leaves(F.col(text), depth)))
     return leaves.groupBy(F.window(time, window).alias("w"), "name").agg(

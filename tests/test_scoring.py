@@ -169,3 +169,65 @@ def test_alignment_needs_every_readout(spark):
     df = spark.createDataFrame([([[1.0, 0.0], [0.0, 1.0]], [[1.0, 0.0]])], "a array<array<double>>, b array<array<double>>")
     with pytest.raises(Exception, match="one row per outcome"):
         df.select(losses.readout_alignment(F.col("a"), F.col("b"))).collect()
+
+
+def test_representation_of_odd_vectors(spark):
+    df = spark.createDataFrame([([3.0],), (None,), ([],), ([-1.0],)], "vector array<double>")
+    got = representation_stats(df).first()
+    assert got["count"] == 2 and got["mean_norm"] == 2.0 and got["effective_rank"] == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("width", [None, 4])
+def test_lost_or_uneven_logits_fail(spark, width):
+    from assayer.functions.scoring import score
+
+    schema = "type string, kind string, keys array<string>, logits array<double>, t array<double>, allowed array<double>"
+    good = ("choice", "class", ["a", "b"], [0.1, 0.2], [1.0, 0.0], None)
+    assert score(spark.createDataFrame([good], schema), width).count() == 1
+    for bad in ((*good[:3], None, *good[4:]), (*good[:3], [], *good[4:]), (*good[:3], [0.1, 0.2, 0.3], *good[4:])):
+        with pytest.raises(Exception, match="logits"):
+            score(spark.createDataFrame([good, bad], schema), width).collect()
+
+
+def test_repeated_temperature_fails(spark):
+    from assayer.operators.answers import with_temperature
+
+    rows = spark.createDataFrame([("choice", ["a", "b"])], "type string, keys array<string>")
+    twice = spark.createDataFrame([("choice", 2.0), ("choice", 3.0)], "key string, value double")
+    assert with_temperature(rows, twice.limit(1)).first()["temperature"] == 2.0
+    with pytest.raises(Exception, match="repeats"):
+        with_temperature(rows, twice).collect()
+
+
+def test_long_chain_and_deep_log(spark):
+    from assayer.operators.leakage import ancestors
+    from assayer.operators.runs import scalar_metrics
+
+    runs = spark.range(1500).selectExpr("cast(id as string) run", "if(id > 0, cast(id - 1 as string), null) parent", "false self_contained")
+    closure = ancestors(runs).filter("run = '1499'")
+    assert closure.count() == 1500 and closure.selectExpr("max(depth)").first()[0] == 1499
+    text = '{"a":' * 12 + '{"x":1.5,"s":"}{"}' + "}" * 12
+    got = scalar_metrics(spark.createDataFrame([(1, text)], "id long, line string"), "line", ["id"]).collect()
+    assert [(r["name"].count("/"), r["value"]) for r in got] == [(12, 1.5)]
+
+
+def test_view_set_with_repeated_id_fails(spark):
+    from assayer.operators.leakage import attach_views
+
+    kind = "id string, views array<string>"
+    records = spark.createDataFrame([("a", None)], kind)
+    with pytest.raises(Exception, match="repeats an id"):
+        attach_views(records, spark.createDataFrame([("a", ["v"]), ("a", ["w"])], kind)).collect()
+    assert attach_views(records, spark.createDataFrame([("a", ["v"])], kind)).first()["views"] == ["v"]
+
+
+def test_states_are_encoded_once(spark):
+    from pyspark.sql import functions as F
+
+    from assayer.operators.answers import shared_states
+
+    rows = spark.range(100).selectExpr("id", "concat('s', id % 7) state")
+    encode = lambda df: df.mapInPandas(lambda it: (x.assign(size=x.state.str.len()) for x in it), "state_sha string, state string, n long, size long")
+    out = shared_states(rows, "state", encode, row_key=F.col("id"), rows_per_task=10)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and out.count() == 100
