@@ -13,7 +13,7 @@ from assayer.operators import losses as L
 from assayer.operators.metrics import with_target_vectors
 from assayer.plans import fixtures as X
 from assayer.plans.metric_queries import _SCORE5, _noul_rows, _rounded
-from assayer.plans.sql import CHOICE10, r6, softmax
+from assayer.plans.sql import CHOICE10, fold, r6, softmax
 
 TEMPERATURES = [("choice:10", 0.7), ("choice", 1.5), ("score", 2.0), ("noul", 0.8)]
 
@@ -174,7 +174,7 @@ def view_consistency(spark, folder):
 
 def _rows_of_dims(count, width, start=0):
     return F.array(
-        *[X.dims(start + i * width, width, 1.0) for i in range(count)]
+        *[X.cut_dims(start + i * width, width) for i in range(count)]
     )
 
 
@@ -290,7 +290,7 @@ QUERIES = {
 
 _CASES = f"""c AS (SELECT vec_id AS id, label, k,
   CASE vec_id % 3 WHEN 0 THEN 'choice' WHEN 1 THEN 'score' ELSE 'noul' END AS type,
-  exp(4 * CAST(embedding[k + 1] AS DOUBLE)) AS ep, exp(4 * CAST(embedding[k + 21] AS DOUBLE)) AS eg
+  exp(4 * ({fold()})) AS ep, exp(4 * ({fold(shift=20)})) AS eg
   FROM embeddings CROSS JOIN range(0, 10) r(k) WHERE vec_id % 3 < 2 OR k < 2),
 n AS (SELECT id, label, k, type, ep / sum(ep) OVER (PARTITION BY id) AS p,
   eg / sum(eg) OVER (PARTITION BY id) AS g,
@@ -303,7 +303,7 @@ d AS (SELECT id, type, any_value(gold) AS gold, any_value(pred) AS pred,
   CASE WHEN type = 'score' THEN abs(sum(k * g) - sum(k * p)) END AS gap FROM m GROUP BY id, type)"""
 
 _VIEWS = f"""{CHOICE10}, {softmax()},
-z1 AS (SELECT vec_id AS id, label, k, 4 * CAST(embedding[k + 11] AS DOUBLE) AS z
+z1 AS (SELECT vec_id AS id, label, k, 4 * ({fold(shift=10)}) AS z
   FROM embeddings CROSS JOIN range(0, 10) r(k)), {softmax('z1', 'p1')}"""
 
 
@@ -371,7 +371,7 @@ g AS (SELECT DISTINCT side, id, array_to_string(a[i:i + 7], ' ') AS gram FROM w,
 s AS (SELECT DISTINCT gram FROM g WHERE side = 'd')
 SELECT b.item_id, count(g.gram) AS grams, count(s.gram) AS seen
 FROM benchmark b LEFT JOIN g ON g.side = 'i' AND g.id = b.item_id LEFT JOIN s ON s.gram = g.gram GROUP BY 1""",
-    "answers_choice": f"""WITH {CHOICE10.replace('4 * CAST', '1 / 0.7 * 4 * CAST')}, {softmax()}
+    "answers_choice": f"""WITH {CHOICE10.replace('4 * (', '1 / 0.7 * 4 * (')}, {softmax()}
 SELECT id, CAST(any_value(mode) AS VARCHAR) AS choice, {r6('greatest(0, (any_value(top) - 0.1) / 0.9)')} AS confidence,
   {r6('sum(CASE WHEN k = 3 THEN p END)')} AS p3 FROM p0 GROUP BY id""",
     "answers_score": f"""WITH {_SCORE5.split(', p0_m AS')[0].replace(' AS z', ' AS z_raw').replace('b AS (', 'b_raw AS (')},

@@ -27,8 +27,25 @@ def names(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def dims(start: int, count: int = 10, factor: float = 4.0) -> Column:
-    """Embedding entries as doubles, scaled."""
+DIMS = 64
+
+
+def dims(shift: int, count: int = 10, factor: float = 4.0) -> Column:
+    """All 64 embedding entries folded into ``count`` doubles: entry k sums every ``count``-th one from k on, after a rotation
+    by ``shift``, scaled."""
+
+    def entry(k: int) -> Column:
+        terms = [F.get("embedding", F.lit((at + shift) % DIMS)).cast("double") for at in range(k, DIMS, count)]
+        out = terms[0]
+        for term in terms[1:]:
+            out = out + term
+        return out * factor
+
+    return F.array(*[entry(k) for k in range(count)])
+
+
+def cut_dims(start: int, count: int, factor: float = 1.0) -> Column:
+    """Neighbouring embedding entries as doubles, scaled."""
     return F.transform(
         F.slice("embedding", start + 1, count), lambda x: x.cast("double") * factor
     )

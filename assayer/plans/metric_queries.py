@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from assayer.functions.scoring import score
 from assayer.operators import metrics as M
 from assayer.plans import fixtures as X
-from assayer.plans.sql import CHOICE10, ECE, SOFT10, r6, softmax
+from assayer.plans.sql import CHOICE10, ECE, SOFT10, fold, r6, softmax
 
 
 def _rounded(df, *columns):
@@ -214,9 +214,9 @@ _LABELS = """s AS (SELECT q.*, u.slice FROM q CROSS JOIN LATERAL (
       WHEN n_chars % 700 <= 512 THEN '512' ELSE '1024' END]) AS slice) u)"""
 
 _NONFINITE = CHOICE10.replace(
-    "4 * CAST(embedding[k + 1] AS DOUBLE)",
+    f"4 * ({fold()})",
     "CASE WHEN k = 3 AND vec_id % 13 = 1 THEN -1e6 WHEN k = 3 AND vec_id % 13 = 2 THEN 1e6 "
-    "WHEN k = 3 AND vec_id % 13 = 3 THEN -1e6 ELSE 4 * CAST(embedding[k + 1] AS DOUBLE) END",
+    f"WHEN k = 3 AND vec_id % 13 = 3 THEN -1e6 ELSE 4 * ({fold()}) END",
 )
 
 ORACLE = {

@@ -10,6 +10,7 @@ from assayer.operators import adapters as A
 from assayer.operators import records as R
 from assayer.operators import validate as V
 from assayer.plans import fixtures as X
+from assayer.plans.sql import fold
 
 LANGS = {"en": "English", "de": "German", "fr": "French"}
 BOOLEAN_Q = {"type": "noul", "instructions": "Is it good?"}
@@ -355,8 +356,8 @@ QUERIES = {
 
 _RULES = "CASE event_id % 16 " + " ".join(
     f"WHEN {i} THEN '{rule or ''}'" for i, (_n, rule) in enumerate(DAMAGE)) + " END"
-_SOFT3 = "exp(4 * CAST(embedding[{}] AS DOUBLE))"
-_SOFTSUM = "(" + " + ".join(_SOFT3.format(i) for i in (1, 2, 3)) + ")"
+_SOFT3 = {i: f"exp(4 * ({fold(str(i - 1), count=3)}))" for i in (1, 2, 3)}
+_SOFTSUM = "(" + " + ".join(_SOFT3.values()) + ")"
 
 ORACLE = {
     "adapter_classification": """SELECT CAST(doc_id AS VARCHAR) AS id, source AS split_group,
@@ -385,8 +386,8 @@ SELECT CAST(conv_id AS VARCHAR) AS id, CASE WHEN ok AND known THEN answer END AS
   list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) - 1 AS i FROM events)
 SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN i < n THEN CAST(i AS VARCHAR) END AS value,
   CASE WHEN i < n THEN 0 ELSE 1 END AS errors FROM e""",
-    "adapter_distribution": f"""SELECT CAST(vec_id AS VARCHAR) AS id, round({_SOFT3.format(2)} / {_SOFTSUM}, 6) AS en,
-  round({_SOFT3.format(3)} / {_SOFTSUM}, 6) AS de, round({_SOFT3.format(1)} / {_SOFTSUM}, 6) AS fr, 0 AS errors FROM embeddings""",
+    "adapter_distribution": f"""SELECT CAST(vec_id AS VARCHAR) AS id, round({_SOFT3[2]} / {_SOFTSUM}, 6) AS en,
+  round({_SOFT3[3]} / {_SOFTSUM}, 6) AS de, round({_SOFT3[1]} / {_SOFTSUM}, 6) AS fr, 0 AS errors FROM embeddings""",
     "adapter_allowed_set": """SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN lang = 'es' THEN 'unmapped_label'
   WHEN doc_id % 3 = 0 OR lang = 'en' THEN 'allowed_outcome' END AS rule FROM documents""",
     "multilabel_complete": """SELECT CAST(doc_id AS VARCHAR) AS id, qid, CAST(CASE qid WHEN 'quality' THEN quality

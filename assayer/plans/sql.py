@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+
+def fold(k: str = "k", shift: int = 0, count: int = 10) -> str:
+    """Sum of every ``count``-th embedding entry from ``k`` on, after a rotation by ``shift``."""
+    term = "CAST(embedding[({} + {}) % 64 + 1] AS DOUBLE)"
+    return " + ".join(f"CASE WHEN {k} + {m} < 64 THEN {term.format(k, m + shift)} ELSE 0.0 END" for m in range(0, 64, count))
+
+
 # (id, label, k, z): ten-way logits of the embeddings table.
-CHOICE10 = """z0 AS (
-  SELECT vec_id AS id, label, k, 4 * CAST(embedding[k + 1] AS DOUBLE) AS z
+CHOICE10 = f"""z0 AS (
+  SELECT vec_id AS id, label, k, 4 * ({fold()}) AS z
   FROM embeddings CROSS JOIN range(0, 10) r(k))"""
 
-SOFT10 = """t0 AS (
+SOFT10 = f"""t0 AS (
   SELECT id, k, e / sum(e) OVER (PARTITION BY id) AS t
-  FROM (SELECT vec_id AS id, k, exp(4 * CAST(embedding[k + 21] AS DOUBLE)) AS e
+  FROM (SELECT vec_id AS id, k, exp(4 * ({fold(shift=20)})) AS e
         FROM embeddings CROSS JOIN range(0, 10) r(k)))"""
 
 
