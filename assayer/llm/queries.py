@@ -62,6 +62,31 @@ SELECT doc_id, n_lines, removed_lines, CAST(length(text) AS BIGINT) AS n_chars,
 """
 
 
+OP7_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t-\\r]+') AS a
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(a[i:i + 2], ' ') AS g FROM words, unnest(range(1, len(a) - 1)) AS t(i) WHERE len(a) >= 3
+  UNION ALL SELECT doc_id, array_to_string(a, ' ') FROM words WHERE len(a) BETWEEN 1 AND 2
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), sides AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id, doc_id AS root FROM documents UNION SELECT s.b, r.root FROM reach r JOIN sides s ON s.a = r.doc_id
+), least AS (
+  SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN least USING (doc_id)
+"""
+
+
 def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     found = near_dedup.near_duplicates(table(spark, folder, "documents"), size=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -139,4 +164,5 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
     "op6_line_dedup": OP6_SQL,
+    "op7_near_duplicates": OP7_SQL,
 }
