@@ -26,7 +26,7 @@ from assayer.llm.shared import stored
 
 DEPTH = 4
 SENT = 1 << 20  # entries of the word table, and of the byte table, that tasks look up themselves; about 40 bytes each
-HELD = 1 << 20  # distinct keys that a task sums up before it hands them on
+HELD = 1 << 19  # distinct keys that a task sums up before it hands them on
 WORD, GRAM = 0, 1
 END = -1  # key of the end token among the words
 
@@ -79,7 +79,7 @@ def counts(docs: DataFrame, depth: int) -> DataFrame:
                 [pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.astype(np.uint64).view(np.int64)), pa.array(n)], ["kind", "key", "n"]
             )
 
-        for batch in batches:
+        for batch in tx.portions(batches):
             train = batch.column("train").to_numpy(zero_copy_only=False)
             data, off = tx.texts(batch.column("text"))
             ends += int(train.sum())
@@ -91,7 +91,7 @@ def counts(docs: DataFrame, depth: int) -> DataFrame:
             for at, found in grams(data, off, depth):
                 add(GRAM, found, flag[at : at + len(found)].astype(float))
             for kind in (WORD, GRAM):
-                if sizes[kind] > 4 * HELD:
+                if sizes[kind] > 2 * HELD:
                     merged(kind)
                     if sizes[kind] > HELD:
                         yield out(kind)
@@ -197,7 +197,7 @@ def score(docs: DataFrame, train: Column, keep: list[str], *, depth: int = DEPTH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (word_index, word_value, all_words), (byte_index, byte_value, all_bytes) = look_up()
-        for batch in batches:
+        for batch in tx.portions(batches):
             data, off = tx.texts(batch.column("text"))
             n = len(batch)
             rest: list[tuple[np.ndarray, np.ndarray, int]] = []

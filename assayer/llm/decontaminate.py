@@ -218,7 +218,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         index = spark.sparkContext.broadcast(built)  # at most ITEMS items
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in tx.portions(batches):
                 found = list(matches(index.value, batch.column("text")))
                 row, place, score, word, question, answer = zip(*found) if found else ((),) * 6
                 take = pa.array(row, pa.int64())

@@ -237,9 +237,10 @@ def identify(docs: DataFrame, net: Network | None, keep: list[str] | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        for batch in batches:
+        column = lambda b: b.column("text") if at is None else b.column("row").flatten()[at]
+        for batch in tx.portions(batches, column):
             letter = batch.column("letter").to_numpy(zero_copy_only=False)
-            data, off = tx.texts(batch.column("text") if at is None else batch.column("row").field(at))
+            data, off = tx.texts(column(batch))
             if net is None:
                 score, lang = np.zeros(len(letter)), [UNKNOWN] * len(letter)
             else:

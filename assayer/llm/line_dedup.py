@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm import text as tx
 from assayer.llm.shared import small, stored
 
 DIVISOR = 2  # lines of a chunk on average
@@ -45,7 +46,7 @@ def _occurrences(rows: DataFrame, divisor: int, wanted: DataFrame | None = None)
     with_body = wanted is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.portions(batches):
             row, number, first, many, key, body = [], [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 at = 0

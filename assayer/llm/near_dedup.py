@@ -82,7 +82,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     null for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.portions(batches):
             data, off = tx.texts(batch.column("text"))
             count, node, sig = [], [], []
             for found in _sets(data, off, size):
@@ -109,7 +109,7 @@ def keys(nodes: DataFrame, percent: int) -> DataFrame:
     factor, absent = tx._random(INDEXED, 17) | tx.U64(1), tx._random(INDEXED, 19)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.tidy(batches):
             if not len(batch):
                 continue
             symbols = _symbols(batch.column("sig"))[:, :INDEXED].astype(np.uint64) + tx.U64(1)
@@ -150,7 +150,7 @@ def _apart(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     near, far = allowed(INDEXED, percent), allowed(SYMBOLS, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.tidy(batches):
             if not len(batch):
                 continue
             other = _symbols(batch.column("sig_a")) != _symbols(batch.column("sig_b"))
@@ -178,7 +178,7 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, perc
     """The stored pairs ``a, b`` whose full shingle sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.portions(batches, lambda b: b.column("text_b")):
             left, right = (_sets(*tx.texts(batch.column(c)), size) for c in ("text_a", "text_b"))
             keep = []
             for x, y in zip(left, right):
@@ -252,7 +252,7 @@ def _close(rows: DataFrame, percent: int) -> DataFrame:
     near, far = allowed(INDEXED, percent), allowed(SYMBOLS, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _runs(batches, "block"):
+        for part in tx.tidy(_runs(batches, "block")):
             node, root, size = (part.column(c).to_numpy() for c in ("node", "root", "n_shingles"))
             sig, side = _symbols(part.column("sig")), part.column("side").to_numpy()
             groups, found = _Groups(len(node)), []
@@ -277,7 +277,7 @@ def _exact(rows: DataFrame, size: int, percent: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _runs(batches, "block"):
+        for part in tx.tidy(_runs(batches, "block")):
             node, root, side = (part.column(c).to_numpy() for c in ("node", "root", "side"))
             sets = list(_sets(*tx.texts(part.column("text")), size))
             count = np.array([len(x) for x in sets])

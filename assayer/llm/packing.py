@@ -24,7 +24,7 @@ from assayer.llm.shared import stored
 
 CAPACITY = 1024
 END = 2
-CACHED = 2_000_000  # distinct text segments whose ids a worker keeps
+CACHED = 500_000  # distinct text segments whose ids a worker keeps
 RANKED_ROWS = 1_000_000  # pieces of one length that one task ranks
 
 
@@ -178,7 +178,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _segments(tokenizer)
         last = np.array([end], dtype="<u4")
-        for batch in batches:
+        for batch in tx.portions(batches):
             flat, begin = encoder.encode(*tx.texts(batch.column("text")))
             flat = flat.astype("<u4", copy=False)
             row, number, start, length, crc, lists = [], [], [], [], [], []
@@ -198,6 +198,8 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end: in
                 columns.append(pa.array(lists, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        encoder.clear()  # a reused worker does not keep what it learned
+        tx.release()
 
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if ids else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kind)

@@ -55,7 +55,7 @@ def _shapes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, words: np.ndar
     # a polynomial in the number of runs so far, taken relative to the word's first run
     runs = np.cumsum(new)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    power, inverse = tx._powers(1 << max(21, int(len(data)).bit_length()))
+    power, inverse = tx._powers(1 << max(20, int(len(data)).bit_length()))
     np.cumsum(np.where(new, _SHAPE[data] * power[runs - 1], tx.U64(0)), out=sums[1:])
     out = tx.mix((sums[end] - sums[begin]) * inverse[runs[begin] - 1])
     again = np.zeros(len(words), dtype=bool)
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, *, label: str = "qu
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(allowed).join(drawn, F.col("doc_id") == F.col("label_id"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.portions(batches):
             found = list(features(batch.column("text")))
             number = pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32()))
             value = pa.array([f[1].astype(np.float32) for f in found], pa.list_(pa.float32()))
@@ -175,7 +175,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in tx.portions(batches):
             found = [model.score(*f) for f in features(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.float64())], ["row", "score"])
 

@@ -7,13 +7,14 @@ long a text is; what a batch keeps is one fingerprint and one row number per wor
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 U64 = np.uint64
 
 
@@ -62,6 +63,38 @@ def texts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system: Spark reuses Python workers, and all of an executor's share its limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps or returns it as it likes
+        pass
+
+
+def tidy(batches: Iterator) -> Iterator:
+    """The same batches, with ``release`` when the task is done."""
+    try:
+        yield from batches
+    finally:
+        release()
+
+
+def portions(batches: Iterator[pa.RecordBatch], column=lambda batch: batch.column("text"), limit: int = 2 * BLOCK) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``limit`` bytes of text, or one row, so that a task's work arrays stay small."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        off = texts(column(batch))[1]
+        at = 0
+        while at < len(batch):
+            to = min(len(batch), max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1))
+            yield batch.slice(at, to - at)
+            at = to
+        del batch, off
+    release()
+
+
 def blocks(data: np.ndarray, off: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, int]]:
     """Ranges of at most ``limit`` bytes that end at a space or at the end of a text; a longer word is
     one range."""
