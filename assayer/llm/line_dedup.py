@@ -4,6 +4,9 @@ A text is cut into lines at line feeds. A rolling value over the fingerprints of
 whether a chunk ends after the line, so inserting or deleting lines moves only the boundaries next to the change. Chunks of
 two or more lines that occur again anywhere (in another document or in the same one) are removed, except their first occurrence.
 Equal fingerprints only select candidates: occurrences count as equal when their bytes are.
+
+``dedup_passages`` needs no boundaries: every two neighbouring lines are a window, and so is every line of more than ``LONG`` words.
+All windows that occurred before go, so a repeated passage goes up to its last equal line, whatever stands around it.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.llm import text as tx
@@ -20,6 +23,7 @@ from assayer.llm.shared import small, stored
 
 DIVISOR = 2  # lines of a chunk on average
 LETTER = 28  # bits of a line's fingerprint
+LONG = 50  # words up to which a line that repeats without a neighbour stays
 
 
 def fingerprint(line: str) -> int:
@@ -91,14 +95,68 @@ def repeated(docs: DataFrame, *, divisor: int = DIVISOR) -> DataFrame:
     return true.select("doc_id", "th", "first_line", "n_lines")
 
 
-def dedup_lines(docs: DataFrame, *, divisor: int = DIVISOR) -> DataFrame:
-    """``docs`` with the repeated chunks taken out of ``text``, and ``removed_lines`` (long) as last column.
+def windows(text: str, long: int) -> Iterator[tuple[int, int, str]]:
+    """First line, number of lines and bytes of every two neighbouring lines that are not both blank, and of every line of over ``long`` words."""
+    lines = text.split("\n")
+    blank = [not line.strip() for line in lines]
+    for i, line in enumerate(lines):
+        if len(line) > 2 * long and len(line.split()) > long:
+            yield i, 1, line
+        if i + 1 < len(lines) and not (blank[i] and blank[i + 1]):
+            yield i, 2, line + "\n" + lines[i + 1]
 
-    A null text stays null with 0 removed lines; an empty text is one empty line and never changes; a text whose every line goes
-    becomes empty. Rows that repeat doc_id and text all keep the same lines. Other columns pass through whatever their
-    names; a column called ``removed_lines`` is replaced. An empty table gives an empty table.
+
+def _windows(rows: DataFrame, long: int, wanted: DataFrame | None = None) -> DataFrame:
+    """``key`` of every window; with ``doc_id, th, first_line, n_lines, body`` if ``wanted`` keys are given."""
+
+    with_body = wanted is not None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tx.portions(batches):
+            row, first, many, key, body = [], [], [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                for at, n, lines in windows(text or "", long):
+                    key.append(int.from_bytes(hashlib.md5(lines.encode("utf-8", "replace")).digest()[:8], "big", signed=True))
+                    if with_body:
+                        row.append(i), first.append(at), many.append(n), body.append(lines)
+            columns, names = [pa.array(key, pa.int64())], ["key"]
+            if with_body:
+                take = pa.array(row, pa.int64())
+                columns += [batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(first, pa.int64()), pa.array(many, pa.int64()), pa.array(body, pa.string())]
+                names += ["doc_id", "th", "first_line", "n_lines", "body"]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    if wanted is None:
+        return rows.mapInArrow(run, "key long")
+    kind = "key long, doc_id long, th long, first_line long, n_lines long, body string"
+    return rows.mapInArrow(run, kind).join(small(wanted), "key", "left_semi")
+
+
+def repeated_passages(docs: DataFrame, *, long: int = LONG) -> DataFrame:
+    """``doc_id, th, first_line, n_lines`` of the lines to remove, as runs that do not touch each other.
+
+    A window goes if its bytes occurred before, by (doc_id, th, first_line) with nulls first, and do not overlap their first
+    occurrence. So the first occurrence of a line never goes. Documents that repeat in all of doc_id and text are one document.
     """
-    ranges = stored(repeated(docs, divisor=divisor), "ranges")
+    rows = _rows(docs)
+    keys = stored(_windows(rows, long).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated-keys")
+    place = F.struct("doc_id", "th", "first_line")
+    bodies = stored(_windows(rows, long, keys).distinct(), "bodies")
+    first = stored(bodies.groupBy("key", "body").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-bodies")
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
+    apart = F.col("first_line") - F.col("first.first_line") >= F.col("n_lines")
+    found = bodies.join(first, ["key", "body"]).where(~own | apart)
+    by_text = Window.partitionBy("doc_id", "th").orderBy("first_line")
+    before = F.max(F.col("first_line") + F.col("n_lines")).over(by_text.rowsBetween(Window.unboundedPreceding, -1))
+    opens = found.withColumn("opens", F.when(F.col("first_line") <= before, 0).otherwise(1))
+    runs = opens.withColumn("run", F.sum("opens").over(by_text.rowsBetween(Window.unboundedPreceding, 0)))
+    end = F.max(F.col("first_line") + F.col("n_lines"))
+    least = F.min("first_line")
+    return runs.groupBy("doc_id", "th", "run").agg(least.alias("first_line"), (end - least).alias("n_lines")).drop("run")
+
+
+def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    ranges = stored(found, "ranges")
     lists = ranges.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first_line", "n_lines")).alias("gone"))  # within one text
     lists = small(stored(lists, "range-lists")) if ranges.count() <= 500_000 else lists
     names = [c for c in docs.columns if c != "removed_lines"]
@@ -115,3 +173,18 @@ def dedup_lines(docs: DataFrame, *, divisor: int = DIVISOR) -> DataFrame:
     count = F.aggregate("gone", F.lit(0).cast("long"), lambda s, g: s + g["n_lines"])
     columns = [out.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names]
     return joined.select(*columns, F.coalesce(count, F.lit(0).cast("long")).alias("removed_lines"))
+
+
+def dedup_lines(docs: DataFrame, *, divisor: int = DIVISOR) -> DataFrame:
+    """``docs`` with the repeated chunks taken out of ``text``, and ``removed_lines`` (long) as last column.
+
+    A null text stays null with 0 removed lines; an empty text is one empty line and never changes; a text whose every line goes
+    becomes empty. Rows that repeat doc_id and text all keep the same lines. Other columns pass through whatever their
+    names; a column called ``removed_lines`` is replaced. An empty table gives an empty table.
+    """
+    return _without(docs, repeated(docs, divisor=divisor))
+
+
+def dedup_passages(docs: DataFrame, *, long: int = LONG) -> DataFrame:
+    """Like ``dedup_lines``, but without every run of two or more lines, and every line of more than ``long`` words, that occurred before."""
+    return _without(docs, repeated_passages(docs, long=long))

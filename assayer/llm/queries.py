@@ -31,6 +31,13 @@ def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "removed_lines", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+def op6_passage_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
+    found = line_dedup.dedup_passages(docs.withColumn("n_lines", lines))
+    return found.select("doc_id", "n_lines", "removed_lines", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("th")
 
@@ -156,6 +163,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_chat_format": op5_chat_format,
     "op6_line_dedup": op6_line_dedup,
+    "op6_passage_dedup": op6_passage_dedup,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_quality": op9_quality,

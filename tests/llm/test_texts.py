@@ -133,6 +133,31 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_passages(spark):
+    """Planted passages of over 50 words between unlike lines go wholly, the lines around them stay; so does the first occurrence of every line."""
+    rng = random.Random(9)
+    fresh = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    passages = [[fresh(52 // n + 1) for _ in range(n)] for n in (1, 2, 3, 4, 7) for _ in range(6)]
+    rows, kept = [], {}
+    for i in range(2 * len(passages)):
+        head, tail = [fresh(9) for _ in range(rng.randint(1, 3))], [fresh(9) for _ in range(rng.randint(1, 3))]
+        rows.append((i, "\n".join(head + passages[i % len(passages)] + tail)))
+        kept[i] = rows[-1][1] if i < len(passages) else "\n".join(head + tail)
+    rows += [(200, "z\nz\nz"), (201, "a\n\n\nb"), (202, "c\n\n\nd"), (203, "z\nz\nz\ny"), (204, None), (205, "short"), (206, "short")]
+    kept |= {200: "z\nz\nz", 201: "a\n\n\nb", 202: "c\n\n\nd", 203: "y", 204: None, 205: "short", 206: "short"}
+    docs = spark.createDataFrame(rows + rows[-8:], "doc_id long, text string")  # repeated rows keep the same lines
+    got = line_dedup.dedup_passages(docs).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((i, kept[i]) for i, _ in rows + rows[-8:])
+    sizes = lambda t: len((t or "").split("\n"))
+    assert all(r.removed_lines == sizes(dict(rows)[r.doc_id]) - sizes(r.text) for r in got if r.text)
+    every = lambda texts: {line for t in texts for line in (t or "").split("\n")}
+    many = documents(spark)
+    left = line_dedup.dedup_passages(many)
+    assert left.count() == many.count()
+    assert every(r.text for r in left.collect()) >= every(r.text for r in many.collect()) - {""}
+    assert line_dedup.dedup_passages(empty(spark)).count() == 0
+
+
 # ---- benchmark
 
 
