@@ -2,8 +2,9 @@
 
 Every byte is decomposed into eight binary decisions. Each decision has a context tree over the bytes before it, up to ``DEPTH`` of
 them (zeros before a text begins), and a node's Krichevsky-Trofimov estimate is mixed with those of all depths below it by
-the tree's weights. The weights follow from the counts of the training texts alone, so the trees are built as tables, one
-level after another: sums per parent going up, mixtures going down. A text's score is the sum of its bytes' log probabilities.
+the tree's weights. The weights follow from the counts of the training texts alone. The upper levels of the trees are tables, built one
+after another: sums per parent going up, mixtures going down. What lies below a context of the last such level is worked out in
+one task. A text's score is the sum of its bytes' log probabilities.
 
 Tables of counts and probabilities cover all texts and grow with them. The entries that occur most are sent to every task, up to ``SENT`` of each
 kind; what they do not cover is joined exactly.
@@ -24,7 +25,10 @@ from pyspark.sql import types as T
 from assayer.llm import text as tx
 from assayer.llm.shared import stored
 
-DEPTH = 4
+DEPTH = 6  # at most 7: a context and its byte are packed into 64 bits
+CUT = 3  # context bytes of the upper levels, more where over GROUP_GRAMS distinct contexts end in the same bytes
+GROUP_GRAMS = 1 << 20
+TASK_GRAMS = 1 << 18  # distinct contexts with their byte that a task is dealt on average
 SENT = 1 << 20  # entries of the word table, and of the byte table, that tasks look up themselves; about 40 bytes each
 HELD = 1 << 19  # distinct keys that a task sums up before it hands them on
 WORD, GRAM = 0, 1
@@ -106,14 +110,14 @@ def counts(docs: DataFrame, depth: int) -> DataFrame:
     return rows.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def _log_gamma(x: Column) -> Column:
-    """For x >= 0.5, by Stirling's series at x + 8; the error is below 1e-12."""
+def _log_gamma(x, log=F.log):
+    """Of columns, or arrays with their ``log``. For x >= 0.5, by Stirling's series at x + 8; the error is below 1e-12."""
     y = x + 8
     product = x
     for k in range(1, 8):
         product = product * (x + k)
     series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
-    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - F.log(product)
+    return (y - 0.5) * log(y) - y + 0.5 * math.log(2 * math.pi) + series - log(product)
 
 
 def _level(df: DataFrame, leaf: bool) -> DataFrame:
@@ -130,30 +134,115 @@ def _level(df: DataFrame, leaf: bool) -> DataFrame:
     return out.withColumn("kt", (b + 0.5) / (a + b + 1))
 
 
+def subtrees(keys: np.ndarray, n: np.ndarray, depth: int, cut: int) -> Iterator[tuple]:
+    """For each of a byte's eight places: the nodes at depth ``cut`` with ``n0, n1, below``, and a function from their ``sum`` and
+    ``rest`` to log10 probabilities by key. ``keys`` hold whole subtrees of nodes at depth ``cut``."""
+    byte, context = keys & tx.U64(255), keys >> tx.U64(8)
+    order = np.zeros(len(keys), dtype=tx.U64)  # newest byte highest, so that the contexts that share newest bytes are neighbours
+    for i in range(depth):
+        order = (order << tx.U64(8)) | ((context >> tx.U64(8 * i)) & tx.U64(255))
+    for k in range(8):
+        prefix = byte >> tx.U64(8 - k)
+        place = (prefix << tx.U64(8 * depth)) | order
+        sort = np.argsort(place)
+        ids, one = place[sort], ((byte[sort] >> tx.U64(7 - k)) & tx.U64(1)).astype(bool)
+        sums = [np.where(one, 0, n[sort]), np.where(one, n[sort], 0), np.zeros(len(keys))]
+        steps = []
+        for d in range(depth, cut - 1, -1):
+            first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            parent = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ids))))
+            ids, (n0, n1, below) = ids[first], (np.add.reduceat(x, first) for x in sums)
+            if d == depth:
+                leader = sort[first]
+            else:
+                leader = leader[first]
+            if d > cut:
+                pe = _log_gamma(n0 + 0.5, np.log) + _log_gamma(n1 + 0.5, np.log) - _log_gamma(n0 + n1 + 1.0, np.log) - math.log(math.pi)
+                pe[n0 + n1 == 0] = 0.0
+                pw, w = pe, np.ones(len(pe))
+                if d < depth:
+                    pw, w = np.logaddexp(pe, below) - math.log(2), 1 / (1 + np.exp(np.minimum(below - pe, 700.0)))
+                steps.append((parent, w, (n1 + 0.5) / (n0 + n1 + 1)))
+                sums, ids = [n0, n1, pw], ids >> tx.U64(8)
+        nodes = ((context[leader] & tx.U64((1 << 8 * cut) - 1)) << tx.U64(8)) | tx.U64(1 << k) | prefix[leader]
+
+        def down(total, rest, steps=steps, at=parent, sort=sort, one=one):
+            for parent, w, kt in reversed(steps):
+                total, rest = total[at], rest[at]
+                total, rest, at = total + rest * w * kt, rest * (1 - w), parent
+            total = total[at]
+            out = np.empty(len(sort))
+            out[sort] = np.log10(np.where(one, total, 1 - total))
+            return out
+
+        yield nodes.view(np.int64), n0, n1, below, down
+
+
+def _ending(cut: int) -> Column:
+    """The newest ``cut`` bytes of a key's context."""
+    return F.expr(f"shiftright(key, 8) & {(1 << 8 * cut) - 1}L")
+
+
+def _up(depth: int, cut: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column("key").to_numpy(), b.column("n").to_numpy()) for b in batches if len(b)]
+        if parts:
+            keys, n = (np.concatenate(x) for x in zip(*parts))
+            for nodes, n0, n1, below, _ in subtrees(keys.view(tx.U64), n, depth, cut):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(n0), pa.array(n1), pa.array(below)], ["node", "n0", "n1", "below"])
+
+    return lambda batches: tx.tidy(run(batches))
+
+
+def _down(depth: int, cut: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams_, mixed = [], []
+        for b in batches:
+            key, n, total, rest = (b.column(c).to_numpy() for c in ("key", "n", "sum", "rest"))
+            node = n < 0
+            grams_.append((key[~node], n[~node])), mixed.append((key[node], total[node], rest[node]))
+        keys, n = (np.concatenate(x) for x in zip(*grams_)) if grams_ else (np.zeros(0, np.int64),) * 2
+        if not len(keys):
+            return
+        known, total, rest = (np.concatenate(x) for x in zip(*mixed))
+        sort = np.argsort(known)
+        value = np.zeros(len(keys))
+        for nodes, _, _, _, down in subtrees(keys.view(tx.U64), n, depth, cut):
+            at = sort[np.searchsorted(known, nodes, sorter=sort)]
+            value += down(total[at], rest[at])
+        for a in range(0, len(keys), tx.BLOCK):
+            b = a + tx.BLOCK
+            yield pa.RecordBatch.from_arrays([pa.array(keys[a:b]), pa.array(n[a:b]), pa.array(value[a:b])], ["key", "n", "value"])
+
+    return lambda batches: tx.tidy(run(batches))
+
+
 def probabilities(found: DataFrame, depth: int) -> DataFrame:
-    """``key, value``: log10 probability of each byte in context, for ``found`` with ``key`` and training count ``n``.
+    """``key, n, value``: log10 probability of each byte in context, for ``found`` with ``key`` and training count ``n``.
 
-    Nodes are numbered by context (newest byte lowest), then eight bits for the place in the byte's binary decomposition.
+    Nodes of the upper levels are numbered by context (newest byte lowest), then eight bits for the place in the byte's binary decomposition.
     """
-    step = F.posexplode(F.sequence(F.lit(0), F.lit(7))).alias("at", "k")
-    bits = found.select("key", "n", step).drop("at")
-    prefix = F.expr("shiftleft(1L, k) | shiftright(key & 255, 8 - k)")
-    bits = bits.select("key", "n", F.expr("shiftright(key & 255, 7 - k) & 1").alias("bit"), (F.expr("shiftright(key, 8) * 256") + prefix).alias("node"))
-    bits = stored(bits, "bits")
-    leaf = bits.groupBy("node").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("n1"))
-    levels = [stored(_level(leaf.withColumn("below", F.lit(0.0)), True), f"level-{depth}")]
-    for d in range(depth - 1, -1, -1):
+    for cut in range(min(CUT, depth), depth + 1):
+        most, total = found.groupBy(_ending(cut).alias("ending")).agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+        if (most or 0) <= GROUP_GRAMS:
+            break
+    tasks = max(1, -(-(total or 0) // TASK_GRAMS))
+    nodes = found.repartition(tasks, _ending(cut)).mapInArrow(_up(depth, cut), "node long, n0 long, n1 long, below double")
+    levels = [stored(_level(nodes, cut == depth), f"level-{cut}")]
+    for d in range(cut - 1, -1, -1):
         parent = F.expr(f"node & {(1 << 8 * (d + 1)) - 1}L").alias("node")
         up = levels[0].groupBy(parent).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("pw").alias("below"))
         levels.insert(0, stored(_level(up, False), f"level-{d}"))
     mixed = levels[0].select("node", (F.col("w") * F.col("kt")).alias("sum"), (1 - F.col("w")).alias("rest"))
-    for d in range(1, depth + 1):
+    for d in range(1, cut + 1):
         above = mixed.select(F.col("node").alias("parent"), "sum", "rest")
         down = levels[d].withColumn("parent", F.expr(f"node & {(1 << 8 * d) - 1}L")).join(above, "parent")
         mixed = down.select("node", (F.col("sum") + F.col("rest") * F.col("w") * F.col("kt")).alias("sum"), (F.col("rest") * (1 - F.col("w"))).alias("rest"))
         mixed = stored(mixed, f"mixed-{d}")
-    one = F.when(F.col("bit") == 1, F.col("sum")).otherwise(1 - F.col("sum"))
-    return bits.join(mixed, "node").groupBy("key").agg(F.sum(F.log10(one)).alias("value"))
+    # A node has its context where a key has it, and goes to the task of its keys.
+    none = F.lit(0.0)
+    rows = found.select("key", "n", none.alias("sum"), none.alias("rest")).union(mixed.select("node", F.lit(-1).cast("long"), "sum", "rest"))
+    return rows.repartition(tasks, _ending(cut)).mapInArrow(_down(depth, cut), "key long, n long, value double")
 
 
 def _most(table: DataFrame) -> tuple[pa.Table, bool]:
@@ -184,7 +273,7 @@ def score(docs: DataFrame, train: Column, keep: list[str], *, depth: int = DEPTH
     n_train, distinct = int(total[0]), int(total[1])
     words = words.select("key", "n", F.log10(F.col("n") + 1).alias("value"))
     found = table.where(F.col("kind") == GRAM).select("key", "n")
-    bytes_ = stored(probabilities(found, depth).join(found, "key").select("key", "n", "value"), "bytes")
+    bytes_ = stored(probabilities(found, depth), "bytes")
     sent = []
     for part in (words, bytes_):
         got, whole = _most(part)

@@ -454,6 +454,32 @@ def test_context_tree(spark, monkeypatch, sent):
         assert (r.bits_per_byte is None) == (not r.text)
 
 
+@pytest.mark.parametrize("cut,group", [(0, 1 << 20), (1, 1 << 20), (3, 1 << 20), (1, 1)])
+def test_context_tree_deep(spark, monkeypatch, cut, group):
+    """However many levels are tables, the scores are those of the recursion."""
+    monkeypatch.setattr(context_tree, "CUT", cut)
+    monkeypatch.setattr(context_tree, "GROUP_GRAMS", group)
+    monkeypatch.setattr(context_tree, "TASK_GRAMS", 100)
+    rng = random.Random(11)
+    rows = [(i, "".join(rng.choice("abB \xe9") for _ in range(rng.randint(0, 40)))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for depth in (4, 7):
+        found = {r.doc_id: r.score for r in context_tree.score(docs, F.col("doc_id") % 3 != 1, ["doc_id"], depth=depth).collect()}
+        want = context_tree_score([t for _, t in rows], [i % 3 != 1 for i, _ in rows], depth)
+        assert all(abs(found[i] - w) < 1e-8 for (i, _), w in zip(rows, want))
+
+
+def test_context_tree_beats_words(spark):
+    """The default depth reaches from the last letters of these words to the first ones, so held-out texts score above the word model."""
+    rng = random.Random(12)
+    names = [[f"{a}{b}mmm{a}{b}" for a in part for b in "ijklmnop"] for part in ("abcd", "efgh")]
+    rows = [(i, " ".join(rng.choice(names[k % 2]) for k in range(200))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = F.col("doc_id") % 3 == 1
+    found = [r for r in context_tree.score(docs.withColumn("held", held), ~held, ["doc_id", "held"]).collect() if r.held]
+    assert len(found) == 20 and all(r.score > r.base_score for r in found)
+
+
 def test_context_tree_empty(spark):
     assert context_tree.score(empty(spark), F.lit(True), ["doc_id"]).count() == 0
     none = context_tree.score(documents(spark, 10), F.lit(False), ["doc_id"]).collect()
