@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import chat, context_tree, decontaminate, language, line_dedup, near_dedup, neighbours, packing, quality, url_filter
+from assayer.llm import bpe, chat, context_tree, decontaminate, language, lexical, line_dedup, near_dedup, neighbours, packing, periodic, quality, url_filter
 from assayer.llm.shared import remainder
 
 
@@ -156,6 +156,97 @@ def op10_context_tree_score(spark: SparkSession, folder: str) -> DataFrame:
     return context_tree.score(docs.withColumn("held_out", held_out), ~held_out, ["doc_id", "held_out"])
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.rank(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS a
+  FROM documents
+), asked AS (
+  SELECT item_id, term, count(*) AS often FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark
+  ) GROUP BY item_id, term
+), total AS (
+  SELECT count(*) AS n_docs, CAST(sum(len(a)) AS BIGINT) AS n_terms FROM docs WHERE len(a) > 0
+), counts AS (
+  SELECT doc_id, len(a) AS n, term, count(*) AS tf FROM (SELECT doc_id, a, unnest(a) AS term FROM docs)
+  WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, len(a), term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, total GROUP BY term, n_docs
+), impacts AS (
+  SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)) AS impact FROM counts, total
+), scores AS (
+  SELECT item_id, doc_id, CAST(sum(often * w * impact) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN impacts USING (term) GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
+def op12_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = tokenizer("byte_bpe_50k.json")
+    return bpe.digest(bpe.decode(bpe.encode(table(spark, folder, "documents"), path), path))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Every tenth document by hash repeats a stretch of its words to its end; the others stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.filter(F.split("text", "[ \\x09-\\x0D]+", -1), lambda w: w != ""))
+    g, n = F.floor(F.col("h") / 10), F.size("words").cast("long")
+    parts = docs.withColumns({"h": h, "words": words}).withColumns({"g": g, "n": n}).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    parts = parts.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    again = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.get("words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    return parts.select("doc_id", F.when(F.col("n") > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.find_runs(with_planted_runs(table(spark, folder, "documents").select("doc_id", "text")))
+    return periodic.digest(found)
+
+
+OP13_SQL = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS w,
+    list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+      lambda s, c: list_reduce([xor(s, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS crc
+  FROM documents
+), sized AS (
+  SELECT doc_id, w, len(w) AS n, xor(crc, 4294967295::BIGINT) AS h FROM split
+), planted AS (
+  SELECT *, CASE WHEN n > 0 THEN (h // 10) % n END AS a FROM sized
+), docs AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN
+    list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END]) ELSE w END AS w
+  FROM planted
+), grams AS (
+  SELECT doc_id, i, w[i + 1:i + 5] AS g FROM docs, unnest(range(n - 4)) AS t(i) WHERE n >= 6
+), pairs AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q FROM grams x JOIN grams y ON x.doc_id = y.doc_id AND x.g = y.g AND y.i > x.i
+), placed AS (
+  SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs
+), stretches AS (
+  SELECT doc_id, q, min(i) AS s, count(*) + 4 + q AS len FROM placed GROUP BY doc_id, q, island
+), runs AS (
+  SELECT doc_id, s, len, min(q) AS q FROM stretches WHERE len >= 4 * q AND len >= 6 GROUP BY doc_id, s, len
+), listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS rows,
+    list(struct_pack(s := s, len := len, q := q)) AS all_runs FROM runs GROUP BY doc_id
+), best AS (
+  SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CAST(len AS DOUBLE) / q DESC, s, q) = 1
+)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.len AS length, b.q AS period, (1000 * b.len) // b.q AS exponent_milli,
+  sha256(coalesce(rows, '')) AS runs_sha256,
+  sha256(array_to_string(list_transform(list_filter(range(d.n), lambda i: len(list_filter(coalesce(all_runs, []), lambda r: i >= r.s + r.q AND i < r.s + r.len)) = 0), lambda i: d.w[i + 1]), ' ')) AS collapsed_sha256
+FROM docs d LEFT JOIN listed l ON d.doc_id = l.doc_id LEFT JOIN best b ON d.doc_id = b.doc_id
+"""
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_language_id": op2_language_id,
@@ -168,9 +259,14 @@ QUERIES = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_quality": op9_quality,
     "op10_context_tree_score": op10_context_tree_score,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_bpe": op12_bpe,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
     "op6_line_dedup": OP6_SQL,
     "op7_near_duplicates": OP7_SQL,
+    "op11_ranked_search": OP11_SQL,
+    "op13_periodic_runs": OP13_SQL,
 }
