@@ -24,7 +24,7 @@ from assayer.llm.shared import stored
 
 CAPACITY = 1024
 END = 2
-CACHED = 500_000  # distinct text segments whose ids a worker keeps
+CACHE_BYTES = 48 << 20  # of the ids of text segments that a worker keeps from task to task
 RANKED_ROWS = 1_000_000  # pieces of one length that one task ranks
 
 
@@ -48,23 +48,33 @@ class Segments:
 
     The vocabulary's splitting pattern always begins a token at a single space or line feed between two characters that are
     not white space, and decides what follows from there on without looking back. So the text between two such places
-    has the same ids wherever it stands, and each distinct segment is encoded once and then remembered.
+    has the same ids wherever it stands, and each distinct segment is encoded once and then remembered. Beyond CACHE_BYTES the older half of the
+    segments is forgotten. A special token's spelling inside a text is that token, as in the library.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
-        self.encoder.encode_special_tokens = True
+        self.kind = np.uint16 if self.encoder.get_vocab_size() <= 1 << 16 else np.uint32
         self.line = self.encoder.encode("\n", add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
         self.known = np.zeros(0, dtype=np.uint64)  # sorted fingerprints
         self.place = np.zeros(0, dtype=np.int32)  # of each in ``begin``
-        self.flat = np.zeros(1 << 20, dtype=np.uint32)
+        self.flat = np.zeros(1 << 20, dtype=self.kind)
         self.begin = np.zeros(1, dtype=np.int64)
 
+    def shrink(self) -> None:
+        """Forget the older half."""
+        half = len(self.known) // 2
+        first = int(self.begin[half])
+        young = self.place >= half
+        self.known, self.place = self.known[young], self.place[young] - half
+        self.flat = self.flat[first : int(self.begin[-1])].copy()
+        self.begin = self.begin[half:] - first
+
     def _find(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.known):
             return np.full(len(keys), -1, dtype=np.int32)
@@ -74,13 +84,13 @@ class Segments:
     def _keep(self, keys: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
         used, n = int(self.begin[-1]), len(ids)
         if used + n > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(n, len(self.flat)), dtype=np.uint32)])
+            self.flat = np.concatenate([self.flat, np.zeros(max(n, len(self.flat)), dtype=self.kind)])
         self.flat[used : used + n] = ids
         place = np.arange(len(self.begin) - 1, len(self.begin) - 1 + len(keys), dtype=np.int32)
         self.begin = np.concatenate([self.begin, used + np.cumsum(length)])
-        known, place = np.concatenate([self.known, keys]), np.concatenate([self.place, place])
-        order = np.argsort(known, kind="stable")
-        self.known, self.place = known[order], place[order]
+        order = np.argsort(keys)
+        at = np.searchsorted(self.known, keys[order])
+        self.known, self.place = np.insert(self.known, at, keys[order]), np.insert(self.place, at, place[order])
 
     def _learn(self, keys: np.ndarray, parts: list[bytes], odd: np.ndarray) -> None:
         group, alone, found, length = np.flatnonzero(~odd), np.flatnonzero(odd), [], []
@@ -145,8 +155,8 @@ class Segments:
         e = np.append(b[1:], n)
         keys = tx.mix((sums[e] - sums[b]) * inverse[b])
         code, distinct = pd.factorize(keys)
-        if len(self.known) + len(distinct) > CACHED:
-            self.clear()
+        if 20 * len(self.known) + self.flat.itemsize * int(self.begin[-1]) > CACHE_BYTES:
+            self.shrink()
         missing = np.flatnonzero(self._find(distinct) < 0)
         if len(missing):
             where = np.zeros(len(distinct), dtype=np.int64)
@@ -163,7 +173,7 @@ class Segments:
         length = self.begin[place + 1] - begin
         ends = np.cumsum(length)
         ids = self.flat[np.repeat(begin - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, length
+        return ids.astype(np.uint32), length
 
 
 @functools.cache
@@ -198,7 +208,6 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end: in
                 columns.append(pa.array(lists, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
-        encoder.clear()  # a reused worker does not keep what it learned
         tx.release()
 
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if ids else "")

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from cases import LOWER, SPACE, documents, empty
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from assayer.llm import context_tree, decontaminate, language, line_dedup, near_dedup, packing, quality, text
 from assayer.llm.queries import tokenizer
@@ -296,16 +297,25 @@ def test_sparse_score_is_a_dot_product():
 # ---- packing
 
 
-@pytest.mark.parametrize("limit", [64, 1 << 21])
-def test_segments(limit, monkeypatch):
+def plain_tokenizer():
+    """The library's tokenizer as the file gives it."""
+    encoder = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    encoder.no_truncation()
+    encoder.no_padding()
+    return encoder
+
+
+@pytest.mark.parametrize("limit,cache", [(64, 1 << 30), (64, 2000), (1 << 21, 1 << 30)])
+def test_segments(limit, cache, monkeypatch):
     monkeypatch.setattr(text, "BLOCK", limit)
+    monkeypatch.setattr(packing, "CACHE_BYTES", cache)  # a small cache forgets and learns again
     text._powers.cache_clear()
     rng = random.Random(3)
     marks = ["a", "b", "The", "é", "ñ", " ", "  ", "\n", "\n\n", "\t", " ", " ", "　", " ", "'s", "'ll", "1", "22", "!", "...", "中", "\r\n", "<|endoftext|>", "\x1c", "\x85", "’"]
     docs = [None, "", " ", "\n", "a ", "a\n"] + ["".join(rng.choice(marks) for _ in range(rng.randint(0, 40))) for _ in range(400)]
     encoder = packing.Segments(tokenizer("byte_bpe_50k.json"))
     flat, begin = encoder.encode(*text.texts(pa.array(docs)))
-    want = encoder.encoder.encode_batch([x or "" for x in docs], add_special_tokens=False)
+    want = plain_tokenizer().encode_batch([x or "" for x in docs], add_special_tokens=False)
     assert [flat[a:b].tolist() for a, b in zip(begin, begin[1:])] == [w.ids for w in want]
     text._powers.cache_clear()
 
@@ -363,8 +373,9 @@ def test_plan_holds_every_piece():
 def test_pack(spark):
     docs = documents(spark, 5000)
     path = tokenizer("byte_bpe_50k.json")
+    docs = docs.unionByName(spark.createDataFrame([(500, "one<|endoftext|> two <|endoftext|>")], "doc_id long, text string"), allowMissingColumns=True)
     found = packing.pack(docs, path, capacity=64, ids=True).collect()
-    encoder = packing.Segments(path).encoder
+    encoder = plain_tokenizer()
     want = Counter()
     for r in docs.collect():
         ids = encoder.encode(r.text or "", add_special_tokens=False).ids + [2]
