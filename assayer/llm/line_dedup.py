@@ -1,8 +1,9 @@
 """Removal of repeated multi-line chunks with content-defined boundaries.
 
-A text is cut into lines at line feeds. A rolling value over the fingerprints of a line and the one before it decides
-whether a chunk ends after the line, so inserting or deleting lines moves only the boundaries next to the change. Chunks of
-two or more lines that occur again anywhere (in another document or in the same one) are removed, except their first occurrence.
+A text is cut into lines at line feeds. Rolling hashes over the fingerprints of two neighbouring lines decide where chunks may begin (a line and the
+one after it) and where they may end (a line and the one before it), so a chunk depends on its own lines only, and inserting or deleting lines moves the
+boundaries next to the change and no others. Every seed gives another set of boundaries; a chunk goes from a beginning to the
+first end after it, over two lines or more. Chunks that occurred before anywhere (in another document or in the same one) are removed.
 Equal fingerprints only select candidates: occurrences count as equal when their bytes are.
 
 ``dedup_passages`` needs no boundaries: every two neighbouring lines are a window, and so is every line of more than ``LONG`` words.
@@ -12,8 +13,10 @@ All windows that occurred before go, so a repeated passage goes up to its last e
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from assayer.llm import text as tx
 from assayer.llm.shared import small, stored
 
-DIVISOR = 2  # lines of a chunk on average
+SEEDS = 8  # sets of boundaries; a chunk of two lines is one of some seed's with probability 1 - (3/4)^SEEDS
 LETTER = 28  # bits of a line's fingerprint
 LONG = 50  # words up to which a line that repeats without a neighbour stays
 
@@ -30,69 +33,46 @@ def fingerprint(line: str) -> int:
     return int(hashlib.md5(line.encode("utf-8", "replace")).hexdigest()[: LETTER // 4], 16)
 
 
-def chunks(text: str, divisor: int) -> list[list[str]]:
-    """Lines by chunk. After line i the chunk ends if (3 f(i-1) + f(i)) mod ``divisor`` is 0, with f(-1) = 0."""
-    out: list[list[str]] = [[]]
-    before = 0
-    lines = text.split("\n")
-    for i, line in enumerate(lines):
-        out[-1].append(line)
-        now = fingerprint(line)
-        if (3 * before + now) % divisor == 0 and i + 1 < len(lines):
-            out.append([])
-        before = now
-    return out
+_BLANK = re.compile(r"[ \t-\r]*")
 
 
-def _occurrences(rows: DataFrame, divisor: int, wanted: DataFrame | None = None) -> DataFrame:
-    """``doc_id, th, chunk, first_line, n_lines, key`` of every multi-line chunk; with ``body`` if ``wanted`` keys are given."""
+def chunks(lines: list[str], seeds: int) -> list[tuple[int, int]]:
+    """First and last line of every chunk, in order. With f the fingerprint of a line, a chunk of seed s may begin at line i where bit s + 1 of 3 f(i) + f(i+1) is 0,
+    and end at line j where bit s + 1 of 5 f(j-1) + f(j) is 0. A chunk holds two lines or more that are not blank."""
+    n = len(lines)
+    if n < 2:
+        return []
+    f = np.array([fingerprint(line) for line in lines], dtype=np.int64)
+    full = np.append(0, np.cumsum([not _BLANK.fullmatch(line) for line in lines]))
+    begins, ends = 3 * f[:-1] + f[1:], 5 * f[:-1] + f[1:]
+    found = []
+    for s in range(1, seeds + 1):
+        first = np.flatnonzero((begins >> s) & 1 == 0)
+        last = np.flatnonzero((ends >> s) & 1 == 0) + 1
+        at = np.searchsorted(last, first + 1)
+        first, at = first[at < len(last)], at[at < len(last)]
+        found.append(np.stack([first, last[at]]))
+    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+    return [(i, j) for i, j in pairs.T.tolist() if full[j + 1] - full[i] > 1]
 
-    with_body = wanted is not None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tx.portions(batches):
-            row, number, first, many, key, body = [], [], [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                at = 0
-                for k, lines in enumerate(chunks(text or "", divisor)):
-                    if len(lines) > 1:
-                        row.append(i), number.append(k), first.append(at), many.append(len(lines))
-                        body.append("\n".join(lines))
-                        key.append(int.from_bytes(hashlib.md5(body[-1].encode("utf-8", "replace")).digest()[:8], "big", signed=True))
-                    at += len(lines)
-            take = pa.array(row, pa.int64())
-            columns = [batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(number, pa.int64()), pa.array(first, pa.int64()), pa.array(many, pa.int64()), pa.array(key, pa.int64())]
-            names = ["doc_id", "th", "chunk", "first_line", "n_lines", "key"]
-            if with_body:
-                columns.append(pa.array(body, pa.string()))
-                names.append("body")
-            yield pa.RecordBatch.from_arrays(columns, names)
+def _key(body: str) -> int:
+    return int.from_bytes(hashlib.md5(body.encode("utf-8", "replace")).digest()[:8], "big", signed=True)
 
-    kind = "doc_id long, th long, chunk long, first_line long, n_lines long, key long"
-    if wanted is None:
-        return rows.mapInArrow(run, kind)
-    return rows.mapInArrow(run, kind + ", body string").join(small(wanted), "key", "left_semi")
 
+def _chunks(rows: DataFrame, seeds: int, wanted: DataFrame | None = None) -> DataFrame:
+    """``key`` of every chunk; with ``doc_id, th, first_line, n_lines, body`` if ``wanted`` keys are given."""
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
+    def spans(text: str) -> Iterator[tuple[int, int, str]]:
+        lines = text.split("\n")
+        for i, j in chunks(lines, seeds):
+            yield i, j - i + 1, "\n".join(lines[i : j + 1])
 
+    return _spans(rows, spans, wanted)
 
-def repeated(docs: DataFrame, *, divisor: int = DIVISOR) -> DataFrame:
-    """``doc_id, th, first_line, n_lines`` of the chunk occurrences to remove; ``th`` is xxhash64 of the text.
 
-    The first occurrence is the one with the smallest (doc_id, th, chunk), nulls first. Documents that repeat in all of doc_id and text
-    are one document here.
-    """
-    found = stored(_occurrences(_rows(docs), divisor).distinct(), "chunks")
-    place = F.struct("doc_id", "th", "chunk")
-    keys = stored(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated-keys")
-    # The bytes of the candidates: what follows compares the texts themselves, combined before the shuffle.
-    bodies = stored(_occurrences(_rows(docs), divisor, keys).distinct(), "bodies")
-    first = bodies.groupBy("key", "body").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    first = stored(first, "first-bodies")
-    true = bodies.join(first.where("n > 1"), ["key", "body"]).where(place != F.col("first"))
-    return true.select("doc_id", "th", "first_line", "n_lines")
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
 
 
 def windows(text: str, long: int) -> Iterator[tuple[int, int, str]]:
@@ -106,17 +86,16 @@ def windows(text: str, long: int) -> Iterator[tuple[int, int, str]]:
             yield i, 2, line + "\n" + lines[i + 1]
 
 
-def _windows(rows: DataFrame, long: int, wanted: DataFrame | None = None) -> DataFrame:
-    """``key`` of every window; with ``doc_id, th, first_line, n_lines, body`` if ``wanted`` keys are given."""
-
+def _spans(rows: DataFrame, spans: Callable[[str], Iterator[tuple[int, int, str]]], wanted: DataFrame | None) -> DataFrame:
+    """``key`` of every span of lines that ``spans`` gives for a text; with ``doc_id, th, first_line, n_lines, body`` if ``wanted`` keys are given."""
     with_body = wanted is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tx.portions(batches):
             row, first, many, key, body = [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                for at, n, lines in windows(text or "", long):
-                    key.append(int.from_bytes(hashlib.md5(lines.encode("utf-8", "replace")).digest()[:8], "big", signed=True))
+                for at, n, lines in spans(text or ""):
+                    key.append(_key(lines))
                     if with_body:
                         row.append(i), first.append(at), many.append(n), body.append(lines)
             columns, names = [pa.array(key, pa.int64())], ["key"]
@@ -132,16 +111,19 @@ def _windows(rows: DataFrame, long: int, wanted: DataFrame | None = None) -> Dat
     return rows.mapInArrow(run, kind).join(small(wanted), "key", "left_semi")
 
 
-def repeated_passages(docs: DataFrame, *, long: int = LONG) -> DataFrame:
-    """``doc_id, th, first_line, n_lines`` of the lines to remove, as runs that do not touch each other.
+def _windows(rows: DataFrame, long: int, wanted: DataFrame | None = None) -> DataFrame:
+    return _spans(rows, lambda text: windows(text, long), wanted)
 
-    A window goes if its bytes occurred before, by (doc_id, th, first_line) with nulls first, and do not overlap their first
+
+def _repeated(rows: DataFrame, spans: Callable[..., DataFrame], size: int) -> DataFrame:
+    """``doc_id, th, first_line, n_lines`` of the lines to remove, as runs that do not touch each other; ``th`` is xxhash64 of the text.
+
+    A span goes if its bytes occurred before, by (doc_id, th, first_line) with nulls first, and do not overlap their first
     occurrence. So the first occurrence of a line never goes. Documents that repeat in all of doc_id and text are one document.
     """
-    rows = _rows(docs)
-    keys = stored(_windows(rows, long).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated-keys")
+    keys = stored(spans(rows, size).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated-keys")
     place = F.struct("doc_id", "th", "first_line")
-    bodies = stored(_windows(rows, long, keys).distinct(), "bodies")
+    bodies = stored(spans(rows, size, keys).distinct(), "bodies")
     first = stored(bodies.groupBy("key", "body").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-bodies")
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
     apart = F.col("first_line") - F.col("first.first_line") >= F.col("n_lines")
@@ -155,9 +137,19 @@ def repeated_passages(docs: DataFrame, *, long: int = LONG) -> DataFrame:
     return runs.groupBy("doc_id", "th", "run").agg(least.alias("first_line"), (end - least).alias("n_lines")).drop("run")
 
 
-def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
+def repeated(docs: DataFrame, *, seeds: int = SEEDS) -> DataFrame:
+    """Lines of chunks that occurred before, see ``_repeated``."""
+    return _repeated(_rows(docs), _chunks, seeds)
+
+
+def repeated_passages(docs: DataFrame, *, long: int = LONG) -> DataFrame:
+    """Lines of windows that occurred before, see ``_repeated``."""
+    return _repeated(_rows(docs), _windows, long)
+
+
+def _without(docs: DataFrame, found: DataFrame, spare: float | None) -> DataFrame:
     ranges = stored(found, "ranges")
-    lists = ranges.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first_line", "n_lines")).alias("gone"))  # within one text
+    lists = ranges.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("first_line", "n_lines"))).alias("gone"))  # within one text
     lists = small(stored(lists, "range-lists")) if ranges.count() <= 500_000 else lists
     names = [c for c in docs.columns if c != "removed_lines"]
     rows = docs.select(
@@ -165,26 +157,36 @@ def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
     )
     joined = rows.join(lists, rows.key_id.eqNullSafe(lists.doc_id) & (rows.key_th == lists.th), "left")
     text = F.col("row.text")
-    kept = F.filter(
-        F.split(text, "\n", -1),
-        lambda _, i: ~F.exists("gone", lambda g: (i >= g["first_line"]) & (i < g["first_line"] + g["n_lines"])),
-    )
-    out = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    joined = joined.withColumn("lines", F.when(F.col("gone").isNotNull(), F.split(text, "\n", -1)))
+
+    def between(k):
+        """The lines after removed run k - 1 and before run k."""
+        begin = F.when(k > 0, F.get("gone", k - 1)["first_line"] + F.get("gone", k - 1)["n_lines"]).otherwise(0)
+        end = F.coalesce(F.get("gone", k)["first_line"], F.size("lines").cast("long"))
+        return F.slice("lines", (begin + 1).cast("int"), (end - begin).cast("int"))
+
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("gone")), between))
+    out = F.when(F.col("gone").isNotNull(), F.array_join(kept, "\n"))
     count = F.aggregate("gone", F.lit(0).cast("long"), lambda s, g: s + g["n_lines"])
-    columns = [out.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names]
-    return joined.select(*columns, F.coalesce(count, F.lit(0).cast("long")).alias("removed_lines"))
+    joined = joined.withColumn("left_over", out)
+    if spare is not None:
+        joined = joined.withColumn("left_over", F.when(F.length("left_over") >= (1 - spare) * F.length(text), F.col("left_over")))
+    columns = [F.coalesce("left_over", text).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names]
+    removed = F.when(F.col("left_over").isNotNull(), count).otherwise(F.lit(0).cast("long"))
+    return joined.select(*columns, removed.alias("removed_lines"))
 
 
-def dedup_lines(docs: DataFrame, *, divisor: int = DIVISOR) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, seeds: int = SEEDS, spare: float | None = None) -> DataFrame:
     """``docs`` with the repeated chunks taken out of ``text``, and ``removed_lines`` (long) as last column.
 
-    A null text stays null with 0 removed lines; an empty text is one empty line and never changes; a text whose every line goes
-    becomes empty. Rows that repeat doc_id and text all keep the same lines. Other columns pass through whatever their
+    A null text stays null with 0 removed lines; a text of one line never changes; a text whose every line goes
+    becomes empty. With ``spare``, a text that would lose more than that share of its characters stays whole: it is a copy rather than a text with a
+    repeated passage. Rows that repeat doc_id and text all keep the same lines. Other columns pass through whatever their
     names; a column called ``removed_lines`` is replaced. An empty table gives an empty table.
     """
-    return _without(docs, repeated(docs, divisor=divisor))
+    return _without(docs, repeated(docs, seeds=seeds), spare)
 
 
-def dedup_passages(docs: DataFrame, *, long: int = LONG) -> DataFrame:
+def dedup_passages(docs: DataFrame, *, long: int = LONG, spare: float | None = None) -> DataFrame:
     """Like ``dedup_lines``, but without every run of two or more lines, and every line of more than ``long`` words, that occurred before."""
-    return _without(docs, repeated_passages(docs, long=long))
+    return _without(docs, repeated_passages(docs, long=long), spare)

@@ -48,22 +48,27 @@ def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 OP6_SQL = """
 WITH lines AS (
-  SELECT doc_id, i, a[i + 1] AS line, CAST('0x' || substr(md5(a[i + 1]), 1, 7) AS BIGINT) AS f
+  SELECT doc_id, i, a, a[i + 1] AS line, CAST('0x' || substr(md5(a[i + 1]), 1, 7) AS BIGINT) AS f
   FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), unnest(range(len(a))) AS t(i)
+), near AS (
+  SELECT *, lead(f) OVER w AS after, lag(f) OVER w AS before FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)
 ), marked AS (
-  SELECT *, CAST((3 * lag(f, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) + f) % 2 = 0 AS INT) AS ends FROM lines
-), placed AS (
-  SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk
-  FROM marked
+  SELECT doc_id, i, a, s, (3 * f + after) >> s AS begins, min(CASE WHEN ((5 * before + f) >> s) % 2 = 0 THEN i END)
+    OVER (PARTITION BY doc_id, s ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS j
+  FROM near, range(1, 9) r(s)
+), spans AS (
+  SELECT DISTINCT doc_id, i, j, a[i + 1:j + 1] AS c FROM marked WHERE begins % 2 = 0 AND j IS NOT NULL
 ), chunks AS (
-  SELECT doc_id, chunk, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n FROM placed GROUP BY doc_id, chunk
+  SELECT doc_id, i, j, array_to_string(c, chr(10)) AS body FROM spans
+  WHERE len(list_filter(c, lambda x: NOT regexp_full_match(x, '[ \\t-\\r]*'))) > 1
+), ranked AS (
+  SELECT *, first(doc_id) OVER w AS first_doc, first(i) OVER w AS first_line FROM chunks WINDOW w AS (PARTITION BY body ORDER BY doc_id, i)
 ), gone AS (
-  SELECT doc_id, chunk FROM chunks WHERE n > 1
-  QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, chunk) > 1
+  SELECT DISTINCT doc_id, line FROM ranked, unnest(range(i, j + 1)) AS t(line) WHERE doc_id <> first_doc OR i - first_line > j - i
 ), kept AS (
   SELECT p.doc_id, count(*) AS n_lines, count(g.doc_id) AS removed_lines,
     coalesce(string_agg(p.line, chr(10) ORDER BY p.i) FILTER (WHERE g.doc_id IS NULL), '') AS text
-  FROM placed p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.chunk = g.chunk GROUP BY p.doc_id
+  FROM lines p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.line GROUP BY p.doc_id
 )
 SELECT doc_id, n_lines, removed_lines, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5 FROM kept
 """

@@ -117,23 +117,53 @@ def test_line_dedup(spark):
     docs = documents(spark)
     got = line_dedup.dedup_lines(docs)
     assert got.columns == [*docs.columns, "removed_lines"]
-    rows = sorted({(r.doc_id is not None, r.doc_id or 0, r.text or "") for r in docs.collect() if r.text is not None})
-    seen, kept = set(), {}
-    for has, doc, value in rows:
-        out = []
-        for lines in line_dedup.chunks(value, line_dedup.DIVISOR):
-            body = "\n".join(lines)
-            if len(lines) > 1 and body in seen:
-                continue
-            seen.add(body) if len(lines) > 1 else None
-            out += lines
-        kept[doc if has else None, value] = "\n".join(out)
+    rows = sorted({(r.doc_id is not None, r.doc_id or 0, r.th, r.text) for r in docs.withColumn("th", F.xxhash64("text")).collect() if r.text is not None})
+    first, kept = {}, {}
+    for has, doc, _, value in rows:
+        lines, gone = value.split("\n"), set()
+        for i, j in line_dedup.chunks(lines, line_dedup.SEEDS):
+            own, at = first.setdefault("\n".join(lines[i : j + 1]), ((has, doc, value), i))
+            if own != (has, doc, value) or i - at > j - i:
+                gone |= set(range(i, j + 1))
+        kept[doc if has else None, value] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
     want = Counter((r.doc_id, None if r.text is None else kept[r.doc_id, r.text]) for r in docs.collect())
     assert Counter((r.doc_id, r.text) for r in got.collect()) == want
     assert any(a != b for (_, a), b in kept.items())  # the shared lines are gone somewhere
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_chunks():
+    """Chunks depend on their own lines only: a passage keeps its chunks whatever stands around it, and most of its lines are in one."""
+    rng = random.Random(10)
+    inside = total = 0
+    for n in (2, 3, 5, 9):
+        for _ in range(100):
+            passage = [f"line {rng.random()}" for _ in range(n)]
+            found = []
+            for _ in range(2):
+                head = [f"other {rng.random()}" for _ in range(rng.randint(0, 4))]
+                lines = [*head, *passage, f"other {rng.random()}"]
+                found.append({(i - len(head), j - len(head)) for i, j in line_dedup.chunks(lines, line_dedup.SEEDS) if i >= len(head) and j < len(head) + n})
+            assert found[0] == found[1]
+            inside += len({k for i, j in found[0] for k in range(i, j + 1)})
+            total += n
+    assert inside > 0.95 * total
+    assert line_dedup.chunks(["", "", "a", ""], 8) == [] and line_dedup.chunks(["a"], 8) == []
+
+
+def test_spared_copies(spark):
+    """A copy stays whole for near_dedup to decide; a text with one repeated passage loses it."""
+    rng = random.Random(11)
+    line = lambda: " ".join(f"v{rng.randrange(10**9)}" for _ in range(12))
+    base, passage = [line() for _ in range(20)], [line() for _ in range(5)]
+    texts = [base, base, [*base[:18], line(), line()], [line() for _ in range(10)] + passage, passage + [line() for _ in range(10)]]
+    docs = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (len(r.text.split("\n")), r.removed_lines) for r in line_dedup.dedup_passages(docs, spare=0.5).collect()}
+    assert got == {0: (20, 0), 1: (20, 0), 2: (20, 0), 3: (15, 0), 4: (10, 5)}
+    got = {r.doc_id: r.removed_lines for r in line_dedup.dedup_lines(docs, spare=0.5).collect()}
+    assert got[0] == got[1] == got[2] == got[3] == 0 and got[4] >= 4
+
+
 def test_passages(spark):
     """Planted passages of over 50 words between unlike lines go wholly, the lines around them stay; so does the first occurrence of every line."""
     rng = random.Random(9)
