@@ -4,7 +4,8 @@ A text is cut into lines at line feeds. Rolling hashes over the fingerprints of
 one after it) and where they may end (a line and the one before it), so a chunk depends on its own lines only, and inserting or deleting lines moves the
 boundaries next to the change and no others. Every seed gives another set of boundaries; a chunk goes from a beginning to the
 first end after it, over two lines or more. Chunks that occurred before anywhere (in another document or in the same one) are removed.
-Equal fingerprints only select candidates: occurrences count as equal when their bytes are.
+Equal fingerprints only select candidates: occurrences count as equal when their bytes are. Bytes are compared line by line, once for all chunks: where no two
+different lines share a 64-bit fingerprint, the fingerprints of a chunk's lines stand for its bytes; else the bytes of whole chunks are compared.
 
 ``dedup_passages`` needs no boundaries: every two neighbouring lines are a window, and so is every line of more than ``LONG`` words.
 All windows that occurred before go, so a repeated passage goes up to its last equal line, whatever stands around it.
@@ -29,20 +30,21 @@ LETTER = 28  # bits of a line's fingerprint
 LONG = 50  # words up to which a line that repeats without a neighbour stays
 
 
-def fingerprint(line: str) -> int:
-    return int(hashlib.md5(line.encode("utf-8", "replace")).hexdigest()[: LETTER // 4], 16)
+def _digest(line: str) -> bytes:
+    return hashlib.md5(line.encode("utf-8", "replace")).digest()[:8]
 
 
 _BLANK = re.compile(r"[ \t-\r]*")
 
 
-def chunks(lines: list[str], seeds: int) -> list[tuple[int, int]]:
+def chunks(lines: list[str], seeds: int, digests: list[bytes] | None = None) -> list[tuple[int, int]]:
     """First and last line of every chunk, in order. With f the fingerprint of a line, a chunk of seed s may begin at line i where bit s + 1 of 3 f(i) + f(i+1) is 0,
     and end at line j where bit s + 1 of 5 f(j-1) + f(j) is 0. A chunk holds two lines or more that are not blank."""
     n = len(lines)
     if n < 2:
         return []
-    f = np.array([fingerprint(line) for line in lines], dtype=np.int64)
+    digests = digests or [_digest(line) for line in lines]
+    f = (np.frombuffer(b"".join(digests), dtype=">u8") >> np.uint64(64 - LETTER)).astype(np.int64)
     full = np.append(0, np.cumsum([not _BLANK.fullmatch(line) for line in lines]))
     begins, ends = 3 * f[:-1] + f[1:], 5 * f[:-1] + f[1:]
     found = []
@@ -56,12 +58,21 @@ def chunks(lines: list[str], seeds: int) -> list[tuple[int, int]]:
     return [(i, j) for i, j in pairs.T.tolist() if full[j + 1] - full[i] > 1]
 
 
-def _key(body: str) -> int:
-    return int.from_bytes(hashlib.md5(body.encode("utf-8", "replace")).digest()[:8], "big", signed=True)
+def _chunks(rows: DataFrame, seeds: int, wanted: DataFrame | None = None) -> DataFrame:
+    """Chunks as spans whose ``body`` is the fingerprints of their lines."""
+
+    def spans(text: str) -> Iterator[tuple[int, int, bytes]]:
+        lines = text.split("\n")
+        digests = [_digest(line) for line in lines]
+        joined = b"".join(digests)
+        for i, j in chunks(lines, seeds, digests):
+            yield i, j - i + 1, joined[8 * i : 8 * j + 8]
 
+    return _spans(rows, spans, wanted, "binary")
 
-def _chunks(rows: DataFrame, seeds: int, wanted: DataFrame | None = None) -> DataFrame:
-    """``key`` of every chunk; with ``doc_id, th, first_line, n_lines, body`` if ``wanted`` keys are given."""
+
+def _chunk_texts(rows: DataFrame, seeds: int, wanted: DataFrame | None = None) -> DataFrame:
+    """Chunks as spans whose ``body`` is their text."""
 
     def spans(text: str) -> Iterator[tuple[int, int, str]]:
         lines = text.split("\n")
@@ -71,6 +82,21 @@ def _chunks(rows: DataFrame, seeds: int, wanted: DataFrame | None = None) -> Dat
     return _spans(rows, spans, wanted)
 
 
+def _collide(rows: DataFrame) -> bool:
+    """Whether two different lines share a fingerprint: the least and the greatest text of every fingerprint that repeats, combined in each task."""
+
+    def spans(text: str) -> Iterator[tuple[int, int, str]]:
+        for i, line in enumerate(text.split("\n")):
+            yield i, 1, line
+
+    def single(part: DataFrame, _: int, wanted: DataFrame | None = None) -> DataFrame:
+        return _spans(part, spans, wanted)
+
+    keys = _repeated_keys(rows, single, 1)
+    ends = single(rows, 1, keys).groupBy("key").agg(F.min("body").alias("low"), F.max("body").alias("high"))
+    return not ends.where("low <> high").isEmpty()
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
 
@@ -86,7 +112,7 @@ def windows(text: str, long: int) -> Iterator[tuple[int, int, str]]:
             yield i, 2, line + "\n" + lines[i + 1]
 
 
-def _spans(rows: DataFrame, spans: Callable[[str], Iterator[tuple[int, int, str]]], wanted: DataFrame | None) -> DataFrame:
+def _spans(rows: DataFrame, spans: Callable[[str], Iterator[tuple]], wanted: DataFrame | None, kind: str = "string") -> DataFrame:
     """``key`` of every span of lines that ``spans`` gives for a text; with ``doc_id, th, first_line, n_lines, body`` if ``wanted`` keys are given."""
     with_body = wanted is not None
 
@@ -95,20 +121,24 @@ def _spans(rows: DataFrame, spans: Callable[[str], Iterator[tuple[int, int, str]
             row, first, many, key, body = [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 for at, n, lines in spans(text or ""):
-                    key.append(_key(lines))
+                    raw = lines if kind == "binary" else lines.encode("utf-8", "replace")
+                    key.append(int.from_bytes(hashlib.md5(raw).digest()[:8], "big", signed=True))
                     if with_body:
                         row.append(i), first.append(at), many.append(n), body.append(lines)
             columns, names = [pa.array(key, pa.int64())], ["key"]
             if with_body:
                 take = pa.array(row, pa.int64())
-                columns += [batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(first, pa.int64()), pa.array(many, pa.int64()), pa.array(body, pa.string())]
+                columns += [batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(first, pa.int64()), pa.array(many, pa.int64()), pa.array(body, kind)]
                 names += ["doc_id", "th", "first_line", "n_lines", "body"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     if wanted is None:
         return rows.mapInArrow(run, "key long")
-    kind = "key long, doc_id long, th long, first_line long, n_lines long, body string"
-    return rows.mapInArrow(run, kind).join(small(wanted), "key", "left_semi")
+    return rows.mapInArrow(run, f"key long, doc_id long, th long, first_line long, n_lines long, body {kind}").join(small(wanted), "key", "left_semi")
+
+
+def _repeated_keys(rows: DataFrame, spans: Callable[..., DataFrame], size: int) -> DataFrame:
+    return stored(spans(rows, size).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated-keys")
 
 
 def _windows(rows: DataFrame, long: int, wanted: DataFrame | None = None) -> DataFrame:
@@ -121,7 +151,7 @@ def _repeated(rows: DataFrame, spans: Callable[..., DataFrame], size: int) -> Da
     A span goes if its bytes occurred before, by (doc_id, th, first_line) with nulls first, and do not overlap their first
     occurrence. So the first occurrence of a line never goes. Documents that repeat in all of doc_id and text are one document.
     """
-    keys = stored(spans(rows, size).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated-keys")
+    keys = _repeated_keys(rows, spans, size)
     place = F.struct("doc_id", "th", "first_line")
     bodies = stored(spans(rows, size, keys).distinct(), "bodies")
     first = stored(bodies.groupBy("key", "body").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-bodies")
@@ -139,7 +169,8 @@ def _repeated(rows: DataFrame, spans: Callable[..., DataFrame], size: int) -> Da
 
 def repeated(docs: DataFrame, *, seeds: int = SEEDS) -> DataFrame:
     """Lines of chunks that occurred before, see ``_repeated``."""
-    return _repeated(_rows(docs), _chunks, seeds)
+    rows = _rows(docs)
+    return _repeated(rows, _chunk_texts if _collide(rows) else _chunks, seeds)
 
 
 def repeated_passages(docs: DataFrame, *, long: int = LONG) -> DataFrame:

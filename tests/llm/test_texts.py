@@ -113,7 +113,9 @@ def test_near_duplicates_empty(spark):
 # ---- lines
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("texts", [False, True])
+def test_line_dedup(spark, monkeypatch, texts):
+    monkeypatch.setattr(line_dedup, "_collide", lambda rows: texts) if texts else None
     docs = documents(spark)
     got = line_dedup.dedup_lines(docs)
     assert got.columns == [*docs.columns, "removed_lines"]
