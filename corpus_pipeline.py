@@ -14,6 +14,7 @@ from assayer.llm.queries import table, tokenizer
 from assayer.llm.shared import remainder, small, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+SPARE = 0.5  # share of a document's characters in repeated lines beyond which it is a copy
 LEAST_SHARE = 0.35  # pooled probability below which no language prevails in a document
 
 
@@ -26,10 +27,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """All documents, without repeated passages; ``n_chars`` counts what is left."""
-    found = line_dedup.dedup_passages(docs)
+    """Documents without repeated chunks of lines; ``n_chars`` counts what is left. A document that repeats for the most part is a copy: it stays whole, and the next stage
+    decides about it. One of which no letter is left goes. Null texts stay null, repeated rows keep the same lines, an empty table stays empty."""
+    found = line_dedup.dedup_lines(docs, spare=SPARE)
     changed = F.col("removed_lines") > 0
-    return found.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    left = found.where(~changed | F.col("text").rlike(r"\p{L}"))
+    return left.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
