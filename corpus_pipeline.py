@@ -14,7 +14,7 @@ from assayer.llm.queries import table, tokenizer
 from assayer.llm.shared import remainder, small, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-SPARE = 0.5  # share of a document's characters in repeated lines beyond which it is a copy
+SPARE = 0.3  # share of a document's characters in repeated lines beyond which it is a copy
 LEAST_SHARE = 0.35  # pooled probability below which no language prevails in a document
 
 
