@@ -1,7 +1,8 @@
-"""JSON checks and views as Spark expressions: strictness, ordered entries, kinds, flattening.
+"""JSON checks and views as Spark expressions: strictness, ordered entries, kinds.
 
-VARIANT sorts object keys and rounds number spellings, so it decides kinds and values while the text
-(MAP<STRING,STRING> keeps the order of the document) decides order and wording.
+``strict`` and ``finite`` come from one walk over the bytes (``functions.tape``); whole records are read there as well. The views here work on single
+values: VARIANT sorts object keys and rounds number spellings, so it decides kinds and values while the text (MAP<STRING,STRING>
+keeps the order of the document) decides order and wording.
 """
 
 from __future__ import annotations
@@ -9,9 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed pattern: a JSON string literal, and the float spellings that can overflow.
-_STRING = r'"(?:[^"\\]|\\.)*"'
-_FLOAT = r"(-?[0-9]+(?:\.[0-9]+[eE][+-]?[0-9]+|\.[0-9]+|[eE][+-]?[0-9]+))"
+from assayer.functions.tape import scanned
 
 
 def let(value: Column, fn) -> Column:
@@ -20,27 +19,13 @@ def let(value: Column, fn) -> Column:
 
 
 def strict(text: Column) -> Column:
-    """True when the text is one JSON value with unique keys and no NaN/Infinity constants.
-
-    ``try_parse_json`` rejects repeated keys and constants but stops at the end of the first value.
-    Wrapped in an array and in an object, any text after that value breaks one of the two.
-    """
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    named = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    return F.coalesce(
-        F.try_parse_json(text).isNotNull()
-        & listed.isNotNull()
-        & named.isNotNull()
-        & F.try_variant_get(listed, "$[1]", "variant").isNull(),
-        F.lit(False),
-    )
+    """True when the text is one JSON value with unique keys and no NaN/Infinity constants; False for NULL."""
+    return scanned(text)["strict"]
 
 
 def finite(text: Column) -> Column:
-    """True when no number of a strict JSON text overflows a double."""
-    bare = F.regexp_replace(text, _STRING, '""')
-    floats = F.regexp_extract_all(bare, F.lit(_FLOAT))
-    return ~F.exists(floats, lambda x: F.abs(x.cast("double")) == F.lit(float("inf")))
+    """True when no number of a JSON text overflows a double."""
+    return scanned(text)["finite"]
 
 
 MEMBER = "array<struct<key:string,kind:string,json:string,text:string>>"
@@ -146,47 +131,3 @@ def canonical(text: Column) -> Column:
 def digest(text: Column) -> Column:
     """First 20 hex digits of the sha256 of the canonical text."""
     return F.substring(F.sha2(canonical(text), 256), 1, 20)
-
-
-def nesting(text: Column) -> Column:
-    """How deep objects lie in objects, an upper bound for texts that are no JSON. Strings do not count."""
-    marks = F.split(F.regexp_replace(text, r'"(\\.|[^"\\])*"|[^{}]', ""), "")
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
-
-    def step(s: Column, mark: Column) -> Column:
-        now = s["now"] + F.when(mark == "{", 1).when(mark == "}", -1).otherwise(0)
-        return F.struct(now.alias("now"), F.greatest(s["top"], now).alias("top"))
-
-    return F.aggregate(marks, start, step, lambda s: s["top"])
-
-
-def numeric_leaves(text: Column, depth: int = 16) -> Column:
-    """Numbers of nested objects as ARRAY<STRUCT<name, value>> with names joined by "/".
-
-    Booleans, strings and arrays are skipped. Objects nested deeper than ``depth`` are an error.
-    """
-    leaf = "array<struct<name:string,value:double>>"
-
-    def walk(value: Column, prefix: Column | None, left: int) -> Column:
-        members = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
-
-        def one(e: Column) -> Column:
-            name = e["key"] if prefix is None else F.concat(prefix, F.lit("/"), e["key"])
-            k = kind(e["value"])
-            number = F.array(
-                F.struct(name.alias("name"), F.try_variant_get(e["value"], "$", "double").alias("value"))
-            )
-            deeper = (
-                walk(e["value"], name, left - 1)
-                if left > 1
-                else F.raise_error("object nested too deeply").cast(leaf)
-            )
-            return (
-                F.when(k.isin("integer", "float"), number)
-                .when(k == "object", deeper)
-                .otherwise(F.array().cast(leaf))
-            )
-
-        return F.coalesce(F.flatten(F.transform(members, one)), F.array().cast(leaf))
-
-    return walk(F.try_parse_json(text), None, depth)

@@ -11,8 +11,19 @@ from pyspark.sql import functions as F
 
 from assayer.constants import BOOLEAN, CHOICE, SCORE
 from assayer.functions import json as J
+from assayer.functions.tape import Shape, scanned
 
 STRINGS = "array<string>"
+LEAVES = Shape({"*": None})
+REQUEST = Shape({"images": LEAVES, "questions": Shape({"*": Shape({"criteria": LEAVES, "*": None})}), "*": None})
+VIEWS = Shape({"*": Shape({"equivalence": LEAVES, "request": REQUEST, "*": None})})
+TARGETS = Shape({"*": Shape({"values": LEAVES, "*": None})})
+
+
+def record_shape(views: bool) -> Shape:
+    """What is read of a record; the rest stays JSON text."""
+    shape = {"request": REQUEST, "targets": TARGETS, "question_weights": LEAVES, "*": None}
+    return Shape(shape | ({"views": VIEWS} if views else {}))
 
 
 def _keys(members: Column) -> Column:
@@ -25,6 +36,16 @@ def _string_member(members: Column, name: str) -> Column:
     return F.get(found, F.lit(0))["text"]
 
 
+def _below(members: Column, name: str) -> Column:
+    """The members of one member, none when it is absent or no container."""
+    return F.flatten(F.transform(F.filter(members, lambda e: e["key"] == name), lambda e: e["members"]))
+
+
+def _if_object(e: Column) -> Column:
+    """The members of an object, none of anything else."""
+    return F.filter(e["members"], lambda _: e["kind"] == "object")
+
+
 def _kind_of(members: Column, name: str) -> Column:
     found = F.get(F.filter(members, lambda e: e["key"] == name), F.lit(0))
     return F.coalesce(found["kind"], F.lit("absent"))
@@ -89,9 +110,6 @@ def question(
 
 def _parse_question(e: Column) -> Column:
     def with_members(m: Column) -> Column:
-        ckind = _kind_of(m, "criteria")
-        text = J.member(m, "criteria")
-
         def with_criteria(c: Column) -> Column:
             return J.let(_string_member(m, "type"), lambda kind: typed(kind, c))
 
@@ -99,37 +117,14 @@ def _parse_question(e: Column) -> Column:
             return question(
                 e["key"], kind, F.transform(c, lambda x: x["key"]),
                 F.transform(c, lambda x: x["json"]), J.member(m, "instructions"),
-                description_kinds=F.transform(c, lambda x: x["kind"]), criteria_kind=ckind,
+                description_kinds=F.transform(c, lambda x: x["kind"]), criteria_kind=_kind_of(m, "criteria"),
                 instructions_kind=_kind_of(m, "instructions"), is_object=e["kind"] == "object",
                 extra=_keys(m),
             )
 
-        return J.let(_parts(text, ckind), with_criteria)
-
-    return J.let(
-        F.coalesce(F.when(e["kind"] == "object", J.entries(e["json"])), _no_members()), with_members
-    )
-
-
-def _no_members() -> Column:
-    return F.array().cast(J.MEMBER)
-
-
-def _parts(text: Column, kind: Column) -> Column:
-    """Members of an object, or elements of an array with their index as key."""
-    listed = F.transform(
-        J.items(text),
-        lambda x, i: F.struct(i.cast("string").alias("key"), x["kind"].alias("kind"),
-                              x["json"].alias("json"), x["text"].alias("text")),
-    )
-    found = F.when(kind == "object", J.entries(text)).when(kind == "array", listed)
-    return F.coalesce(found, _no_members())
-
+        return J.let(_below(m, "criteria"), with_criteria)
 
-def parse_questions(text: Column, kind: Column) -> Column:
-    return F.coalesce(
-        F.when(kind == "object", F.transform(J.entries(text), _parse_question)),
-    )
+    return J.let(_if_object(e), with_members)
 
 
 def target(
@@ -195,7 +190,6 @@ def _number(text: Column, kind: Column) -> Column:
 def _parse_target(e: Column) -> Column:
     def with_members(m: Column) -> Column:
         vkind = _kind_of(m, "values")
-        text = J.member(m, "values")
 
         def with_values(v: Column) -> Column:
             return target(
@@ -217,14 +211,12 @@ def _parse_target(e: Column) -> Column:
                 values_kind=vkind, value_kinds=F.transform(v, lambda x: x["kind"]),
             )
 
-        return J.let(_parts(text, vkind), with_values)
+        return J.let(_below(m, "values"), with_values)
 
-    return J.let(
-        F.coalesce(F.when(e["kind"] == "object", J.entries(e["json"])), _no_members()), with_members
-    )
+    return J.let(_if_object(e), with_members)
 
 
-def parse_request(text: Column, kind: Column) -> Column:
+def _parse_request(members: Column, kind: Column) -> Column:
     """The request struct: fields, model kind, state, images and ordered questions."""
 
     def with_members(m: Column) -> Column:
@@ -232,11 +224,9 @@ def parse_request(text: Column, kind: Column) -> Column:
         qkind = _kind_of(m, "questions")
         pictures = F.when(
             ikind == "array",
-            F.transform(
-                J.items(J.member(m, "images")),
-                lambda x: F.when(x["kind"] == "string", x["text"]),
-            ),
+            F.transform(_below(m, "images"), lambda x: F.when(x["kind"] == "string", x["text"])),
         )
+        asked = F.filter(_below(m, "questions"), lambda _: qkind == "object")
         return F.struct(
             (kind == "object").alias("is_object"),
             _keys(m).alias("fields"),
@@ -247,20 +237,10 @@ def parse_request(text: Column, kind: Column) -> Column:
             ikind.alias("images_kind"),
             pictures.alias("images"),
             qkind.alias("questions_kind"),
-            F.coalesce(
-                parse_questions(J.member(m, "questions"), qkind), _no_questions()
-            ).alias("questions"),
+            F.transform(asked, _parse_question).alias("questions"),
         )
 
-    return J.let(
-        F.coalesce(F.when(kind == "object", J.entries(text)), _no_members()), with_members
-    )
-
-
-def _no_questions() -> Column:
-    s, a = F.lit("").cast("string"), F.array().cast(STRINGS)
-    one = F.array(question(s, s, a, a, s))
-    return F.filter(one, lambda q: F.lit(False))
+    return J.let(F.filter(members, lambda _: kind == "object"), with_members)
 
 
 def request(
@@ -284,11 +264,6 @@ def request(
 
 def _parse_view(item: Column) -> Column:
     def with_members(m: Column) -> Column:
-        ekind = _kind_of(m, "equivalence")
-        eq = F.coalesce(
-            F.when(ekind == "object", J.entries(J.member(m, "equivalence"))), _no_members()
-        )
-
         def with_eq(q: Column) -> Column:
             return F.struct(
                 (item["kind"] == "object").alias("is_object"),
@@ -301,28 +276,24 @@ def _parse_view(item: Column) -> Column:
                 .alias("scope"),
                 _string_member(q, "method").alias("method"),
                 _string_member(q, "reference").alias("reference"),
-                parse_request(J.member(m, "request"), _kind_of(m, "request")).alias("request"),
+                _parse_request(_below(m, "request"), _kind_of(m, "request")).alias("request"),
             )
 
-        return J.let(eq, with_eq)
+        return J.let(F.filter(_below(m, "equivalence"), lambda _: _kind_of(m, "equivalence") == "object"), with_eq)
 
-    return J.let(
-        F.coalesce(F.when(item["kind"] == "object", J.entries(item["json"])), _no_members()),
-        with_members,
-    )
+    return J.let(_if_object(item), with_members)
 
 
 def parse_records(df: DataFrame, text: str = "value", *, views: bool = True) -> DataFrame:
-    """Typed columns of record JSON. Nothing is rejected here; see ``validate``."""
-    df = df.withColumns({"strict": J.strict(F.col(text)), "record_json": F.col(text)})
-    safe = F.when(F.col("strict") & (J.text_kind(F.col(text)) == "object"), F.col(text))
-    df = df.withColumns(
+    """Typed columns of record JSON, from one walk over its bytes. Nothing is rejected here; see ``validate``."""
+    tape = df.withColumns({"__tape": scanned(F.col(text), record_shape(views)), "record_json": F.col(text)})
+    df = tape.withColumns(
         {
-            "finite": F.when(F.col("strict"), J.finite(F.col(text))).otherwise(False),
-            "__m": F.coalesce(J.entries(safe), _no_members()),
-            "is_object": safe.isNotNull(),
+            "strict": F.col("__tape.strict"),
+            "finite": F.col("__tape.strict") & F.col("__tape.finite"),
+            "is_object": F.coalesce(F.col("__tape.kind") == "object", F.lit(False)),
         }
-    )
+    ).withColumn("__m", F.filter("__tape.members", lambda _: F.col("is_object"))).drop("__tape")
     m = F.col("__m")
     columns = {
         "fields": _keys(m),
@@ -335,33 +306,18 @@ def parse_records(df: DataFrame, text: str = "value", *, views: bool = True) ->
         "weight": F.when(_kind_of(m, "weight") == "absent", 1.0).otherwise(
             _number(J.member(m, "weight"), _kind_of(m, "weight"))
         ),
-        "request": parse_request(J.member(m, "request"), _kind_of(m, "request")),
+        "request": _parse_request(_below(m, "request"), _kind_of(m, "request")),
         "targets_kind": _kind_of(m, "targets"),
-        "targets": F.coalesce(
-            F.when(
-                _kind_of(m, "targets") == "object",
-                F.transform(J.entries(J.member(m, "targets")), _parse_target),
-            ),
-            F.filter(F.array(target(F.lit(""), F.lit(""))), lambda t: F.lit(False)),
-        ),
+        "targets": F.transform(F.filter(_below(m, "targets"), lambda _: _kind_of(m, "targets") == "object"), _parse_target),
         "question_weights_kind": _kind_of(m, "question_weights"),
-        "question_weights": F.coalesce(
-            F.when(
-                _kind_of(m, "question_weights") == "object",
-                F.transform(
-                    J.entries(J.member(m, "question_weights")),
-                    lambda e: F.struct(e["key"].alias("qid"), _number(e["json"], e["kind"]).alias("weight")),
-                ),
-            ),
-            F.array().cast("array<struct<qid:string,weight:double>>"),
+        "question_weights": F.transform(
+            F.filter(_below(m, "question_weights"), lambda _: _kind_of(m, "question_weights") == "object"),
+            lambda e: F.struct(e["key"].alias("qid"), _number(e["json"], e["kind"]).alias("weight")),
         ),
     }
     if views:
         columns["views_kind"] = _kind_of(m, "views")
-        columns["views"] = F.when(
-            _kind_of(m, "views") == "array",
-            F.transform(J.items(J.member(m, "views")), _parse_view),
-        )
+        columns["views"] = F.when(_kind_of(m, "views") == "array", F.transform(_below(m, "views"), _parse_view))
     return with_metadata(df.withColumns(columns).drop("__m"))
 
 

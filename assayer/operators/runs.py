@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.functions import json as J
+from assayer.functions.tape import numeric_leaves
 
 
-def scalar_metrics(log: DataFrame, text: str, keys: list[str], depth: int | None = None) -> DataFrame:
-    """One row per number of a JSON log row, named by its path. Without ``depth`` the log's own nesting is measured first."""
-    if depth is None:
-        depth = max(1, log.agg(F.max(J.nesting(F.col(text)))).first()[0] or 1)
-    return log.select(*keys, F.inline(J.numeric_leaves(F.col(text), depth)))
+def scalar_metrics(log: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """One row per number of a JSON log row, named by its path; objects may nest to any depth."""
+    return log.select(*keys, F.inline(numeric_leaves(F.col(text))))
 
 
 def best_step(rows: DataFrame, by: list[str], step: str, score: str) -> DataFrame:

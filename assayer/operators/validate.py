@@ -15,6 +15,7 @@ from assayer.constants import (
     SCHEMA_VERSION, SCORE, SUM_TOLERANCE, TARGET_FIELDS, VIEW_FIELDS, VIEW_RELATION,
 )
 from assayer.functions import json as J
+from assayer.functions.tape import Shape, scanned
 
 VIOLATIONS = "array<struct<path:string,rule:string>>"
 ENTRY = ("string", "object", "array", "null")
@@ -220,7 +221,7 @@ def view_violations(v: Column) -> Column:
 
 def audit_views(df: DataFrame) -> DataFrame:
     """Add ``accepted_views`` and ``rejected_views`` (index, reasons). A bad view never rejects its
-    record; every copy of a repeated view id is rejected."""
+    record; every copy of a repeated view id is rejected. Views that are no list are one rejection without an index."""
     counts = lambda v: F.size(F.filter("views", lambda w: w["view_id"] == v["view_id"]))
     audited = F.transform(
         "views",
@@ -235,16 +236,18 @@ def audit_views(df: DataFrame) -> DataFrame:
     df = df.withColumn("__audit", audited)
     good = F.filter("__audit", lambda a: F.size(a["violations"]) == 0)
     bad = F.filter("__audit", lambda a: F.size(a["violations"]) > 0)
+    rejected = F.transform(
+        bad,
+        lambda a: F.struct(a["index"].alias("index"), F.transform(a["violations"], lambda x: x["rule"]).alias("reasons")),
+    )
+    if "views_kind" in df.columns:
+        whole = F.array(F.struct(F.lit(None).cast("int").alias("index"), F.array(F.lit("views_list")).alias("reasons")))
+        rejected = F.when(~F.col("views_kind").isin("absent", "array"), whole).otherwise(rejected)
     return df.withColumns(
         {
             "accepted_views": F.coalesce(F.transform(good, lambda a: a["view"]),
                                          F.filter("views", lambda v: F.lit(False))),
-            "rejected_views": F.transform(
-                bad,
-                lambda a: F.struct(
-                    a["index"].alias("index"), F.transform(a["violations"], lambda x: x["rule"]).alias("reasons")
-                ),
-            ),
+            "rejected_views": rejected,
         }
     ).drop("__audit")
 
@@ -296,17 +299,22 @@ def validation_report(df: DataFrame) -> DataFrame:
     )
 
 
-def admission(df: DataFrame, text: str = "value", model: str | None = None) -> DataFrame:
-    """Add ``admission``: NULL for a usable request body, else why it is refused."""
+def admission(
+    df: DataFrame, text: str = "value", model: str | None = None, *, tokens: Column | None = None, budget: int | None = None
+) -> DataFrame:
+    """Add ``admission``: NULL for a usable request body, else why it is refused. A body whose ``tokens`` are over ``budget`` is refused as "budget", never cut."""
     body = F.col(text)
     size = F.octet_length(body)
-    named = F.try_variant_get(F.try_parse_json(body), "$.model", "string")
+    tape = F.col("__tape")
+    named = F.get(tape["members"], F.lit(0))
     reason = (
         F.when(body.isNull() | ~size.between(1, MAX_BODY_BYTES), "size")
-        .when(~J.strict(body), "strict_json")
-        .when(J.text_kind(body) != "object", "object")
-        .when(~J.finite(body), "finite_json")
+        .when(~tape["strict"], "strict_json")
+        .when(tape["kind"] != "object", "object")
+        .when(~tape["finite"], "finite_json")
     )
     if model is not None:
-        reason = reason.when(F.coalesce(named, F.lit(model)) != model, "model")
-    return df.withColumn("admission", reason)
+        reason = reason.when(F.when(named["kind"] == "string", named["text"]).otherwise(model) != model, "model")
+    if budget is not None:
+        reason = reason.when(tokens > budget, "budget")
+    return df.withColumn("__tape", scanned(body, Shape({"model": None}))).withColumn("admission", reason).drop("__tape")
