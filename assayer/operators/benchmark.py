@@ -9,6 +9,7 @@ from assayer.constants import BINS, BOOLEAN, KL_EPS, SCORE
 from assayer.functions.buckets import probability_bin
 from assayer.functions.scoring import mode_index
 from assayer.operators.answers import expected_level
+from assayer.operators.selection import median
 
 
 def aligned_distribution(kind: Column, truth: Column, answer: Column, keys: Column) -> Column:
@@ -104,5 +105,6 @@ def benchmark_report(df: DataFrame) -> DataFrame:
 
 
 def median_latency(df: DataFrame, column: str = "ms") -> DataFrame:
-    return df.agg(F.percentile(column, F.lit(0.5)).alias("ms_per_case_p50"))
+    """One row: the exact median, NULL without a value."""
+    return median(df, column).agg(F.any_value("median").alias("ms_per_case_p50"))
 

@@ -9,7 +9,7 @@ from assayer.constants import ALLOWED_SET
 from assayer.functions.buckets import length_bucket, probability_bin
 from assayer.functions.scoring import METRICS, allowed_vector, target_vector
 from assayer.operators.prefix import range_bucket, running_sums
-from assayer.session import task_count
+from assayer.session import stored, task_count
 
 CURVE_POINTS = 11
 
@@ -138,19 +138,14 @@ def risk_coverage(
     """Risk and coverage when every question with at least the threshold score is accepted.
 
     Equal scores are one step. ``points`` steps are kept at positions round((n-1)*i/(points-1)),
-    half to even. Steps are cut into score ranges, so no task sees the whole curve.
+    half to even. The steps are written once, so rows are scored once, and then cut into score ranges, so no task sees the whole curve.
     """
     by = list(by)
     spark = rows.sparkSession
-    scored, _ = range_bucket(_soft(rows), "top_probability", buckets or task_count(spark))
-    steps = (
-        scored.groupBy(*by, "bucket", F.col("top_probability").alias("threshold"))
-        .agg(
-            F.sum("weight").alias("w"),
-            F.sum(F.col("weight") * (1 - F.col("accuracy"))).alias("e"),
-        )
-        .withColumn("one", F.lit(1))
+    steps = _soft(rows).groupBy(*by, F.col("top_probability").alias("threshold")).agg(
+        F.sum("weight").alias("w"), F.sum(F.col("weight") * (1 - F.col("accuracy"))).alias("e"), F.lit(1).alias("one")
     )
+    steps, _ = range_bucket(stored(steps, "curve-steps"), "threshold", buckets or task_count(spark))
     curve = running_sums(
         steps, [F.col("threshold").desc()], ["w", "e", "one"], by, descending=True
     )

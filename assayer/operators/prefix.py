@@ -6,11 +6,10 @@ totals form a small table whose running sum is joined back as the offset of the
 
 from __future__ import annotations
 
-import bisect
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer.operators.selection import position, range_bounds, sortable
 from assayer.session import task_count
 
 HASH_BITS = 60
@@ -28,26 +27,10 @@ def hash_bucket(key: Column, buckets: int) -> Column:
 
 
 def range_bucket(df: DataFrame, order: str, buckets: int) -> tuple[DataFrame, int]:
-    """Add ``bucket`` by value ranges of a numeric column. Bounds come from an approximate
-    quantile, collected once (at most ``buckets`` numbers); the result is exact with any bounds."""
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = df.approxQuantile(order, probs, 0.5 / buckets) if probs else []
-    bounds = sorted(set(bounds))
-
-    def place(lo: int, hi: int) -> Column | int:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(order) < F.lit(bounds[mid]), place(lo, mid)).otherwise(
-            place(mid + 1, hi)
-        )
-
-    return df.withColumn("bucket", place(0, len(bounds))), len(bounds) + 1
-
-
-def bucket_of(bounds: list[float], value: float) -> int:
-    """The same rule on the driver, for tests."""
-    return bisect.bisect_right(bounds, value)
+    """Add ``bucket`` by value ranges of a numeric column that hold about equally many rows. The bounds are order statistics (at most
+    ``buckets`` numbers on the driver); the result is exact with any bounds. ``df`` is read up to five times, so it should be a table."""
+    bounds = range_bounds(df, order, buckets)
+    return df.withColumn("bucket", position(bounds, sortable(F.col(order)))), len(bounds) + 1
 
 
 def bucket_offsets(
