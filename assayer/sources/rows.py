@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from assayer.constants import MAX_BODY_BYTES
 from assayer.functions import json as J
+from assayer.sources.split import csv_fields, csv_row, csv_step, json_step, numbered_lines, positions, records
 
 CORRUPT = "_corrupt"
 
@@ -25,61 +26,50 @@ def object_problem(text: Column) -> Column:
 
 
 def located(bad: DataFrame, spark: SparkSession, path: str) -> DataFrame:
-    """Line numbers of bad lines. Only needed for a report, so only files with bad lines are read
-    again, whole, one task per file."""
+    """Line numbers of bad lines, from one more pass over the files in splits."""
     files = bad.select("source_file").distinct()
-    whole = spark.read.text(path, wholetext=True).select(
-        F.col("value").alias("content"), F.col("_metadata.file_path").alias("source_file")
-    )
-    lines = whole.join(files, "source_file", "left_semi").select(
-        "source_file", F.posexplode(F.split("content", "\n")).alias("n", "value")
-    )
-    return lines.filter(object_problem(F.col("value")).isNotNull() & (F.trim("value") != "")).select(
-        "source_file", (F.col("n") + 1).alias("line"), "value", object_problem(F.col("value")).alias("problem")
-    )
+    lines = numbered_lines(spark, path).join(files, "source_file", "left_semi")
+    lines = lines.withColumn("problem", F.when(F.trim("value", F.lit(" \t\r\n")) != "", object_problem(F.col("value"))))
+    return lines.filter(F.col("problem").isNotNull()).select("source_file", "line", "value", "problem")
 
 
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
-    """(value, position, source_file): elements of files that each hold an array of objects."""
-    whole = spark.read.text(path, wholetext=True).select(
-        "value", F.col("_metadata.file_path").alias("source_file")
+    """(value, position, source_file): elements of files that each hold an array of objects, as they are written there. Files are read in splits, of any size;
+    one that is no array of strict objects is an error. An element may be larger than a split."""
+    wrong = "the file is no array of objects"
+    found = positions(records(spark, path, json_step, sep=",", base=1))
+    text, first = F.col("value"), F.col("line") == 1
+    begins, ends = r"^[\uFEFF]?[ \t\r\n]*\[", r"\][ \t\r\n]*$"
+    fits = (~first | text.rlike(begins)) & (~F.col("final") | text.rlike(ends))
+    inner = F.when(first, F.regexp_replace(text, begins, "")).otherwise(text)
+    inner = F.when(F.col("final"), F.regexp_replace(inner, ends, "")).otherwise(inner)
+    rows = found.select(F.trim(inner, F.lit(" \t\r\n")).alias("value"), "position", "source_file", fits.alias("fits"), (first & F.col("final")).alias("only"))
+    rows = rows.where(~(F.col("only") & F.col("fits") & (F.col("value") == "")))
+    sound = F.col("fits") & object_problem(F.col("value")).isNull()
+    return rows.withColumn("sound", sound).select(
+        F.when(F.col("sound"), F.col("value")).otherwise(F.raise_error(wrong).cast("string")).alias("value"), F.col("position").cast("int").alias("position"), "source_file"
     )
-    sound = J.strict(F.col("value")) & (J.text_kind(F.col("value")) == "array")
-    text = F.when(sound, F.col("value")).otherwise(F.raise_error("the file is no array of objects"))
-    rows = whole.select(F.posexplode(J.items(text)).alias("position", "item"), "source_file")
-    value = F.when(F.col("item.kind") == "object", F.col("item.json")).otherwise(
-        F.raise_error("the file is no array of objects").cast("string")
-    )
-    return rows.select(value.alias("value"), "position", "source_file")
 
 
 def read_delimited(spark: SparkSession, path: str, *, sep: str = ",", strict: bool = True) -> DataFrame:
-    """CSV or TSV with unique header names, the same in every file (another header fails). Every value stays a string; a ragged row is an error, or
-    with ``strict=False`` a row whose ``_corrupt`` column holds the text."""
-    header = spark.read.text(path).first()
-    if header is None:
+    """CSV or TSV with unique header names, the same in every file. Every value stays a string, empty ones too; a ragged row is an error, or
+    with ``strict=False`` a row whose ``_corrupt`` column holds the text. Quoted fields may hold line breaks; files are still read in splits. Blank lines are no rows."""
+    found = records(spark, path, csv_step(sep)).select(F.regexp_replace("value", r"\r$", "").alias("value"), "line")
+    heads = found.where("line = 1").select(F.regexp_replace("value", "^\uFEFF", "").alias("h")).distinct().take(2)
+    if not heads or not heads[0]["h"]:
         raise ValueError("the first line has no column names")
-    names = spark.createDataFrame([(header["value"].lstrip("﻿"),)], "h string").select(
-        F.from_csv("h", F.lit(", ".join(f"c{i} string" for i in range(header["value"].count(sep) + 1))), {"sep": sep}).alias("r")
-    ).first()["r"]
-    columns = [c for c in names if c is not None]
-    if len(columns) != len(set(columns)) or not columns:
+    if len(heads) > 1:
+        raise ValueError("the files have different column names")
+    columns = csv_row(heads[0]["h"], sep)
+    if len(columns) != len(set(columns)):
         raise ValueError("column names repeat")
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, CORRUPT]])
-    rows = (
-        spark.read.schema(schema)
-        .option("header", True).option("sep", sep).option("multiLine", True).option("enforceSchema", False).option("escape", '"')
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-        .option("emptyValue", "").option("nullValue", "\u0000").csv(path)
-    )
-    missing = F.lit(False)
-    for c in columns:
-        missing = missing | F.col(f"`{c}`").isNull()
-    broken = F.col(CORRUPT).isNotNull() | missing
+    rows = found.where("line > 1 and value <> ''").withColumn("fields", csv_fields(F.col("value"), sep))
+    broken = F.size("fields") != len(columns)
+    named = [F.get("fields", F.lit(i)).alias(c) for i, c in enumerate(columns)]
     if not strict:
-        return rows.withColumn(CORRUPT, F.when(broken, F.coalesce(CORRUPT, F.lit(""))))
-    first = F.when(broken, F.raise_error("a row does not fit the columns").cast("string")).otherwise(F.col(f"`{columns[0]}`"))
-    return rows.select(first.alias(columns[0]), *[F.col(f"`{c}`") for c in columns[1:]])
+        return rows.select(*named, F.when(broken, F.col("value")).alias(CORRUPT))
+    first = F.when(broken, F.raise_error("a row does not fit the columns").cast("string")).otherwise(named[0])
+    return rows.select(first.alias(columns[0]), *named[1:])
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
