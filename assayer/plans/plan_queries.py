@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayer.operators import leakage as K
+from assayer.operators import lineage as N
 from assayer.operators import planning as P
 from assayer.operators import records as R
 from assayer.operators import tokens as T
 from assayer.plans import fixtures as X
+from assayer.session import stored
 
 LAYOUT = T.Layout(T.word_tokens, max_sequence=1_500, max_request=1_600)
 STEPS, BUDGET = 8, 8192
@@ -92,11 +94,38 @@ def ancestor_closure(spark, folder):
 
 
 def inherited_sources(spark, folder):
-    """Runs and their collected sources; some runs have no training data in their history."""
+    """Runs without training data in their history, and runs whose history is a loop."""
     runs = _runs(spark, folder)
     sources = runs.select("run", F.when(F.col("run") % 4 == 0, "train").otherwise("dev").alias("split"))
-    found = K.inherited_sources(K.ancestors(runs), sources)
-    return K.incomplete_runs(runs, found)
+    return N.incomplete_runs(N.interval_labels(runs), sources, "train")
+
+
+CHAIN = 2000
+
+
+def _chains(spark, folder):
+    """Every order continues from the one before, in chains of 2000; the first of some chains starts from the last one."""
+    k = F.col("o_orderkey")
+    begin = (k % CHAIN == 0) & (F.floor(k / CHAIN) % 5 != 3)
+    parent = F.when(~begin, F.when(k % CHAIN == 0, k + CHAIN - 1).otherwise(k - 1))
+    return X.table(spark, folder, "orders").select(k.alias("run"), parent.alias("parent"), F.lit(False).alias("self_contained"), "o_orderstatus")
+
+
+def lineage_sums(spark, folder):
+    """Runs and finished ones in the history of every run, over long chains."""
+    runs = stored(_chains(spark, folder), "chains")
+    weights = runs.select("run", F.lit(1).cast("long").alias("ancestors"), (F.col("o_orderstatus") == "F").cast("long").alias("finished"))
+    labels = N.interval_labels(runs)
+    return N.ancestor_sums(labels, weights, ["ancestors", "finished"]).join(labels.select("run", "cyclic"), "run").join(runs.select("run"), "run")
+
+
+def lineage_sources(spark, folder):
+    """States of all orders in the history of the urgent ones, joined for those only."""
+    runs = stored(_chains(spark, folder), "chains")
+    urgent = X.table(spark, folder, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("run"))
+    labels = N.interval_labels(runs)
+    asked = urgent.join(labels.where("not cyclic"), "run", "left_semi")
+    return N.inherited_sources(asked, labels, runs.select("run", F.col("o_orderstatus").alias("state")))
 
 
 def view_set_join(spark, folder):
@@ -307,7 +336,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         split_leakage, duplicate_ids, group_gate, membership, provenance_overlap,
-        calibration_overlap, course_conflicts, course_merge, ancestor_closure, inherited_sources,
+        calibration_overlap, course_conflicts, course_merge, ancestor_closure, inherited_sources, lineage_sums, lineage_sources,
         view_set_join, view_set_problems, pair_differences, set_operations, question_layout,
         stored_layout_rules, option_reordering, neutralized_markers, encoder_preface,
         budget_reject, token_cost_rows, tokenization_report, epoch_shuffle, update_plan,
@@ -382,6 +411,9 @@ c AS (SELECT run, run AS ancestor, 0 AS depth FROM r
 f AS (SELECT run, ancestor, min(depth) AS depth, max(depth) >= 30 AS deep FROM c WHERE ancestor IS NOT NULL GROUP BY 1, 2),
 g AS (SELECT run, bool_or(deep) AS cyclic FROM f GROUP BY run)"""
 
+_CHAINS = f"""chains AS (SELECT o_orderkey AS run, o_orderkey // {CHAIN} AS chain, o_orderstatus AS state, o_orderpriority = '1-URGENT' AS urgent,
+  (o_orderkey // {CHAIN}) % 5 = 3 AND (o_orderkey // {CHAIN} + 1) * {CHAIN} - 1 IN (SELECT o_orderkey FROM orders) AS cyclic FROM orders)"""
+
 ORACLE = {
     "split_leakage": f"""WITH {_S}, {_KEYS} SELECT key_kind, key, min(split) AS first_split, max(split) AS last_split, count(*) AS n
 FROM k GROUP BY 1, 2 HAVING count(DISTINCT split) > 1""",
@@ -398,7 +430,12 @@ SELECT m.key_kind, m.key, m.split, o.split AS prior_split FROM m JOIN (SELECT DI
     "course_merge": """SELECT o_orderstatus AS split, md5(CAST(o_custkey AS VARCHAR)) AS sha256, max(o_orderkey) AS ord,
   arg_max(o_orderpriority, o_orderkey) AS path FROM orders GROUP BY 1, 2""",
     "ancestor_closure": f"WITH RECURSIVE {_RUNS} SELECT f.run, ancestor, depth, cyclic FROM f JOIN g ON f.run = g.run",
-    "inherited_sources": f"WITH RECURSIVE {_RUNS} SELECT run FROM f GROUP BY run HAVING sum(CASE WHEN ancestor % 4 = 0 AND ancestor IN (SELECT run FROM r) THEN 1 ELSE 0 END) = 0",
+    "inherited_sources": f"""WITH RECURSIVE {_RUNS} SELECT run, g.cyclic FROM f JOIN g USING (run) GROUP BY run, g.cyclic
+HAVING g.cyclic OR sum(CASE WHEN ancestor % 4 = 0 AND ancestor IN (SELECT run FROM r) THEN 1 ELSE 0 END) = 0""",
+    "lineage_sums": f"""WITH {_CHAINS} SELECT run, CASE WHEN NOT cyclic THEN count(*) OVER w END AS ancestors,
+  CASE WHEN NOT cyclic THEN CAST(count(*) FILTER (WHERE state = 'F') OVER w AS BIGINT) END AS finished, cyclic FROM chains WINDOW w AS (PARTITION BY chain ORDER BY run)""",
+    "lineage_sources": f"""WITH {_CHAINS}, seen AS (SELECT chain, state, min(run) AS first FROM chains GROUP BY 1, 2)
+SELECT run, s.state FROM chains c JOIN seen s ON s.chain = c.chain AND s.first <= c.run WHERE NOT c.cyclic AND c.urgent""",
     "view_set_join": "SELECT doc_id AS id, lang, CASE WHEN doc_id % 3 = 0 THEN 'own' ELSE 'paired' END AS views FROM documents",
     "view_set_problems": "SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'duplicate' ELSE 'no_view' END AS problem FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0",
     "pair_differences": "SELECT doc_id AS id FROM documents WHERE doc_id % 6 = 0",
