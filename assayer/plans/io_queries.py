@@ -12,10 +12,11 @@ from assayer.plans import fixtures as X
 from assayer.plans.metric_queries import _rounded
 from assayer.plans.record_queries import DAMAGE, _record_texts
 from assayer.plans.sql import r6
-from assayer.session import fresh_path
+from assayer.session import fresh_path, stored
 from assayer.sources import packed as K
 from assayer.sources import rows as S
 from assayer.streaming import jobs as J
+from assayer.streaming.reuse import reuse_states
 
 
 def jsonl_source(spark, folder):
@@ -184,6 +185,64 @@ def stream_dedup(spark, folder):
     return J.run_to_table(rows.select("event_type", "user_id"))
 
 
+BATCHES = 6  # arrivals of the events by time; some come one or two batches late
+
+
+def _arrivals(spark, folder, files=2):
+    """The events as a stream of BATCHES + 2 micro-batches: every 17th event arrives two batches late, every fifth of the others one."""
+    base = fresh_path(spark, "arrivals")
+    events = X.table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    span = events.agg(F.min(F.unix_micros("ts")).alias("lo"), F.max(F.unix_micros("ts")).alias("hi"))
+    late = F.when(F.col("event_id") % 17 == 0, 2).when(F.col("event_id") % 5 == 0, 1).otherwise(0)
+    slot = F.expr(f"({BATCHES} * (unix_micros(ts) - lo)) div (hi - lo + 1)") + late
+    dealt = stored(events.crossJoin(F.broadcast(span)).withColumn("arrival", slot).drop("lo", "hi"), "dealt")  # one row of bounds
+    for k in range(BATCHES + 2):
+        dealt.where(F.col("arrival") == k).drop("arrival").repartition(files, "event_id").write.parquet(f"{base}/arrival={k}")
+    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/*")
+    return rows
+
+
+# Batch of every event, and the watermark (in milliseconds, before the delay) that the rows of each batch are late against: the highest time
+# seen two batches before.
+_ARRIVALS = f"""span AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events),
+arrived AS (SELECT e.*, CAST(({BATCHES} * (epoch_us(ts) - lo)) // (hi - lo + 1) + CASE WHEN event_id % 17 = 0 THEN 2 WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS INT) AS b
+  FROM events e, span),
+tops AS (SELECT b, max(epoch_ms(ts)) AS top FROM arrived GROUP BY b),
+marks AS (SELECT b, max(top) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS late_ms FROM tops),
+dated AS (SELECT a.*, coalesce(late_ms, -1e18) AS late_ms FROM arrived a JOIN marks m ON a.b = m.b)"""
+
+
+def stream_reuse(spark, folder):
+    """States encoded once per hour's horizon over several micro-batches: answered rows, encoder runs and the value by state and day."""
+    rows = _arrivals(spark, folder).withColumn("state", F.concat_ws(":", "event_type", F.col("user_id") % 20))
+    out = J.run_to_table(reuse_states(rows, "state", "ts", lambda s: float(sum(s.encode())), code="double", delay="2 hours", horizon=86400))
+    return out.groupBy("state", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
+        F.count(F.lit(1)).alias("answered"), F.sum(F.col("fresh").cast("long")).alias("encoded"), F.min("code").alias("low"), F.max("code").alias("high"))
+
+
+def stream_sliding_calibration(spark, folder):
+    """Calibration error per sliding window of two days, from late and out-of-order arrivals."""
+    rows = _arrivals(spark, folder).select(
+        "ts", F.lit(1.0).alias("weight"), F.least(F.lit(0.99), 0.25 + F.col("value") / 700.0).alias("top_probability"),
+        (F.col("event_type") == "click").cast("double").alias("accuracy"))
+    out = J.calibration_by_window(J.run_to_table(J.calibration_bins(rows, "ts", delay="1 hour", window="2 days", slide="1 day")))
+    return _rounded(out.withColumn("start", F.date_format("start", "yyyy-MM-dd")), "ece", "accuracy")
+
+
+def stream_throughput(spark, folder):
+    """Rows and tokens per second of each closed day, from late and out-of-order arrivals."""
+    rows = _arrivals(spark, folder).withColumn("tokens", F.size(F.split("props", "[ :,]+")).cast("long"))
+    out = J.run_to_table(J.throughput(rows, "ts", ["tokens"], delay="1 hour", window="1 day"))
+    return _rounded(out.withColumn("start", F.date_format("start", "yyyy-MM-dd")), "seconds", "rows_per_second", "tokens_per_second")
+
+
+def deep_metrics(spark, folder):
+    """Numbers of a log whose objects nest 40 deep."""
+    head, tail = '{"n":' * 39, "}" * 39
+    rows = X.table(spark, folder, "events").select("event_id", F.concat(F.lit(head + '{"v":'), F.col("value").cast("string"), F.lit("}" + tail)).alias("line"))
+    return L.scalar_metrics(rows, "line", ["event_id"])
+
+
 def stream_answers(spark, folder):
     """Answers of a prediction stream against a static temperature table."""
     temps = spark.createDataFrame([("noul", 2.0)], "key string, value double")
@@ -199,8 +258,9 @@ def stream_quarantine(spark, folder):
     base = fresh_path(spark, "route")
     k = F.col("event_id") % 3
     body = F.when(k == 0, F.concat("props", F.lit(" x"))).when(k == 1, F.concat(F.lit("["), F.col("props"), F.lit("]"))).otherwise(F.col("props"))
-    J.run_batches(_event_stream(spark, folder).select("event_id", body.alias("value")),
-                  J.route_requests(f"{base}/good", f"{base}/dead"))
+    words = F.size(F.split("value", " "))
+    J.run_batches(_arrivals(spark, folder).select("event_id", body.alias("value")),
+                  J.route_requests(f"{base}/good", f"{base}/dead", tokens=words + F.length("value") % 3, budget=3))
     good = spark.read.parquet(f"{base}/good").select("event_id", F.lit("ok").alias("result"))
     dead = spark.read.parquet(f"{base}/dead").select("event_id", F.concat_ws(":", "error", "admission").alias("result"))
     return good.unionByName(dead)
@@ -225,7 +285,8 @@ QUERIES = {
         jsonl_source, json_array_source, csv_source, benchmark_cases, packed_roundtrip,
         packed_integrity, image_audit, token_publish, table_digest, representation_stats,
         representation_rank, metric_flatten, retained_steps, best_step, stream_calibration,
-        stream_log_metrics, stream_dedup, stream_answers, stream_quarantine, stream_leakage,
+        stream_log_metrics, stream_dedup, stream_answers, stream_quarantine, stream_leakage, stream_reuse,
+        stream_sliding_calibration, stream_throughput, deep_metrics,
     )
 }
 
@@ -271,7 +332,25 @@ SELECT strftime(d, '%Y-%m-%d %H') AS start, name, count(*) AS n, {r6('avg(v)')}
 FROM l WHERE d + INTERVAL 6 HOUR {_CLOSED} GROUP BY d, name""",
     "stream_dedup": "SELECT DISTINCT event_type, user_id FROM events",
     "stream_answers": f"SELECT event_id AS id, {r6('1 / (1 + exp(-(value - 100) / 100.0))')} AS noul FROM events",
-    "stream_quarantine": "SELECT event_id, ['invalid_request:strict_json', 'invalid_request:object', 'ok'][event_id % 3 + 1] AS result FROM events",
+    "stream_quarantine": """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'invalid_request:strict_json' WHEN 1 THEN 'invalid_request:object'
+  ELSE CASE WHEN len(string_split(props, ' ')) + length(props) % 3 > 3 THEN 'capacity:budget' ELSE 'ok' END END AS result FROM events""",
+    "stream_reuse": f"""WITH {_ARRIVALS},
+kept AS (SELECT event_type || ':' || (user_id % 20) AS state, strftime(ts, '%Y-%m-%d') AS day FROM dated WHERE epoch_us(ts) > (late_ms - 7200000) * 1000)
+SELECT state, day, count(*) AS answered, 1 AS encoded, CAST(list_sum(list_transform(string_split(state, ''), lambda c: ascii(c))) AS DOUBLE) AS low,
+  CAST(list_sum(list_transform(string_split(state, ''), lambda c: ascii(c))) AS DOUBLE) AS high FROM kept GROUP BY state, day""",
+    "stream_sliding_calibration": f"""WITH {_ARRIVALS},
+placed AS (SELECT date_trunc('day', ts) - to_days(CAST(k AS INTEGER)) AS d, least(0.99, 0.25 + value / 700.0) AS top,
+  CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.0 END AS hit, late_ms FROM dated, range(2) r(k)),
+b AS (SELECT d, least(9, CAST(floor(top * 10) AS INTEGER)) AS bin, sum(top) AS t, sum(hit) AS h, count(*) AS n FROM placed
+  WHERE epoch_ms(d + INTERVAL 2 DAY) > late_ms - 3600000 AND d + INTERVAL 2 DAY {_CLOSED} GROUP BY 1, 2)
+SELECT strftime(d, '%Y-%m-%d') AS start, {r6('sum(abs(t - h)) / sum(n)')} AS ece, {r6('sum(h) / sum(n)')} AS accuracy, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY d""",
+    "stream_throughput": f"""WITH {_ARRIVALS},
+w AS (SELECT date_trunc('day', ts) AS d, count(*) AS rows, CAST(sum(len(regexp_split_to_array(props, '[ :,]+'))) AS BIGINT) AS tokens,
+  (max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6 AS seconds FROM dated
+  WHERE epoch_ms(date_trunc('day', ts) + INTERVAL 1 DAY) > late_ms - 3600000 AND date_trunc('day', ts) + INTERVAL 1 DAY {_CLOSED} GROUP BY 1)
+SELECT strftime(d, '%Y-%m-%d') AS start, rows, tokens, {r6('seconds')} AS seconds, {r6('rows / nullif(seconds, 0)')} AS rows_per_second,
+  {r6('tokens / nullif(seconds, 0)')} AS tokens_per_second FROM w""",
+    "deep_metrics": f"SELECT event_id, '{'n/' * 39}v' AS name, value FROM events",
     "stream_leakage": """WITH t AS (SELECT c_custkey FROM customer WHERE c_custkey % 4 = 0)
 SELECT CASE WHEN user_id IN (SELECT c_custkey FROM t) THEN 'refused' ELSE 'accepted' END AS result, count(*) AS n FROM events GROUP BY 1
 UNION ALL SELECT 'source', count(DISTINCT user_id) FROM events WHERE user_id NOT IN (SELECT c_custkey FROM t)""",

@@ -8,26 +8,29 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.functions import json as J
 from assayer.functions.buckets import probability_bin
+from assayer.functions.tape import numeric_leaves
 from assayer.operators.answers import answers
 from assayer.operators.validate import admission
 from assayer.session import fresh_path
 
 
-def route_requests(good: str, dead: str, *, model: str | None = None, text: str = "value") -> Callable:
-    """Writer for a stream of request bodies: usable ones to ``good``, others with their error class
-    to ``dead``."""
+def route_requests(
+    good: str, dead: str, *, model: str | None = None, text: str = "value", tokens: Column | None = None, budget: int | None = None
+) -> Callable:
+    """Writer for a stream of request bodies: usable ones to ``good``, others with their error class to ``dead``: "capacity" for a body with more
+    ``tokens`` than ``budget``, "invalid_request" for all else. Both outputs come from one evaluation of the batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        checked = admission(batch, text, model)
-        checked.filter(F.col("admission").isNull()).drop("admission").write.mode("overwrite").parquet(
-            f"{good}/batch={batch_id}"
-        )
         kind = F.when(F.col("admission") == "budget", "capacity").otherwise("invalid_request")
-        checked.filter(F.col("admission").isNotNull()).withColumn("error", kind).write.mode(
-            "overwrite"
-        ).parquet(f"{dead}/batch={batch_id}")
+        checked = admission(batch, text, model, tokens=tokens, budget=budget)
+        checked = checked.withColumn("error", F.when(F.col("admission").isNotNull(), kind)).persist()
+        try:
+            usable = checked.filter(F.col("admission").isNull()).drop("admission", "error")
+            usable.write.mode("overwrite").parquet(f"{good}/batch={batch_id}")
+            checked.filter(F.col("admission").isNotNull()).write.mode("overwrite").parquet(f"{dead}/batch={batch_id}")
+        finally:
+            checked.unpersist()
 
     return write
 
@@ -38,7 +41,7 @@ def stream_answers(predictions: DataFrame, temperatures: DataFrame | None = None
 
 
 def distinct_states(rows: DataFrame, state: Column, time: str, delay: str) -> DataFrame:
-    """The first row of each state within the watermark delay: what an encoder has to read."""
+    """The first row of each state within the watermark delay. ``reuse.reuse_states`` also hands the encoded value to later rows."""
     return (
         rows.withColumn("state_sha", F.sha2(state, 256))
         .withWatermark(time, delay)
@@ -64,15 +67,25 @@ def leakage_gate(spark: SparkSession, sources: str, accepted: str, rejected: str
     return write
 
 
-def log_metrics(rows: DataFrame, text: str, time: str, *, delay: str, window: str, depth: int = 16) -> DataFrame:
-    """Mean, extremes and count of every number of a JSON log per tumbling window."""
-    leaves = rows.withWatermark(time, delay).select(time, F.inline(J.numeric_leaves(F.col(text), depth)))
-    return leaves.groupBy(F.window(time, window).alias("w"), "name").agg(
+def log_metrics(rows: DataFrame, text: str, time: str, *, delay: str, window: str, slide: str | None = None) -> DataFrame:
+    """Mean, extremes and count of every number of a JSON log per window, however deep its objects nest."""
+    leaves = rows.withWatermark(time, delay).select(time, F.inline(numeric_leaves(F.col(text))))
+    return leaves.groupBy(F.window(time, window, slide).alias("w"), "name").agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"),
         F.min("value").alias("low"), F.max("value").alias("high"),
     ).select(F.col("w.start").alias("start"), "name", "n", "mean", "low", "high")
 
 
+def throughput(rows: DataFrame, time: str, amounts: list[str], *, delay: str, window: str) -> DataFrame:
+    """Per window: rows, the sum of each amount, and both per second of the time between the window's first and last row (NULL for one moment)."""
+    seconds = F.unix_micros(F.max(time)) - F.unix_micros(F.min(time))
+    sums = rows.withWatermark(time, delay).groupBy(F.window(time, window).alias("w")).agg(
+        F.count(F.lit(1)).alias("rows"), *[F.sum(a).alias(a) for a in amounts], (seconds / 1e6).alias("seconds")
+    )
+    rate = lambda c: F.try_divide(F.col(c).cast("double"), F.col("seconds")).alias(f"{c}_per_second")
+    return sums.select(F.col("w.start").alias("start"), "rows", *amounts, "seconds", *[rate(c) for c in ("rows", *amounts)])
+
+
 def calibration_bins(
     rows: DataFrame, time: str, *, delay: str, window: str, slide: str | None = None
 ) -> DataFrame:
