@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,63 +38,75 @@ def _digest(line: str) -> bytes:
 _BLANK = re.compile(r"[ \t-\r]*")
 
 
-def chunks(lines: list[str], seeds: int, digests: list[bytes] | None = None) -> list[tuple[int, int]]:
-    """First and last line of every chunk, in order. With f the fingerprint of a line, a chunk of seed s may begin at line i where bit s + 1 of 3 f(i) + f(i+1) is 0,
-    and end at line j where bit s + 1 of 5 f(j-1) + f(j) is 0. A chunk holds two lines or more that are not blank."""
-    n = len(lines)
+def _chunks_of(digests: bytes, row: np.ndarray, blank: np.ndarray, seeds: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last line of every chunk of many texts, whose lines follow each other; ``row`` is the text of a line."""
+    f = (np.frombuffer(digests, dtype=">u8") >> np.uint64(64 - LETTER)).astype(np.int64)
+    n = len(f)
     if n < 2:
-        return []
-    digests = digests or [_digest(line) for line in lines]
-    f = (np.frombuffer(b"".join(digests), dtype=">u8") >> np.uint64(64 - LETTER)).astype(np.int64)
-    full = np.append(0, np.cumsum([not _BLANK.fullmatch(line) for line in lines]))
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    full = np.append(0, np.cumsum(~blank))
+    inside = row[1:] == row[:-1]
     begins, ends = 3 * f[:-1] + f[1:], 5 * f[:-1] + f[1:]
     found = []
     for s in range(1, seeds + 1):
-        first = np.flatnonzero((begins >> s) & 1 == 0)
-        last = np.flatnonzero((ends >> s) & 1 == 0) + 1
+        first = np.flatnonzero(inside & ((begins >> s) & 1 == 0))
+        last = np.flatnonzero(inside & ((ends >> s) & 1 == 0)) + 1
         at = np.searchsorted(last, first + 1)
-        first, at = first[at < len(last)], at[at < len(last)]
-        found.append(np.stack([first, last[at]]))
-    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-    return [(i, j) for i, j in pairs.T.tolist() if full[j + 1] - full[i] > 1]
+        first, last = first[at < len(last)], last[at[at < len(last)]]
+        same = row[first] == row[last]
+        found.append(first[same] * n + last[same])
+    i, j = np.divmod(np.unique(np.concatenate(found)), n)
+    wide = full[j + 1] - full[i] > 1
+    return i[wide], j[wide]
 
 
-def _chunks(rows: DataFrame, seeds: int, wanted: DataFrame | None = None) -> DataFrame:
-    """Chunks as spans whose ``body`` is the fingerprints of their lines."""
+def chunks(lines: list[str], seeds: int) -> list[tuple[int, int]]:
+    """First and last line of every chunk, in order. With f the fingerprint of a line, a chunk of seed s may begin at line i where bit s + 1 of 3 f(i) + f(i+1) is 0,
+    and end at line j where bit s + 1 of 5 f(j-1) + f(j) is 0. A chunk holds two lines or more that are not blank."""
+    blank = np.array([bool(_BLANK.fullmatch(line)) for line in lines])
+    i, j = _chunks_of(b"".join(map(_digest, lines)), np.zeros(len(lines), dtype=np.int64), blank, seeds)
+    return list(zip(i.tolist(), j.tolist()))
+
+
+def _lines(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """All lines, the text of each, and where the lines of each text begin."""
+    split = [text.split("\n") for text in texts]
+    size = np.array([len(x) for x in split], dtype=np.int64)
+    return [line for x in split for line in x], np.repeat(np.arange(len(split)), size), np.cumsum(size) - size
+
 
-    def spans(text: str) -> Iterator[tuple[int, int, bytes]]:
-        lines = text.split("\n")
-        digests = [_digest(line) for line in lines]
-        joined = b"".join(digests)
-        for i, j in chunks(lines, seeds, digests):
-            yield i, j - i + 1, joined[8 * i : 8 * j + 8]
+def _chunk_spans(texts: list[str], seeds: int, whole: bool) -> Iterator[tuple]:
+    lines, row, start = _lines(texts)
+    digests = b"".join(map(_digest, lines))
+    blank = np.array([bool(_BLANK.fullmatch(line)) for line in lines], dtype=bool)
+    i, j = _chunks_of(digests, row, blank, seeds)
+    for x, y, r, at in zip(i.tolist(), j.tolist(), row[i].tolist(), (i - start[row[i]]).tolist()):
+        yield r, at, y - x + 1, "\n".join(lines[x : y + 1]) if whole else digests[8 * x : 8 * y + 8]
 
-    return _spans(rows, spans, wanted, "binary")
+
+def _chunks(rows: DataFrame, seeds: int, wanted: DataFrame | None = None) -> DataFrame:
+    """Chunks as spans whose ``body`` is the fingerprints of their lines."""
+    return _spans(rows, lambda texts: _chunk_spans(texts, seeds, False), wanted, "binary")
 
 
 def _chunk_texts(rows: DataFrame, seeds: int, wanted: DataFrame | None = None) -> DataFrame:
     """Chunks as spans whose ``body`` is their text."""
+    return _spans(rows, lambda texts: _chunk_spans(texts, seeds, True), wanted)
+
+
+def _single(rows: DataFrame, _: int, wanted: DataFrame | None = None) -> DataFrame:
+    """Every line as a span."""
 
-    def spans(text: str) -> Iterator[tuple[int, int, str]]:
-        lines = text.split("\n")
-        for i, j in chunks(lines, seeds):
-            yield i, j - i + 1, "\n".join(lines[i : j + 1])
+    def spans(texts: list[str]) -> Iterator[tuple]:
+        lines, row, start = _lines(texts)
+        return zip(row.tolist(), (np.arange(len(lines)) - start[row]).tolist(), repeat(1), lines)
 
     return _spans(rows, spans, wanted)
 
 
 def _collide(rows: DataFrame) -> bool:
     """Whether two different lines share a fingerprint: the least and the greatest text of every fingerprint that repeats, combined in each task."""
-
-    def spans(text: str) -> Iterator[tuple[int, int, str]]:
-        for i, line in enumerate(text.split("\n")):
-            yield i, 1, line
-
-    def single(part: DataFrame, _: int, wanted: DataFrame | None = None) -> DataFrame:
-        return _spans(part, spans, wanted)
-
-    keys = _repeated_keys(rows, single, 1)
-    ends = single(rows, 1, keys).groupBy("key").agg(F.min("body").alias("low"), F.max("body").alias("high"))
+    ends = _single(rows, 1, _repeated_keys(rows, _single, 1)).groupBy("key").agg(F.min("body").alias("low"), F.max("body").alias("high"))
     return not ends.where("low <> high").isEmpty()
 
 
@@ -112,19 +125,18 @@ def windows(text: str, long: int) -> Iterator[tuple[int, int, str]]:
             yield i, 2, line + "\n" + lines[i + 1]
 
 
-def _spans(rows: DataFrame, spans: Callable[[str], Iterator[tuple]], wanted: DataFrame | None, kind: str = "string") -> DataFrame:
-    """``key`` of every span of lines that ``spans`` gives for a text; with ``doc_id, th, first_line, n_lines, body`` if ``wanted`` keys are given."""
+def _spans(rows: DataFrame, spans: Callable[[list[str]], Iterator[tuple]], wanted: DataFrame | None, kind: str = "string") -> DataFrame:
+    """``key`` of every span (text, first line, number of lines, body) that ``spans`` gives for some texts; with ``doc_id, th, first_line, n_lines, body`` if ``wanted`` keys are given."""
     with_body = wanted is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tx.portions(batches):
             row, first, many, key, body = [], [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                for at, n, lines in spans(text or ""):
-                    raw = lines if kind == "binary" else lines.encode("utf-8", "replace")
-                    key.append(int.from_bytes(hashlib.md5(raw).digest()[:8], "big", signed=True))
-                    if with_body:
-                        row.append(i), first.append(at), many.append(n), body.append(lines)
+            for i, at, n, lines in spans([text or "" for text in batch.column("text").to_pylist()]):
+                raw = lines if kind == "binary" else lines.encode("utf-8", "replace")
+                key.append(int.from_bytes(hashlib.md5(raw).digest()[:8], "big", signed=True))
+                if with_body:
+                    row.append(i), first.append(at), many.append(n), body.append(lines)
             columns, names = [pa.array(key, pa.int64())], ["key"]
             if with_body:
                 take = pa.array(row, pa.int64())
@@ -142,7 +154,7 @@ def _repeated_keys(rows: DataFrame, spans: Callable[..., DataFrame], size: int)
 
 
 def _windows(rows: DataFrame, long: int, wanted: DataFrame | None = None) -> DataFrame:
-    return _spans(rows, lambda text: windows(text, long), wanted)
+    return _spans(rows, lambda texts: ((i, *found) for i, text in enumerate(texts) for found in windows(text, long)), wanted)
 
 
 def _repeated(rows: DataFrame, spans: Callable[..., DataFrame], size: int) -> DataFrame:
