@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from assayer.constants import BOOLEAN, CHOICE, SCORE
 from assayer.functions import json as J
-from assayer.functions.tape import Shape, scanned
+from assayer.functions.tape import Shape, named_objects, scanned
 
 STRINGS = "array<string>"
 LEAVES = Shape({"*": None})
@@ -486,6 +486,11 @@ def supervised_request(df: DataFrame, view_index: int | None = None) -> Column:
     return r.withField("questions", kept)
 
 
+def requests_anywhere(text: Column) -> Column:
+    """ARRAY<STRING>: every object under a "request" key of a record text, however deep, in the order of the text; one inside another belongs to that."""
+    return named_objects(text, "request")
+
+
 def all_requests(df: DataFrame) -> DataFrame:
     """Base and view requests of every record: (id, view_index, request); -1 is the base."""
     base = F.array(F.struct(F.lit(-1).alias("view_index"), F.col("request").alias("request")))

@@ -70,21 +70,6 @@ def word_tokens(text: Column) -> Column:
     return guarded(words_of(text))
 
 
-def neutralized(tokens: Column, text: Column, protected: Column, spellings: Column, base: int = BYTE_BASE) -> Column:
-    """Replace protected ids of an external tokenizer. ``tokens`` is ARRAY<STRUCT<id, start, stop>>;
-    the span must be the literal spelling of the id, otherwise the row fails."""
-
-    def one(t: Column) -> Column:
-        span = F.substring(text, t["start"] + 1, t["stop"] - t["start"])
-        literal = F.try_element_at(spellings, t["id"])
-        safe = F.when(span == literal, byte_ids(span, base)).otherwise(
-            F.raise_error("protected token is not a literal source span").cast(INTS)
-        )
-        return F.when(F.array_contains(protected, t["id"]), safe).otherwise(F.array(t["id"]))
-
-    return F.flatten(F.transform(tokens, one))
-
-
 def marker_forgeries(tokens: Column, marker: int, positions: Column) -> Column:
     """True when the marker id occurs anywhere but at the compiler's own positions."""
     found = F.filter(

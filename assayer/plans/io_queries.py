@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayer.operators import adapters as A
+from assayer.operators import leakage
 from assayer.operators import records as R
 from assayer.operators import representation as G
 from assayer.operators import runs as L
+from assayer.operators import tokens as T
 from assayer.plans import fixtures as X
 from assayer.plans.metric_queries import _rounded
 from assayer.plans.record_queries import DAMAGE, _record_texts
 from assayer.plans.sql import r6
 from assayer.session import fresh_path, stored
+from assayer.sources import canonical as C
 from assayer.sources import packed as K
 from assayer.sources import rows as S
 from assayer.streaming import jobs as J
@@ -59,6 +62,8 @@ def benchmark_cases(spark, folder):
 
 
 PNG = "89504E470D0A1A0A"
+TEXT = "00000004" + "74455874" + "6163544C" + "00000000"  # a text chunk that holds "acTL"
+CONTROL = "00000008" + "6163544C"  # the head of an animation chunk
 
 
 def _image_records(spark, folder):
@@ -104,26 +109,76 @@ def image_audit(spark, folder):
     """Declared type against content, animations and empty payloads."""
     k = F.col("doc_id") % 6
     head = (F.when(k == 0, PNG).when(k == 1, "FFD8FFE0").when(k == 2, "52494646AABBCCDD57454250")
-            .when(k == 3, "FFD8FFE0").when(k == 4, F.lit(PNG + "6163544C")).otherwise(""))
+            .when(k == 3, "FFD8FFE0").when(k == 4, PNG + TEXT + CONTROL).otherwise(""))
+    # the letters acTL inside a text chunk are no animation, a chunk of that name is
+    head = F.when((k == 0) & (F.length("text") % 2 == 0), PNG + TEXT).otherwise(head)
     content = F.unhex(F.when(k == 5, "").otherwise(F.concat(head, F.md5("text"))))
     mime = (F.when(k == 1, "image/jpeg").when(k == 2, "image/webp").otherwise("image/png"))
     return X.table(spark, folder, "documents").select(
         "doc_id", F.coalesce(K.image_problem(mime, content), F.lit("ok")).alias("problem"))
 
 
+def _token_tables(spark, folder):
+    rows = X.table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("id"), "lang", "n_chars", "text")
+    costs = F.size(T.word_tokens(F.coalesce("text", F.lit(""))))
+    tokens = rows.select("id", F.lit("{}").alias("_tokenized"), F.array(costs).alias("_token_costs"),
+                         F.col("lang").alias("_split_group"), F.lit(False).alias("_group_inferred"))
+    return rows.drop("text"), tokens
+
+
 def token_publish(spark, folder):
     """Token columns beside the rows, published as a version after the row count matched."""
     path = fresh_path(spark, "tokens")
-    rows = X.table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("id"), "lang", "n_chars")
-    tokens = rows.select("id", F.lit("{}").alias("_tokenized"), F.array(F.col("n_chars").cast("int")).alias("_token_costs"),
-                         F.col("lang").alias("_split_group"), F.lit(False).alias("_group_inferred"))
+    rows, tokens = _token_tables(spark, folder)
     settings = {"tokenizer": "words", "version": 1}
     K.publish_tokens(spark, rows, tokens, path, settings)
     K.publish_tokens(spark, K.read_tokens(spark, path, settings), tokens, path, settings)
-    out = K.read_tokens(spark, path, settings)
+    out = K.read_tokens(spark, path, settings, check=True)
     return out.groupBy("_split_group").agg(F.count(F.lit(1)).alias("n"), F.sum(F.get("_token_costs", F.lit(0))).alias("tokens"))
 
 
+def token_snapshots(spark, folder):
+    """Two writers after one version: the first commits, the second conflicts and takes the next one. Rows, tokens and costs of every version, and what the missing check finds."""
+    path = fresh_path(spark, "snapshots")
+    rows, tokens = _token_tables(spark, folder)
+    settings = {"tokenizer": "words", "version": 1}
+    K.publish_tokens(spark, rows, tokens, path, settings, after=None)
+    later = rows.where(F.col("id").cast("long") % 2 == 0)
+    try:
+        K.publish_tokens(spark, later, tokens, path, settings, after=None)
+        won = 1
+    except K.versions.Conflict:
+        won = 0
+        K.publish_tokens(spark, later, tokens, path, settings)
+    missing = T.tokens_missing(K.read_tokens(spark, path, settings, check=True)).select(F.col("missing").alias("untokenized"))
+    state = "struct<rows:long,tokens:long,least:long,costs:long>"
+    facts = K.versions.snapshots(spark, path).select("version", "parent", F.from_json("state", state).alias("s"))
+    return facts.select("version", "parent", "s.rows", "s.tokens", "s.costs", F.lit(won).alias("second_writer")).crossJoin(missing)  # one row
+
+
+def canonical_table(spark, folder):
+    """Records written with their fingerprint and read back without their texts: rows, texts that occur once, audited groups."""
+    path = fresh_path(spark, "canonical")
+    C.write_canonical(R.parse_records(_record_texts(spark, folder).select("value"), views=False).where("id is not null and strict"), path)
+    slim = C.planned(spark, path)
+    facts = C.footer_facts(spark, path, ["id", "split_group"])
+    gate = leakage.group_gate(slim, allow_inferred=True).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return slim.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("fingerprint").alias("texts"), F.count_distinct("split_group").alias("groups"),
+        F.lit(facts["rows"]).alias("footer_rows"), F.lit(facts["split_group_values"]).alias("footer_groups"),
+    ).crossJoin(gate.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("refused")))  # one row
+
+
+def named_requests(spark, folder):
+    """Requests at any depth of a record, found by their key: the base one and those of views in views."""
+    part = lambda k, inner: F.concat(F.lit('{"request":{"state":'), F.col("props"), F.lit(f',"k":{k}}},"views":['), inner, F.lit("]}"))
+    nested = F.lit("")
+    for k in range(5, 0, -1):
+        nested = part(k, nested)
+    rows = X.table(spark, folder, "events").select("event_id", F.explode(R.requests_anywhere(part(0, nested))).alias("request"))
+    return rows.select("event_id", F.get_json_object("request", "$.k").cast("int").alias("k"), F.md5("request").alias("request_md5"))
+
+
 def table_digest(spark, folder):
     return K.table_digest(X.table(spark, folder, "orders"), ["o_orderkey", "o_orderpriority"])
 
@@ -134,6 +189,12 @@ def representation_stats(spark, folder):
     return _rounded(out.select("count", "mean_norm", "direction_variance"), "mean_norm", "direction_variance")
 
 
+def representation_rank_whole(spark, folder):
+    """Effective rank of all vectors in all their dimensions."""
+    rows = X.table(spark, folder, "embeddings").select(F.col("embedding").cast("array<double>").alias("vector"))
+    return G.representation_stats(rows).select("count", F.round("effective_rank", 6).alias("effective_rank"))
+
+
 def representation_rank(spark, folder):
     """Effective rank of all vectors, folded to two dimensions by the sums of their even and odd entries."""
     whole = F.col("embedding").cast("array<double>")
@@ -286,13 +347,17 @@ QUERIES = {
         packed_integrity, image_audit, token_publish, table_digest, representation_stats,
         representation_rank, metric_flatten, retained_steps, best_step, stream_calibration,
         stream_log_metrics, stream_dedup, stream_answers, stream_quarantine, stream_leakage, stream_reuse,
-        stream_sliding_calibration, stream_throughput, deep_metrics,
+        stream_sliding_calibration, stream_throughput, deep_metrics, token_snapshots, canonical_table, named_requests, representation_rank_whole,
     )
 }
 
 _CLOSED = "<= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
 _BAD = ",".join(str(i) for i, (_n, r) in enumerate(DAMAGE) if r == "strict_json")
 
+# Words as the built-in tokenizer cuts them; a marker's spelling becomes its nine bytes.
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '<unused[01]>|[A-Za-z0-9À-ɏ]+|[^ \t\r\nA-Za-z0-9À-ɏ]')"
+_COST = f"(len({_WORDS}) + 8 * len(list_filter({_WORDS}, lambda w: w IN ('<unused0>', '<unused1>'))))"
+
 ORACLE = {
     "jsonl_source": f"SELECT CASE WHEN event_id % 16 IN ({_BAD}) THEN 'strict_json' ELSE 'ok' END AS problem, count(*) AS n FROM events GROUP BY 1",
     "json_array_source": """SELECT CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS position, n_name AS name,
@@ -304,7 +369,12 @@ ORACLE = {
     "packed_integrity": """SELECT CAST(doc_id AS VARCHAR) AS doc, CASE WHEN doc_id % 5 = 1 THEN 'identity' WHEN doc_id % 5 = 2 AND doc_id % 3 > 0 THEN 'image_index'
   WHEN doc_id % 5 = 3 AND doc_id % 3 > 0 THEN 'image_bytes' WHEN doc_id % 5 = 4 THEN 'references' ELSE 'ok' END AS problem FROM documents""",
     "image_audit": "SELECT doc_id, ['ok', 'ok', 'ok', 'media_type', 'animation', 'empty_image_bytes'][doc_id % 6 + 1] AS problem FROM documents",
-    "token_publish": "SELECT lang AS _split_group, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS tokens FROM documents GROUP BY 1",
+    "token_publish": f"SELECT lang AS _split_group, count(*) AS n, CAST(sum({_COST}) AS BIGINT) AS tokens FROM documents GROUP BY 1",
+    "token_snapshots": f"""SELECT v AS version, CASE WHEN v = 1 THEN 0 END AS parent, count(*) AS rows, CAST(sum({_COST}) AS BIGINT) AS tokens, count(*) AS costs,
+  0 AS second_writer, 0 AS untokenized FROM documents, (VALUES (0), (1)) t(v) WHERE v = 0 OR doc_id % 2 = 0 GROUP BY v""",
+    "canonical_table": f"""SELECT count(*) AS rows, count(*) AS texts, count(DISTINCT user_id) AS groups, count(*) AS footer_rows, count(*) AS footer_groups, 0 AS refused
+FROM events WHERE event_id % 16 NOT IN ({_BAD})""",
+    "named_requests": """SELECT event_id, k, md5('{"state":' || replace(props, ': ', ':') || ',"k":' || k || '}') AS request_md5 FROM events, range(6) t(k)""",
     "representation_rank": """WITH e AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, unnest(range(1, len(embedding) + 1)) AS t(i)),
 s AS (SELECT sum(v) FILTER (WHERE i % 2 = 1) AS x, sum(v) FILTER (WHERE i % 2 = 0) AS y FROM e GROUP BY vec_id),
 u AS (SELECT x / greatest(sqrt(x * x + y * y), 1e-12) AS x, y / greatest(sqrt(x * x + y * y), 1e-12) AS y FROM s),

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from assayer.operators import leakage as K
 from assayer.operators import lineage as N
 from assayer.operators import planning as P
+from assayer.operators import protect as S
 from assayer.operators import records as R
 from assayer.operators import tokens as T
 from assayer.plans import fixtures as X
@@ -221,6 +225,33 @@ def neutralized_markers(spark, folder):
         F.size(F.filter("tokens", lambda t: t.isin(T.CANDIDATE_END, T.DECISION_END))).alias("markers"))
 
 
+GUARDED = {"<unused0>": 50_000, "<unused1>": 50_001, "<unused0><unused1>": 50_002}
+
+
+def _outside_tokens(text):
+    """Tokens of a stand-in for an outside tokenizer, with their places: marker spellings have the markers' ids, longest first."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        piece = re.compile("|".join(re.escape(x) for x in sorted(GUARDED, key=len, reverse=True)) + r"|\w+|[^\w\s]")
+        rows = [[{"id": GUARDED.get(m[0], 300 + len(m[0]) % 100), "start": m.start(), "stop": m.end()} for m in piece.finditer(t or "")] for t in texts.to_pylist()]
+        return pa.array(rows, pa.list_(pa.struct([("id", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])))
+
+    return F.arrow_udf(run, "array<struct<id:int,start:int,stop:int>>")(text)
+
+
+def protected_spans(spark, folder):
+    """Documents with forged markers, some side by side: places of the spellings, and the ids after they became bytes."""
+    k = F.col("doc_id") % 4
+    text = F.when(k == 0, F.concat(F.lit("<unused0> "), "text")).when(k == 1, F.concat("text", F.lit("é<unused0><unused1><unused1>"))).otherwise(F.col("text"))
+    rows = X.table(spark, folder, "documents").select("doc_id", text.alias("text"))
+    rows = rows.withColumns({"tokens": _outside_tokens(F.col("text")), "spans": S.protected_spans(F.col("text"), GUARDED)})
+    safe = rows.withColumn("ids", S.neutralized(F.col("tokens"), F.col("text"), GUARDED))
+    return safe.select(
+        "doc_id", F.size("spans").alias("spans"), F.coalesce(F.get("spans", F.lit(0))["start"], F.lit(-1)).alias("first"),
+        (F.size("ids") - F.size("tokens")).alias("added"), F.size(F.filter("ids", lambda i: i >= 50_000)).alias("left"),
+        F.size(F.filter("ids", lambda i: i < 256)).alias("bytes"))
+
+
 def encoder_preface(spark, folder):
     """Distinct instructions of a conversation's questions; dropped where the budget is short."""
     turns = X.table(spark, folder, "conversations").groupBy("conv_id").agg(
@@ -338,7 +369,7 @@ QUERIES = {
         split_leakage, duplicate_ids, group_gate, membership, provenance_overlap,
         calibration_overlap, course_conflicts, course_merge, ancestor_closure, inherited_sources, lineage_sums, lineage_sources,
         view_set_join, view_set_problems, pair_differences, set_operations, question_layout,
-        stored_layout_rules, option_reordering, neutralized_markers, encoder_preface,
+        stored_layout_rules, option_reordering, neutralized_markers, protected_spans, encoder_preface,
         budget_reject, token_cost_rows, tokenization_report, epoch_shuffle, update_plan,
         update_plan_capped, physical_packs, pack_offsets, length_buckets, rank_assignment,
         question_batches, view_sample, update_statistics,
@@ -451,6 +482,8 @@ SELECT id, CAST(head + n * 21 + 1 AS INTEGER) AS tokens, CAST(head + n * 21 AS I
     "stored_layout_rules": "SELECT p_partkey AS id, ['ok', 'count', 'decision', 'candidates'][p_partkey % 4 + 1] AS rule FROM part",
     "option_reordering": "SELECT p_partkey AS id, 1 AS same_tokens, 1 AS same_positions FROM part",
     "neutralized_markers": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 19 ELSE 0 END AS added, 0 AS markers FROM documents",
+    "protected_spans": """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 4 ELSE 0 END AS spans, CASE doc_id % 4 WHEN 0 THEN 0 WHEN 1 THEN length(text) + 1 ELSE -1 END AS first,
+  CASE doc_id % 4 WHEN 0 THEN 8 WHEN 1 THEN 25 ELSE 0 END AS added, 0 AS left, CASE doc_id % 4 WHEN 0 THEN 9 WHEN 1 THEN 27 ELSE 0 END AS bytes FROM documents""",
     "encoder_preface": f"""WITH t AS (SELECT conv_id, role, min(turn) AS f FROM conversations GROUP BY 1, 2),
 c AS (SELECT conv_id, CAST(to_json(list('About ' || role ORDER BY f)) AS VARCHAR) AS j FROM t GROUP BY 1),
 n AS (SELECT conv_id, sum(length(text)) + 4 AS body FROM conversations GROUP BY 1),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,8 @@ from assayer.constants import TOKEN_COLUMNS
 from assayer.functions import json as J
 from assayer.operators import records as R
 from assayer.operators.validate import evaluated_once
+from assayer.session import package_path
+from assayer.sources import versions
 
 FORMAT = "packed-images-1"
 ROW_GROUP_BYTES = 16 * 1024 * 1024
@@ -31,18 +34,38 @@ def decode_image(url: Column) -> Column:
     )
 
 
+def _animated(mime: str, content: bytes) -> bool:
+    """Whether the chunks of a PNG before its first data chunk, or those of a WebP, announce an animation."""
+    at, end = (8, len(content)) if mime == "image/png" else (12, len(content))
+    while at + 8 <= end:
+        if mime == "image/png":
+            size, name = int.from_bytes(content[at : at + 4], "big"), content[at + 4 : at + 8]
+            if name in (b"acTL", b"IDAT", b"IEND"):
+                return name == b"acTL"
+            at += 12 + size
+        else:
+            name, size = content[at : at + 4], int.from_bytes(content[at + 4 : at + 8], "little")
+            if name == b"ANIM":
+                return True
+            at += 8 + size + size % 2
+    return False
+
+
 def image_problem(mime: Column, content: Column) -> Column:
-    """Why an image is refused: empty, not of the declared type, or animated; else NULL."""
+    """Why an image is refused: empty, not of the declared type, or animated (by its chunk headers); else NULL."""
+
+    def run(mimes: pa.Array, contents: pa.Array) -> pa.Array:
+        pairs = zip(mimes.to_pylist(), contents)
+        return pa.array([c.is_valid and m in ("image/png", "image/webp") and _animated(m, c.as_buffer().to_pybytes()) for m, c in pairs], pa.bool_())
+
+    package_path(SparkSession.getActiveSession())
     head = F.hex(F.substring(content, 1, 12))
     fits = F.lit(False)
     for name, pattern in MAGIC.items():
         fits = fits | ((mime == name) & head.rlike(pattern))
-    animated = ((mime == "image/png") & F.contains(content, F.lit(b"acTL"))) | (
-        (mime == "image/webp") & F.contains(content, F.lit(b"ANIM"))
-    )
     return (
         F.when(content.isNull() | (F.octet_length(content) == 0), "empty_image_bytes")
-        .when(~fits, "media_type").when(animated, "animation")
+        .when(~fits, "media_type").when(F.arrow_udf(run, "boolean")(mime, content), "animation")
     )
 
 
@@ -60,10 +83,38 @@ def _reference_texts(urls: Column, start: Column) -> Column:
     )
 
 
+def _replaced(text: Column, name: str, value) -> Column:
+    """A JSON object whose member ``name`` is replaced by ``value(its JSON text)``; the others keep their wording and order."""
+
+    def rebuilt(m: Column) -> Column:
+        own = lambda e: F.when(e["kind"].isin("integer", "float"), e["text"]).otherwise(e["json"])
+        values = F.transform(m, lambda e: F.when(e["key"] == name, value(e["json"])).otherwise(own(e)))
+        return J.object_from(F.transform(m, lambda e: e["key"]), values)
+
+    return J.let(J.entries(text), rebuilt)
+
+
+def _with_references(text: Column, base: Column, start) -> Column:
+    """The record's own text with references in place of its images."""
+    urls = lambda listed: F.from_json(listed, URLS)
+    listed = lambda t, at: J.array_of(_reference_texts(urls(t), at))
+    own = _replaced(text, "request", lambda r: _replaced(r, "images", lambda t: listed(t, F.lit(0))))
+
+    def views(found: Column) -> Column:
+        each = F.transform(
+            J.items(found),
+            lambda v, i: _replaced(v["json"], "request", lambda r: _replaced(r, "images", lambda t: listed(t, start(i)))),
+        )
+        return J.array_of(each)
+
+    return _replaced(own, "views", views)
+
+
 def pack(records: DataFrame) -> DataFrame:
     """Packed rows of typed records: id, dataset, schema_version, record_json, images, problem.
 
-    Images of the base request come first, then those of each view; the text holds references.
+    Images of the base request come first, then those of each view; the text holds references. Records that carry their own text (``record_json``, as parsed ones
+    do) keep it but for the images, so nothing that was written is lost; others are rendered.
     """
     none = F.array().cast(URLS)
     base = F.coalesce(F.col("request.images"), none)
@@ -81,10 +132,13 @@ def pack(records: DataFrame) -> DataFrame:
 
     rows = records.withColumn("__per_view", per_view)
     rows = rows.withColumn("__decoded", F.transform(F.concat(base, F.flatten("__per_view")), decode_image))
-    text = R.record_json(
-        rows, _reference_texts(base, F.lit(0)),
-        lambda v, i: _reference_texts(v["request"]["images"], start(i)),
-    )
+    if "record_json" in records.columns:
+        text = _with_references(F.col("record_json"), base, start)
+    else:
+        text = R.record_json(
+            rows, _reference_texts(base, F.lit(0)),
+            lambda v, i: _reference_texts(v["request"]["images"], start(i)),
+        )
     empty = F.exists("__decoded", lambda d: d["bytes"].isNull() | (F.octet_length(d["bytes"]) == 0))
     return rows.select(
         "id", "dataset", "schema_version", text.alias("record_json"),
@@ -126,6 +180,7 @@ def write_packed(packed: DataFrame, path: str, *, max_rows: int | None = None) -
     """
     writer = (
         packed.select("id", "dataset", "schema_version", "record_json", "images")
+        .withMetadata("record_json", {"format": FORMAT})
         .hint("rebalance", F.col("dataset")).write.mode("overwrite").option("compression", "zstd")
         .option("parquet.block.size", ROW_GROUP_BYTES)
         .option("parquet.enable.dictionary", "false")
@@ -137,6 +192,10 @@ def write_packed(packed: DataFrame, path: str, *, max_rows: int | None = None) -
 
 
 def read_packed(spark: SparkSession, path: str) -> DataFrame:
+    """Packed rows. A table whose footers do not name the format is an error."""
+    stored = {f.name: f.metadata.get("format") for f in spark.read.parquet(path).schema.fields}
+    if stored.get("record_json") != FORMAT:
+        raise ValueError(f"{path} holds no packed records")
     columns = f"id string, schema_version string, record_json string, images {IMAGE}, dataset string"
     return spark.read.schema(columns).parquet(path)
 
@@ -223,49 +282,60 @@ def unpack(df: DataFrame) -> DataFrame:
     return df.withColumn("value", J.object_from(F.transform(members, lambda e: e["key"]), values))
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(
-        "format string, version long, path string, settings string, rows long"
-    ).json(f"{path}/_manifest")
-
-
-def publish_tokens(spark: SparkSession, rows: DataFrame, tokens: DataFrame, path: str, settings: dict) -> int:
-    """Write rows with their token columns as a new version and publish it in the manifest.
+def publish_tokens(
+    spark: SparkSession, rows: DataFrame, tokens: DataFrame, path: str, settings: dict, *, after: int | None = -1, tries: int = 5
+) -> int:
+    """Write rows with their token columns as a new version, see ``versions``.
 
-    Old token columns are replaced. The version becomes visible only after every id is written as often as
-    the input has it; readers take the highest published version, so a failed write leaves the
-    previous one in place.
+    Old token columns are replaced. The version becomes visible only after every id is written as often as the input has it; a failed write leaves the
+    previous one in place. The version's state says per split group how many rows and tokens it has, and binds the costs by their digest. With ``after`` (a version, or None for an empty log)
+    the write fails with Conflict if another writer came first; without it the next free version is taken.
     """
     base = rows.drop(*[c for c in TOKEN_COLUMNS if c in rows.columns])
-    try:
-        latest = read_manifest(spark, path).agg(F.max("version").alias("v")).first()["v"]
-    except Exception as exc:  # no manifest yet
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-        latest = None
-    version = 0 if latest is None else latest + 1
-    target = f"{path}/version={version}"
+    target = versions.new_folder(path)
     base.join(tokens, "id").write.mode("errorifexists").option("compression", "zstd").parquet(target)
-    before = base.groupBy("id").agg(F.count(F.lit(1)).alias("wanted"))
-    after = spark.read.parquet(target).groupBy("id").agg(F.count(F.lit(1)).alias("written"))
-    both = before.join(after, "id", "full")
-    sums = both.agg(F.count_if(~F.col("wanted").eqNullSafe(F.col("written"))).alias("bad"), F.coalesce(F.sum("written"), F.lit(0)).alias("n")).first()
-    if sums["bad"]:
-        raise ValueError(f"tokenization lost or repeated {sums['bad']} ids")
-    written = sums["n"]
-    entry = [(FORMAT, version, target, json.dumps(settings, sort_keys=True), written)]
-    spark.createDataFrame(entry, "format string, version long, path string, settings string, rows long").coalesce(
-        1
-    ).write.mode("append").json(f"{path}/_manifest")
-    return version
-
-
-def read_tokens(spark: SparkSession, path: str, settings: dict) -> DataFrame:
-    """The latest published version; stored settings must equal the current ones."""
-    entry = read_manifest(spark, path).orderBy(F.col("version").desc()).first()
+    written = spark.read.parquet(target)
+    wanted = base.groupBy("id").agg(F.count(F.lit(1)).alias("wanted"))
+    both = wanted.join(written.groupBy("id").agg(F.count(F.lit(1)).alias("written")), "id", "full")
+    bad = both.agg(F.count_if(~F.col("wanted").eqNullSafe(F.col("written"))).alias("bad")).first()["bad"]
+    if bad:
+        raise ValueError(f"tokenization lost or repeated {bad} ids")
+    state = snapshot_state(written)
+    if after != -1:
+        return versions.commit(spark, path, target, settings, state, after=after)
+    for _ in range(tries):
+        now = versions.latest(spark, path)
+        try:
+            return versions.commit(spark, path, target, settings, state, after=now["version"] if now else None)
+        except versions.Conflict:
+            continue
+    raise versions.Conflict(f"{tries} other writers came first")
+
+
+def snapshot_state(written: DataFrame) -> dict:
+    """Rows, tokens of the base requests and an order-free digest of ids and costs."""
+    if "_token_costs" not in written.columns:
+        written = written.withColumn("_token_costs", F.lit(None).cast("array<int>"))
+    cost = F.get("_token_costs", F.lit(0)).cast("long")
+    row = F.sha2(F.to_json(F.struct("id", "_token_costs")), 256)
+    facts = written.agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(cost), F.lit(0)).alias("tokens"), F.coalesce(F.min(cost), F.lit(0)).alias("least"),
+        F.count("_token_costs").alias("costs"), _order_free(row).alias("digest"),
+    ).first()
+    return facts.asDict()
+
+
+def read_tokens(spark: SparkSession, path: str, settings: dict, *, check: bool = False) -> DataFrame:
+    """The latest version; stored settings must equal the current ones. With ``check`` the rows must still be those that its state describes."""
+    entry = versions.latest(spark, path)
+    if entry is None:
+        raise ValueError(f"{path} holds no version")
     if json.loads(entry["settings"]) != settings:
         raise ValueError("stored token ids use different settings; tokenize again")
-    return spark.read.parquet(entry["path"])
+    rows = spark.read.parquet(entry["data"])
+    if check and snapshot_state(rows) != json.loads(entry["state"]):
+        raise ValueError("stored tokens are not those that were published")
+    return rows
 
 
 def _order_free(row_hash: Column) -> Column:
