@@ -128,8 +128,13 @@ class Router:
     def place(self, x: np.ndarray) -> np.ndarray:
         return self.scores(x).argmax(axis=1)
 
-    def routes(self, x: np.ndarray) -> np.ndarray:
-        return np.argsort(-self.scores(x), axis=1, kind="stable")[:, : self.probes]
+    def routes(self, x: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Vector and part of every visit: the ``probes`` most probable parts, and further ones until the parts hold ``least`` candidates by ``sizes``."""
+        order = np.argsort(-self.scores(x), axis=1, kind="stable")
+        before = np.cumsum(sizes[order], axis=1) - sizes[order]
+        wanted = (np.arange(order.shape[1]) < self.probes) | (before < least)
+        row, place = np.nonzero(wanted)
+        return row, order[row, place]
 
 
 def train(vectors: np.ndarray, targets: np.ndarray, hidden: int = HIDDEN, seed: int = 2) -> Router:
@@ -155,18 +160,21 @@ def train(vectors: np.ndarray, targets: np.ndarray, hidden: int = HIDDEN, seed:
 
 
 def fit(vectors: np.ndarray, parts: int = PARTS) -> Router:
-    """Graph, parts, classifier and number of probes for a sample of vectors."""
+    """Graph, parts, classifier and number of probes for a sample of vectors. Every fourth vector is kept from the training, and the probes are fitted on those."""
     parts = max(1, min(parts, len(vectors) // (2 * DEGREE)))
-    near = graph(vectors)
+    held = np.arange(len(vectors)) % 4 == 3 if len(vectors) >= 16 * DEGREE else np.ones(len(vectors), dtype=bool)
+    seen = vectors if held.all() else vectors[~held]
+    near = graph(seen)
     part = cut(near, parts)
-    targets = np.zeros((len(vectors), parts))
-    np.add.at(targets, (np.repeat(np.arange(len(vectors)), DEGREE), part[near.ravel()]), 0.5 / DEGREE)
-    targets[np.arange(len(vectors)), part] += 0.5
-    net = train(vectors, targets)
+    targets = np.zeros((len(seen), parts))
+    np.add.at(targets, (np.repeat(np.arange(len(seen)), DEGREE), part[near.ravel()]), 0.5 / DEGREE)
+    targets[np.arange(len(seen)), part] += 0.5
+    net = train(seen, targets)
     # probes: the rank, among a query's parts, of the part that each of its neighbours is placed in
+    near = near if held.all() else graph(vectors)[held]
     own = net.place(vectors)
-    rank = np.argsort(np.argsort(-net.scores(vectors), axis=1, kind="stable"), axis=1)
-    reach = np.sort(rank[np.repeat(np.arange(len(vectors)), DEGREE), own[near.ravel()]])
+    rank = np.argsort(np.argsort(-net.scores(vectors[held]), axis=1, kind="stable"), axis=1)
+    reach = np.sort(rank[np.repeat(np.arange(int(held.sum())), DEGREE), own[near.ravel()]])
     net.probes = int(reach[min(len(reach) - 1, int(np.ceil(RECALL * len(reach))))]) + 1 if len(reach) else 1
     return net
 
@@ -191,7 +199,8 @@ def search(rows: DataFrame, queries: DataFrame, *, k: int = 10, parts: int = PAR
 
     Both tables have ``vec_id`` and ``embedding``. Candidates with the query's own id are left out; rows that repeat an id count once, with
     their smallest distance. Null or zero vectors, and those with null or non-finite components or not of the most frequent length, take no part;
-    nor do null ids. A query that finds nothing has no row, so an empty table gives none. Every usable row is indexed.
+    nor do null ids. A query has fewer rows only where there are fewer candidates; one that finds nothing has no row, so an empty table gives none. Every usable
+    row is indexed.
     """
     spark = rows.sparkSession
     base = usable(rows)
@@ -213,13 +222,17 @@ def search(rows: DataFrame, queries: DataFrame, *, k: int = 10, parts: int = PAR
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = shared.value.routes(_matrix(batch.column("v"))) if len(batch) else np.zeros((0, 1), int)
-            take = pa.array(np.repeat(np.arange(len(batch)), part.shape[1]))
-            columns = [batch.column("vec_id").take(take), batch.column("v").take(take), pa.array(part.ravel().astype(np.int32))]
+            row, part = shared.value.routes(_matrix(batch.column("v")), held, least) if len(batch) else (np.zeros(0, int), np.zeros(0, int))
+            take = pa.array(row)
+            columns = [batch.column("vec_id").take(take), batch.column("v").take(take), pa.array(part.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, ["vec_id", "v", "part"])
 
     kind = "vec_id long, v array<double>, part int"
     index = stored(base.mapInArrow(placed, kind), "placed")
+    # ids per part; one that lies in several parts must not be counted on twice, and a query's own id is no candidate
+    distinct = {r.part: r.n for r in index.groupBy("part").agg(F.count_distinct("vec_id").alias("n")).collect()}  # one row per part
+    held = np.array([distinct.get(p, 0) for p in range(net.second.shape[1])], dtype=np.int64)
+    least = k + 1 + int(held.sum()) - index.select("vec_id").distinct().count()
     asked = stored(usable(queries).where(F.size("v") == got.shape[1]).mapInArrow(routed, kind), "routed")
     # Blocks of bounded size: a part's vectors and its queries are each dealt out by hash, every pair of blocks meets once.
     sizes = index.groupBy("part").agg(F.count("*").alias("n")).withColumn("vs", F.ceil(F.col("n") / VECTOR_ROWS).cast("int"))

@@ -198,6 +198,18 @@ def test_graph_parts_are_balanced():
 # ---- pipeline
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_neighbours_of_small_clusters(spark, seed):
+    """Where the routed parts hold too few vectors the query goes on, so it has k rows whenever there are k candidates."""
+    rng = np.random.default_rng(seed)
+    sizes = [3, 4, 150, 6, 60, 5]
+    rows = [(i, (30 * np.eye(8)[c] + rng.normal(0, 0.1, 8)).tolist()) for i, c in enumerate(np.repeat(np.arange(6), sizes))]
+    rows += [(i, (rng.normal(0, 5, 8)).tolist()) for i in (0, 1, 2)]  # ids that lie in several parts
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = Counter(r.query_id for r in neighbours.search(table, table.where("vec_id % 4 = 0"), parts=8).collect())
+    assert got == {i: 10 for i in range(sum(sizes)) if i % 4 == 0}
+
+
 def test_pipeline(spark):
     columns = list(corpus_pipeline.COLUMNS)
     docs = queries.table(spark, FOLDER, "documents")
