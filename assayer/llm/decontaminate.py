@@ -36,16 +36,26 @@ class Item:
     asked: np.ndarray  # distinct terms inside the question
     n_words: int
     often: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    size: int = SHINGLE  # words of the question's shingles
+
+    @property
+    def span(self) -> int:
+        """Words of a passage that is held against the item: three times its length, rounded up to a power of two. It depends on the item alone."""
+        return 3 << (self.n_words - 1).bit_length()
 
 
 def item_of(item_id: int, text: str | None) -> Item | None:
     """The answer is the last line or sentence, but a quarter of the words at most; the question is what comes before. An item of
-    fewer than 2 x SHINGLE words is too short to tell a leak from chance and gives None."""
+    fewer than 2 x SHINGLE words has no answer of its own: all its words must follow each other in the passage. One of fewer than TERM words is too short
+    to tell a leak from chance and gives None."""
     data, off = tx.texts(pa.array([text or ""]))
     hashes, rows, begin, end = tx.words(data, off, places=True, gaps=tx.MARKS)
     n = len(hashes)
-    if n < 2 * SHINGLE:
+    if n < TERM:
         return None
+    if n < 2 * SHINGLE:
+        terms, often = np.unique(tx.shingles(hashes, rows, TERM)[0], return_counts=True)
+        return Item(item_id, tx.shingles(hashes, rows, n)[0], hashes[:0], terms, terms, n, often, n)
     stops = [i + 1 for i in range(n - 1) if np.isin(data[end[i] : begin[i + 1]], STOPS).any()]
     cut = max(stops[-1] if stops else 0, n - n // 4)
     terms, often = np.unique(tx.shingles(hashes, rows, TERM)[0], return_counts=True)
@@ -61,14 +71,14 @@ class Index:
 
     def __init__(self, items: list[Item], frequency: dict[int, int], total: int, mean: float):
         self.items = items
-        self.longest = max((x.n_words for x in items), default=0)
+        self.span = items[0].span if items else 0  # the same for all
         parts_t, parts_i, parts_w = [], [], []
         for place, item in enumerate(items):
             df = np.array([frequency[t] for t in item.terms.tolist()], dtype=float)
             idf = np.log1p((total - df + 0.5) / (df + 0.5))
             weight = idf * item.often * (K1 + 1) / (item.often + K1 * (1 - B + B * item.n_words / mean))
             asked = np.sort(weight[np.isin(item.terms, item.asked)])
-            missing = int((1 - SHARE) * len(item.question)) + TERM - 1
+            missing = int((1 - SHARE) * len(item.question)) + TERM - 1 if item.size == SHINGLE else 0
             least = asked[: max(1, len(asked) - missing)].sum()
             parts_t.append(item.terms), parts_i.append(np.full(len(df), place)), parts_w.append(weight / (0.999 * least))
         join = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
@@ -134,12 +144,12 @@ class Index:
 
 def verify(item: Item, words: np.ndarray) -> tuple[float, float]:
     """Shares of the question's shingles and of the answer's words that a passage holds."""
-    shingles = tx.shingles(words, np.zeros(len(words), dtype=np.int32), SHINGLE)[0]
-    return float(np.isin(item.question, shingles).mean()), float(np.isin(item.answer, words).mean())
+    shingles = tx.shingles(words, np.zeros(len(words), dtype=np.int32), item.size)[0]
+    return float(np.isin(item.question, shingles).mean()), float(np.isin(item.answer, words).mean()) if len(item.answer) else 1.0
 
 
-def _indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """One index per ITEMS items, all with the statistics of the whole benchmark. Repeated rows are one item."""
+def _indexes(benchmark: DataFrame) -> Iterator[list[Index]]:
+    """For every ITEMS items one index per length of passage, all with the statistics of the whole benchmark. Repeated rows are one item."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     shards = max(1, -(-items.count() // ITEMS))
     own = F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))
@@ -160,17 +170,25 @@ def _indexes(benchmark: DataFrame) -> Iterator[Index]:
                 frequency[t] = frequency.get(t, 0) + 1
     for shard in range(shards):
         part = first if shards == 1 else read(shard)
-        yield Index(part, frequency, total, words / max(1, total))
+        by_span: dict[int, list[Item]] = {}
+        for item in part:
+            by_span.setdefault(item.span, []).append(item)
+        if by_span:
+            yield [Index(same, frequency, total, words / max(1, total)) for _, same in sorted(by_span.items())]
 
 
-def matches(index: Index, column: pa.Array) -> Iterator[tuple[int, int, float, int, float, float]]:
-    """Row, item place, score, first word of the passage and both overlaps, for each verified pair once (its best passage)."""
-    if not index.items:
-        return
-    span = 3 * index.longest  # a passage; they begin half a passage apart
-    step = span // 2
+def matches(indexes: list[Index], column: pa.Array) -> Iterator[tuple[int, int | None, float, int, float, float]]:
+    """Row, item, score, first word of the passage and both overlaps, for each verified pair once (its best passage)."""
     hashes, rows = tx.words(*tx.texts(column), gaps=tx.MARKS)
     terms, first = tx.shingles(hashes, rows, TERM)
+    for index in indexes:
+        for row, place, *found in _matches(index, hashes, rows, terms, first):
+            yield row, index.items[place].item_id, *found
+
+
+def _matches(index: Index, hashes: np.ndarray, rows: np.ndarray, terms: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, float, int, float, float]]:
+    span = index.span  # a passage; they begin half a passage apart
+    step = span // 2
     got = index.find.find(terms)
     hit = np.flatnonzero(got >= 0)
     if not len(hit):
@@ -208,26 +226,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, th, item_id, score, first_word, question_overlap, answer_overlap`` of every verified leak.
 
     Reads ``doc_id`` and ``text`` of ``docs`` and ``item_id`` and ``text`` of ``benchmark``; other columns are ignored. ``th`` is xxhash64 of the
-    document's text. ``score`` is BM25 over the item's threshold (1 or more). Null, empty or short texts and items match
-    nothing; repeated documents each get their rows. An empty table on either side gives no rows.
+    document's text. ``score`` is BM25 over the item's threshold (1 or more). Items of three to nine words match where their whole word sequence stands; null and empty
+    texts, and items of fewer words, match nothing. Which pairs are found depends on the document and the item alone. Repeated documents each get their rows. An empty table on either side gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    out = None
+    out = spark.createDataFrame([], "doc_id long, th long, item_id long, score double, first_word long, question_overlap double, answer_overlap double")
     for built in _indexes(benchmark):
-        index = spark.sparkContext.broadcast(built)  # at most ITEMS items
+        index = spark.sparkContext.broadcast(built)  # of at most ITEMS items
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in tx.portions(batches):
                 found = list(matches(index.value, batch.column("text")))
-                row, place, score, word, question, answer = zip(*found) if found else ((),) * 6
+                row, items, score, word, question, answer = zip(*found) if found else ((),) * 6
                 take = pa.array(row, pa.int64())
-                items = [index.value.items[p].item_id for p in place]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(items, pa.int64()), pa.array(score, pa.float64()), pa.array(word, pa.int64()), pa.array(question, pa.float64()), pa.array(answer, pa.float64())],
                     ["doc_id", "th", "item_id", "score", "first_word", "question_overlap", "answer_overlap"],
                 )
 
         part = rows.mapInArrow(run, "doc_id long, th long, item_id long, score double, first_word long, question_overlap double, answer_overlap double")
-        out = part if out is None else out.union(part)
+        out = out.union(part)
     return out

@@ -244,4 +244,4 @@ def test_pipeline_removes_what_it_cannot_read(spark):
 
 
 def test_items_below_the_shortest_length():
-    assert decontaminate.item_of(1, "too short to tell") is None and decontaminate.item_of(1, None) is None
+    assert decontaminate.item_of(1, "too short") is None and decontaminate.item_of(1, "long enough now") is not None and decontaminate.item_of(1, None) is None

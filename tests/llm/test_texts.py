@@ -214,7 +214,7 @@ def test_wand_finds_all():
 
 def test_leaks(spark):
     rng = random.Random(4)
-    items = [(i, " ".join(f"q{rng.randrange(60)}" for _ in range(rng.randint(10, 40)))) for i in range(20)] + [(90, "short"), (91, None), (None, "a b c d e f g h i j k l"), (0, "x " * 30)]
+    items = [(i, " ".join(f"q{rng.randrange(60)}" for _ in range(rng.randint(10, 40)))) for i in range(20)] + [(90, "short one"), (91, None), (92, "s1 s2 s3"), (93, "s4 s5 s6 s7 s8 s9 s1 s2 s3"), (None, "a b c d e f g h i j k l"), (0, "x " * 30)]
     docs = []
     for i in range(60):
         words = [f"q{rng.randrange(60)}" for _ in range(rng.randint(0, 150))]
@@ -225,19 +225,24 @@ def test_leaks(spark):
             words[rng.randrange(len(words))] = "edited"
         docs.append((i, " ".join(words) + "!!!"))
     docs += [(200, None), (201, ""), (202, "A, b c d e f g h i j; k l."), (202, "A, b c d e f g h i j; k l."), (None, "a b c d e f g h i j k l")]
+    docs += [(300, "x s1 s2 s3 y"), (301, "s1 s2 x s3"), (302, "s4 s5 s6 s7 s8 s9 s1 s2 s3"), (303, "s4 s5 s6 s7 s8 s9 s1 s2"), (304, "short one")]
     got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     found = Counter((r.doc_id, r.item_id) for r in got.collect())
     parsed = [x for x in (decontaminate.item_of(i, t) for i, t in items) if x]
-    span = 3 * max(x.n_words for x in parsed)
     want = Counter()
     for doc, value in docs:
         hashes = text.words(*text.texts(pa.array([value])), gaps=text.MARKS)[0]
         for x in parsed:
-            shares = [decontaminate.verify(x, hashes[a : a + span]) for a in range(0, max(1, len(hashes)), span // 2)]
+            shares = [decontaminate.verify(x, hashes[a : a + x.span]) for a in range(0, max(1, len(hashes)), x.span // 2)]
             if any(q >= decontaminate.SHARE and s >= decontaminate.SHARE for q, s in shares):
                 want[doc, x.item_id] += 1
     assert found == want and found[202, None] == 2
     assert all((i, i % 20) in found for i in range(3, 60, 6))
+    assert [found[300, 92], found[301, 92], found[302, 92], found[302, 93], found[303, 93], found[304, 90]] == [1, 0, 1, 1, 0, 0]
+    # an unrelated long item changes nothing
+    more = [*items, (500, " ".join(f"other{k}" for k in range(2000)))]
+    again = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(more, "item_id long, text string"))
+    assert Counter((r.doc_id, r.item_id) for r in again.collect()) == found
 
 
 def test_leaks_empty(spark):
