@@ -120,9 +120,7 @@ def calibration_groups(records: DataFrame) -> DataFrame:
     return records.select("split_group").distinct()
 
 
-def calibration_report(fit: DataFrame, records: DataFrame, model_sha256: str) -> DataFrame:
-    """The fit bound to its model: what ``read_temperatures`` expects."""
-    groups = records.agg(F.count_distinct("split_group").alias("n")).first()["n"]
-    return fit.withColumns(
-        {"model_sha256": F.lit(model_sha256), "calibration_groups": F.lit(groups)}
-    )
+def write_calibration(fit: DataFrame, records: DataFrame, model_sha256: str, path: str) -> None:
+    """The fit bound to its model, and beside it the split groups it used: what ``read_temperatures`` and ``independence`` expect."""
+    calibration_groups(records).write.mode("overwrite").parquet(f"{path}/groups")
+    fit.withColumn("model_sha256", F.lit(model_sha256)).write.mode("overwrite").parquet(f"{path}/temperatures")

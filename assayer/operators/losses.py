@@ -154,3 +154,20 @@ def zero_global(readouts: Column) -> Column:
     k = F.size(readouts) - 1
     zero = F.transform(F.element_at(readouts, -1), lambda v: v * 0.0)
     return F.concat(F.slice(readouts, 1, k), F.array(zero))
+
+
+def global_ablation(rows: DataFrame, full: str, without: str, target: str, weight: str | None = None) -> DataFrame:
+    """One row: weighted mean loss of the logits, of those without the global readout, and how many questions the global readout helps. ``target`` is the
+    index of the right outcome."""
+
+    def nll(logits: str) -> Column:
+        z = F.col(logits)
+        top = F.array_max(z)
+        return top + F.log(F.aggregate(z, F.lit(0.0), lambda s, x: s + F.exp(x - top))) - F.get(z, F.col(target).cast("int"))
+
+    w = F.col(weight) if weight else F.lit(1.0)
+    both = rows.select(w.alias("w"), nll(full).alias("nll"), nll(without).alias("zero_g_nll"))
+    return both.agg(
+        F.count(F.lit(1)).alias("questions"), (F.sum(F.col("w") * F.col("nll")) / F.sum("w")).alias("nll"),
+        (F.sum(F.col("w") * F.col("zero_g_nll")) / F.sum("w")).alias("zero_g_nll"), F.count_if(F.col("nll") < F.col("zero_g_nll")).alias("helped"),
+    )

@@ -9,11 +9,14 @@ from assayer.operators import answers as A
 from assayer.operators import benchmark as B
 from assayer.operators import overlap as O
 from assayer.operators import calibration as C
+from assayer.operators import leakage as K
 from assayer.operators import losses as L
 from assayer.operators.metrics import with_target_vectors
 from assayer.plans import fixtures as X
 from assayer.plans.metric_queries import _SCORE5, _noul_rows, _rounded
 from assayer.plans.sql import CHOICE10, fold, r6, softmax
+from assayer.session import fresh_path
+from assayer.sources.packed import read_temperatures
 
 TEMPERATURES = [("choice:10", 0.7), ("choice", 1.5), ("score", 2.0), ("noul", 0.8)]
 
@@ -242,6 +245,32 @@ def head_scoring(spark, folder):
     )
 
 
+def global_ablation(spark, folder):
+    """Loss with and without the global readout; the class modulo three is the right outcome."""
+    w, c, g = _head()
+    rows = X.table(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("id"), _rows_of_dims(4, 16).alias("readouts"), (F.col("label") % 3).alias("target"))
+    logits = rows.select("target", L.head_logits(F.col("readouts"), w, c, g).alias("full"), L.head_logits(L.zero_global(F.col("readouts")), w, c, g).alias("none"))
+    return _rounded(L.global_ablation(logits, "full", "none", "target"), "nll", "zero_g_nll")
+
+
+def calibration_file(spark, folder):
+    """A fit written for its model with the groups it used, read back for that model: usable temperatures, groups, and evaluation groups that the fit has seen."""
+    path = fresh_path(spark, "calibration")
+    rows = _informed(spark, folder)
+    records = rows.select((F.col("id") % 50).cast("string").alias("split_group"))
+    C.write_calibration(C.fit_temperatures(with_target_vectors(rows), width=10), records, "m1", path)
+    temperatures = read_temperatures(spark, f"{path}/temperatures", "m1")
+    bad = A.temperature_violations(temperatures)
+    groups = spark.read.parquet(f"{path}/groups")
+    asked = spark.range(40, 60).select(F.lit("split_group").alias("key_kind"), F.col("id").cast("string").alias("key"))
+    none = asked.limit(0).select(F.lit("").alias("split"), F.lit("").alias("path"), "key_kind", "key")
+    sources = none.unionByName(groups.select(F.lit("calibration").alias("split"), F.lit("temperatures").alias("path"), F.lit("split_group").alias("key_kind"), F.col("split_group").alias("key")))
+    seen = K.source_overlap(asked, sources, "test")
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return count(temperatures, "temperatures").crossJoin(count(bad, "unusable")).crossJoin(count(groups, "groups")).crossJoin(count(seen, "seen"))  # single rows
+
+
 def selected_view(spark, folder):
     docs = X.table(spark, folder, "documents").select(F.col("doc_id").alias("id"))
     views = docs.withColumn(
@@ -284,7 +313,7 @@ QUERIES = {
         answers_choice, answers_score, answers_noul, temperature_lookup, rotation_variants,
         rotation_average, usage_tokens, state_reuse, benchmark_metrics, benchmark_answers, text_overlap_filter, macro_f1_pooled,
         latency_median, view_consistency, record_loss_paired, batch_loss, readout_alignment,
-        head_scoring, selected_view, temperature_fit, temperature_fit_by_count,
+        head_scoring, global_ablation, calibration_file, selected_view, temperature_fit, temperature_fit_by_count,
     )
 }
 
@@ -437,6 +466,18 @@ z AS (SELECT a.id, a.r, sum(a.c * b.g) / 16.0 AS inter FROM ch a JOIN ch b ON a.
 SELECT z.id, {r6('max(CASE WHEN z.r = 0 THEN lin + inter END)')} AS z0, {r6('max(CASE WHEN z.r = 1 THEN lin + inter END)')} AS z1,
   {r6('max(CASE WHEN z.r = 2 THEN lin + inter END)')} AS z2, {r6('max(CASE WHEN z.r = 0 THEN lin END)')} AS without_global
 FROM z JOIN wh ON z.id = wh.id AND z.r = wh.r GROUP BY z.id""",
+    "global_ablation": f"""WITH {_rows_sql('h', 4, 16)},
+wh AS (SELECT id, r, sum(v * ((j * 7) % 5 - 2) / 5.0) AS lin FROM h GROUP BY id, r),
+ch AS (SELECT id, h.r, q, sum(v * ((q * 3 + j) % 7 - 3) / 7.0) AS c, sum(v * ((q * 5 + j) % 6 - 2) / 6.0) AS g
+  FROM h CROSS JOIN range(0, 8) t(q) GROUP BY id, h.r, q),
+z AS (SELECT a.id, a.r, sum(a.c * b.g) / 16.0 AS inter FROM ch a JOIN ch b ON a.id = b.id AND a.q = b.q AND b.r = 3
+  WHERE a.r < 3 GROUP BY a.id, a.r),
+n AS (SELECT z.id, ln(sum(exp(lin + inter))) - sum(CASE WHEN z.r = label % 3 THEN lin + inter END) AS f_nll,
+  ln(sum(exp(lin))) - sum(CASE WHEN z.r = label % 3 THEN lin END) AS z_nll
+  FROM z JOIN wh ON z.id = wh.id AND z.r = wh.r JOIN embeddings e ON e.vec_id = z.id GROUP BY z.id)
+SELECT count(*) AS questions, {r6('avg(f_nll)')} AS nll, {r6('avg(z_nll)')} AS zero_g_nll, count(*) FILTER (WHERE f_nll < z_nll) AS helped FROM n""",
+    "calibration_file": """WITH g AS (SELECT DISTINCT CAST(vec_id % 50 AS VARCHAR) AS k FROM embeddings)
+SELECT 1 AS temperatures, 0 AS unusable, (SELECT count(*) FROM g) AS groups, (SELECT count(*) FROM g JOIN range(40, 60) r(i) ON k = CAST(i AS VARCHAR)) AS seen""",
     "selected_view": "SELECT doc_id AS id, 'v1' AS view_id, 1 AS view_index FROM documents WHERE doc_id % 3 > 0",
     "temperature_fit": f"""WITH {_INFORMED}, {_FIT_CHOICE},
 n AS (SELECT f.id, ln(sum(exp(z))) - sum(t * z) AS b, ln(sum(exp(z * lo))) - lo * sum(t * z) AS a

@@ -290,6 +290,30 @@ def request_admission(spark, folder):
     return out.select("event_id", F.coalesce("admission", F.lit("ok")).alias("admission"))
 
 
+def adapter_native(spark, folder):
+    """Rows that hold whole requests and targets, with weights of records and questions; a reviewed hook turns the order of the options, and bad weights are refused."""
+    request = F.concat(F.lit('{"state":'), F.col("props"), F.lit(',"questions":{"kind":{"type":"choice","criteria":{"click":null,"error":null,"purchase":null,"signup":null,"view":null}}}}'))
+    rows = X.table(spark, folder, "events").select(
+        F.col("event_id").alias("id"), request.alias("request"), F.concat(F.lit('{"kind":{"kind":"class","value":"'), F.col("event_type"), F.lit('"}}')).alias("targets"),
+        (F.col("event_id") % 5).cast("double").alias("weight"),
+        F.create_map(F.lit("kind"), F.when(F.col("event_id") % 7 == 0, -1.0).otherwise(2.0)).alias("question_weights"),
+        F.col("user_id").cast("string").alias("split_group"))
+
+    def turned(records):
+        """The options in reverse order, in keys and descriptions alike."""
+        def one(q):
+            for name in ("criteria_keys", "descriptions", "description_kinds", "keys"):
+                q = q.withField(name, F.reverse(q[name]))
+            return q
+
+        return records.withColumn("request", F.col("request").withField("questions", F.transform(F.col("request.questions"), one)))
+
+    out = A.normalize(rows, {"adapter": "native"}, "native", hook=turned)
+    q = F.get("request.questions", F.lit(0))
+    rules = F.array_join(F.array_sort(F.array_distinct(F.transform("violations", lambda v: v["rule"]))), ",")
+    return out.select("id", F.array_join(q["keys"], "|").alias("keys"), "weight", F.get("question_weights", F.lit(0))["weight"].alias("question_weight"), rules.alias("rules"))
+
+
 def _with_views(spark, folder):
     """Records with three views each; which rule a view breaks depends on the vector id."""
     rows = X.table(spark, folder, "embeddings").select(
@@ -348,7 +372,7 @@ QUERIES = {
         adapter_classification, adapter_binary, adapter_bernoulli, adapter_ordinal, adapter_pair,
         adapter_instruction, adapter_chat_label, adapter_dynamic_choice, adapter_distribution,
         adapter_allowed_set, multilabel_complete, multilabel_partial, label_map_typed,
-        record_digest_ids, view_from_state, strict_json, record_rules, quarantine_counts,
+        record_digest_ids, view_from_state, adapter_native, strict_json, record_rules, quarantine_counts,
         parsed_questions, model_visible, request_admission, view_audit, validation_report,
         nested_requests, dataset_names,
     )
@@ -401,6 +425,9 @@ FROM labels CROSS JOIN (VALUES ('quality'), ('toxic')) v(qid) WHERE qid = 'quali
     "record_digest_ids": """WITH d AS (SELECT CAST(to_json(text) AS VARCHAR) AS j, lang FROM documents)
 SELECT 'lang:' || substr(sha256('{"lang":"' || lang || '","text":' || j || '}'), 1, 20) AS id,
   'lang:' || substr(sha256(j), 1, 20) AS split_group, true AS split_group_inferred, lang AS value FROM d""",
+    "adapter_native": """SELECT CAST(event_id AS VARCHAR) AS id, 'view|signup|purchase|error|click' AS keys, CAST(event_id % 5 AS DOUBLE) AS weight,
+  CASE WHEN event_id % 7 = 0 THEN -1.0 ELSE 2.0 END AS question_weight,
+  concat_ws(',', CASE WHEN event_id % 7 = 0 THEN 'question_weight' END, CASE WHEN event_id % 5 = 0 THEN 'weight' END) AS rules FROM events""",
     "view_from_state": """SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 1 END AS accepted,
   CASE WHEN doc_id % 4 = 0 THEN 'verified' ELSE '' END AS reasons FROM documents""",
     "strict_json": """SELECT event_id, CASE WHEN event_id % 16 IN (1, 2, 4) THEN 0 ELSE 1 END AS strict,
