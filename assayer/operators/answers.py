@@ -146,23 +146,19 @@ def rotation_variants(questions: DataFrame, *, names: str | None = None) -> Data
 def rotation_average(variants: DataFrame, keys: list[str] = ("id", "qid")) -> DataFrame:
     """Mean probability per option over all rotations, in the order of the unrotated question.
 
-    At most 255 rotations meet in one group, so the per-question collection is bounded; sums are
-    combined map-side first.
+    Each variant is turned back inside its row, so a question of K options sends K rows. At most 255 of them, with at most 255 numbers each, meet in one group.
     """
-    pairs = variants.select(
-        *keys, "type", "rotation", F.col("keys").alias("__order"),
-        F.posexplode(F.arrays_zip("keys", "p")).alias("pos", "kp"),
+    r, k = F.col("rotation"), F.size("p")
+    back = F.concat(F.slice("p", k - r + 1, r), F.slice("p", F.lit(1), k - r))
+    turned = variants.select(*keys, "type", "rotation", F.col("keys").alias("__order"), F.when(r > 0, back).otherwise(F.col("p")).alias("__p"))
+    met = turned.groupBy(*keys, "type").agg(
+        F.min_by("__order", F.when(F.col("rotation") == 0, F.lit(0))).alias("keys"), F.collect_list("__p").alias("__all")
     )
-    first = F.min(F.when(F.col("rotation") == 0, F.col("pos")))
-    means = pairs.groupBy(*keys, "type", F.col("kp.keys").alias("key")).agg(
-        F.avg("kp.p").alias("p"), first.alias("pos")
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "key", "p")))
-    return (
-        means.groupBy(*keys, "type")
-        .agg(ordered.alias("o"))
-        .select(*keys, "type", F.col("o.key").alias("keys"), F.col("o.p").alias("p"))
+    sums = F.aggregate(
+        "__all", F.transform("keys", lambda _: F.lit(0.0)), lambda s, p: F.zip_with(s, p, lambda a, b: a + b),
+        lambda s: F.transform(s, lambda x: x / F.size("__all")),
     )
+    return met.select(*keys, "type", "keys", sums.alias("p"))
 
 
 def usage(tokens: DataFrame, key: str = "id") -> DataFrame:
