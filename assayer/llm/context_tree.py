@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayer.llm import text as tx
-from assayer.llm.shared import stored
+from assayer.llm.shared import discard, stored
 
 DEPTH = 6  # at most 7: a context and its byte are packed into 64 bits
 CUT = 3  # context bytes of the upper levels, more where over GROUP_GRAMS distinct contexts end in the same bytes
@@ -217,8 +217,8 @@ def _down(depth: int, cut: int):
     return lambda batches: tx.tidy(run(batches))
 
 
-def probabilities(found: DataFrame, depth: int) -> DataFrame:
-    """``key, n, value``: log10 probability of each byte in context, for ``found`` with ``key`` and training count ``n``.
+def probabilities(found: DataFrame, depth: int, made: list[str]) -> DataFrame:
+    """``key, n, value``: log10 probability of each byte in context, for ``found`` with ``key`` and training count ``n``. ``made`` collects what is written on the way.
 
     Nodes of the upper levels are numbered by context (newest byte lowest), then eight bits for the place in the byte's binary decomposition.
     """
@@ -228,17 +228,17 @@ def probabilities(found: DataFrame, depth: int) -> DataFrame:
             break
     tasks = max(1, -(-(total or 0) // TASK_GRAMS))
     nodes = found.repartition(tasks, _ending(cut)).mapInArrow(_up(depth, cut), "node long, n0 long, n1 long, below double")
-    levels = [stored(_level(nodes, cut == depth), f"level-{cut}")]
+    levels = [stored(_level(nodes, cut == depth), f"level-{cut}", made)]
     for d in range(cut - 1, -1, -1):
         parent = F.expr(f"node & {(1 << 8 * (d + 1)) - 1}L").alias("node")
         up = levels[0].groupBy(parent).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("pw").alias("below"))
-        levels.insert(0, stored(_level(up, False), f"level-{d}"))
+        levels.insert(0, stored(_level(up, False), f"level-{d}", made))
     mixed = levels[0].select("node", (F.col("w") * F.col("kt")).alias("sum"), (1 - F.col("w")).alias("rest"))
     for d in range(1, cut + 1):
         above = mixed.select(F.col("node").alias("parent"), "sum", "rest")
         down = levels[d].withColumn("parent", F.expr(f"node & {(1 << 8 * d) - 1}L")).join(above, "parent")
         mixed = down.select("node", (F.col("sum") + F.col("rest") * F.col("w") * F.col("kt")).alias("sum"), (F.col("rest") * (1 - F.col("w"))).alias("rest"))
-        mixed = stored(mixed, f"mixed-{d}")
+        mixed = stored(mixed, f"mixed-{d}", made)
     # A node has its context where a key has it, and goes to the task of its keys.
     none = F.lit(0.0)
     rows = found.select("key", "n", none.alias("sum"), none.alias("rest")).union(mixed.select("node", F.lit(-1).cast("long"), "sum", "rest"))
@@ -273,7 +273,9 @@ def score(docs: DataFrame, train: Column, keep: list[str], *, depth: int = DEPTH
     n_train, distinct = int(total[0]), int(total[1])
     words = words.select("key", "n", F.log10(F.col("n") + 1).alias("value"))
     found = table.where(F.col("kind") == GRAM).select("key", "n")
-    bytes_ = stored(probabilities(found, depth), "bytes")
+    made: list[str] = []
+    bytes_ = stored(probabilities(found, depth, made), "bytes")
+    discard(spark, made)
     sent = []
     for part in (words, bytes_):
         got, whole = _most(part)
@@ -330,15 +332,22 @@ def score(docs: DataFrame, train: Column, keep: list[str], *, depth: int = DEPTH
         + [number(c, T.LongType) for c in ("key", "many", "tokens", "known")] + [number(c, T.DoubleType) for c in ("words", "bytes")] + [number("n_bytes", T.LongType)]
     )
     passed = stored(rows.mapInArrow(run, kind), "scored")
+    number_of = F.xxhash64("id.doc_id", "id.th")
     whole = passed.where("kind < 0")
-    rest = passed.where("kind >= 0").groupBy("id", "kind", "key").agg(F.max("many").alias("many"))  # repeated rows have the same
+    # texts go by a short number where no two share one, and need no grouping where no row repeats
+    facts = whole.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_distinct(number_of).alias("numbers")).first()
+    name = number_of if facts.ids == facts.numbers else F.col("id")
+    whole = whole.withColumn("ref", name)
+    rest = passed.where("kind >= 0").select(name.alias("ref"), "kind", "key", "many")
+    if facts.n > facts.ids:
+        rest = rest.groupBy("ref", "kind", "key").agg(F.max("many").alias("many"))  # repeated rows have the same
     values = words.select(F.lit(WORD).alias("kind"), "key", "value", F.lit(1).alias("one")).union(bytes_.select(F.lit(GRAM), "key", "value", F.lit(0)))
-    added = rest.join(values, ["kind", "key"], "left").groupBy("id").agg(
+    added = rest.join(values, ["kind", "key"], "left").groupBy("ref").agg(
         F.sum(F.col("many") * F.coalesce("one", F.lit(0))).alias("more_known"),
         F.sum(F.when(F.col("kind") == WORD, F.col("many") * F.coalesce("value", F.lit(0.0)))).alias("more_words"),
         F.sum(F.when(F.col("kind") == GRAM, F.col("many") * F.coalesce("value", F.lit(0.0)))).alias("more_bytes"),
     )
-    joined = whole.join(added.withColumnRenamed("id", "other"), F.col("id").eqNullSafe(F.col("other")), "left")
+    joined = whole.join(added, "ref", "left")
     plus = lambda c: F.coalesce(c, F.lit(0))
     value = F.col("bytes") + plus("more_bytes")
     return joined.select(

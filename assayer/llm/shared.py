@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.session import fresh_path
@@ -11,13 +11,23 @@ from assayer.session import fresh_path
 BROADCAST_ROWS = 500_000
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The table, written once to the shared folder. Later reads survive a lost executor."""
+def stored(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
+    """The table, written once to the shared folder. Later reads survive a lost executor. ``made`` collects the paths of tables that can be discarded."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    if made is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, made: list[str]) -> None:
+    """Delete stored tables that no later table reads."""
+    for path in made:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    made.clear()
+
+
 def small(df: DataFrame) -> DataFrame:
     """A stored table of short rows, marked for broadcast only if its counted size allows it."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
