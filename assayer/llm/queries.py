@@ -11,6 +11,9 @@ from assayer.llm import bpe, chat, context_tree, decontaminate, language, lexica
 from assayer.llm.shared import remainder
 
 
+BATCH_BYTES = 4 << 20  # of an Arrow batch
+
+
 def tokenizer(name: str) -> str:
     """Where the installed public vocabulary file lies, on the driver and on every executor."""
     import public_tokenizers
@@ -21,6 +24,8 @@ def tokenizer(name: str) -> str:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     # Python workers import this package from where the driver did, whatever folder the driver was started in
     spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    # a batch of rows that Python gets is bounded by its bytes: ten thousand long texts at once would fill the workers
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
