@@ -107,7 +107,7 @@ def counts(docs: DataFrame, depth: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([WORD], pa.int32()), pa.array([END], pa.int64()), pa.array([ends], pa.int64())], ["kind", "key", "n"])
 
     rows = docs.select("train", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(lambda batches: tx.tidy(run(batches)), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def _log_gamma(x, log=F.log):
