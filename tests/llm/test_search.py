@@ -11,7 +11,6 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from cases import LOWER, documents, empty
-from harness import duck, duck_rows
 from tokenizers import Tokenizer
 
 from assayer.llm import bpe, lexical, periodic, queries, text
