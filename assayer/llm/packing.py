@@ -24,7 +24,7 @@ from assayer.llm.shared import stored
 
 CAPACITY = 1024
 END = 2
-CACHE_BYTES = 48 << 20  # of the ids of text segments that a worker keeps from task to task
+CACHE_BYTES = 24 << 20  # of the ids of text segments that a worker keeps from task to task
 RANKED_ROWS = 1_000_000  # pieces of one length that one task ranks
 
 
