@@ -51,8 +51,7 @@ def running_sums(
 ) -> DataFrame:
     """Add ``cum_<c>`` for each column over the order inside ``by``. ``df`` carries ``bucket``.
 
-    Number of bucket rows = buckets x groups, so the offsets are joined by a plain equi-join and
-    Spark chooses how.
+    Number of bucket rows = buckets x groups: with groups the offsets are merged, since they can be as many as the rows; without, Spark chooses how.
     """
     by = list(by)
     totals = df.groupBy(*by, "bucket").agg(*[F.sum(c).alias(c) for c in sums])
@@ -61,7 +60,7 @@ def running_sums(
         Window.unboundedPreceding, 0
     )
     local = df.withColumns({f"__run_{c}": F.sum(c).over(window) for c in sums})
-    joined = local.join(offsets, [*by, "bucket"])
+    joined = local.hint("merge").join(offsets, [*by, "bucket"]) if by else local.join(offsets, ["bucket"])
     out = joined.withColumns({f"cum_{c}": F.col(f"__run_{c}") + F.col(f"{c}_before") for c in sums})
     return out.drop(*[f"__run_{c}" for c in sums], *[f"{c}_before" for c in sums])
 

@@ -120,7 +120,8 @@ def lineage_sums(spark, folder):
     runs = stored(_chains(spark, folder), "chains")
     weights = runs.select("run", F.lit(1).cast("long").alias("ancestors"), (F.col("o_orderstatus") == "F").cast("long").alias("finished"))
     labels = N.interval_labels(runs)
-    return N.ancestor_sums(labels, weights, ["ancestors", "finished"]).join(labels.select("run", "cyclic"), "run").join(runs.select("run"), "run")
+    sums = N.ancestor_sums(labels, weights, ["ancestors", "finished"])
+    return sums.hint("merge").join(labels.select("run", "cyclic"), "run").join(runs.select("run").hint("merge"), "run")
 
 
 def lineage_sources(spark, folder):
@@ -128,7 +129,7 @@ def lineage_sources(spark, folder):
     runs = stored(_chains(spark, folder), "chains")
     urgent = X.table(spark, folder, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("run"))
     labels = N.interval_labels(runs)
-    asked = urgent.join(labels.where("not cyclic"), "run", "left_semi")
+    asked = urgent.hint("merge").join(labels.where("not cyclic"), "run", "left_semi")
     return N.inherited_sources(asked, labels, runs.select("run", F.col("o_orderstatus").alias("state")))
 
 

@@ -157,6 +157,20 @@ def test_lineage(spark):
         lineage.interval_labels(spark.createDataFrame([(1, 2, False), (1, 3, False)], "run long, parent long, self_contained boolean"))
 
 
+def test_inherited_sources_without_pairs(spark):
+    """Every source once per run, absent values too; the join makes no more rows than the result has, and no side is broadcast."""
+    n = 400
+    runs = spark.createDataFrame([(i, i - 1 if i % n else None, False) for i in range(2 * n)] + [(9000, 9000, False), (9001, 9000, False)], "run long, parent long, self_contained boolean")
+    labels = lineage.interval_labels(runs)
+    sources = spark.createDataFrame([(i, None if i % 3 == 0 else i % 3) for i in range(2 * n)] * 2 + [(9000, 1), (9999, 1)], "run long, kind long")
+    found = lineage.inherited_sources(spark.range(2 * n).selectExpr("id as run"), labels, sources)
+    rows = sorted(((r.run, -1 if r.kind is None else r.kind) for r in found.collect()))
+    first = lambda kind, chain: next(i for i in range(chain * n, chain * n + n) if i % 3 == kind)
+    assert rows == sorted((r, -1 if k == 0 else k) for r in range(2 * n) for k in range(3) if first(k, r // n) <= r)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "ancestor" not in plan
+
+
 # ---- overlap
 
 
