@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -14,6 +15,7 @@ from assayer.session import package_path
 
 SPANS = "array<struct<start:int,stop:int,id:int>>"
 BYTES = 256
+PORTION = 500_000  # tokens replaced at once
 
 
 def _automaton(spellings: dict[str, int]) -> ahocorasick.Automaton:
@@ -37,10 +39,13 @@ def protected_spans(text: Column, spellings: dict[str, int]) -> Column:
 
     def run(texts: pa.Array) -> pa.Array:
         automaton = _automaton(spellings)
-        rows = [sorted(_occurrences(automaton, t)) if t else [] for t in texts.to_pylist()]
-        offsets = np.append(0, np.cumsum([len(r) for r in rows])).astype(np.int32)
-        flat = np.array([s for r in rows for s in r], dtype=np.int32).reshape(-1, 3)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(flat[:, k]) for k in range(3)], ["start", "stop", "id"]))
+        size, found = [0], array("i")  # plain numbers: a batch can hold millions of spans
+        for t in texts:
+            for span in sorted(_occurrences(automaton, t.as_py() or "")):
+                found.extend(span)
+            size.append(len(found) // 3)
+        flat = np.frombuffer(found, dtype=np.int32).reshape(-1, 3)
+        return pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.StructArray.from_arrays([pa.array(flat[:, k]) for k in range(3)], ["start", "stop", "id"]))
 
     _automaton(spellings)
     package_path(SparkSession.getActiveSession())
@@ -58,8 +63,20 @@ def neutralized(tokens: Column, text: Column, spellings: dict[str, int], *, prot
     if any(byte_base <= x < byte_base + BYTES for x in every):
         raise ValueError("an id of a byte is protected")
 
+    def portions(tokens: pa.Array) -> Iterator[slice]:
+        ends = np.cumsum(tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(tokens):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PORTION, "right")))
+            yield slice(at, to)
+            at = to
+
     def run(tokens: pa.Array, texts: pa.Array) -> pa.Array:
         tokens = tokens.combine_chunks() if isinstance(tokens, pa.ChunkedArray) else tokens
+        parts = [replaced(tokens[part], texts[part]) for part in portions(tokens)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+
+    def replaced(tokens: pa.Array, texts: pa.Array) -> pa.Array:
         size = np.where(tokens.is_null().to_numpy(zero_copy_only=False), 0, tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
         inner = tokens.flatten()
         ids, start, stop = (inner.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))

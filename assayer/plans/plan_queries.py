@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -234,8 +236,13 @@ def _outside_tokens(text):
 
     def run(texts: pa.Array) -> pa.Array:
         piece = re.compile("|".join(re.escape(x) for x in sorted(GUARDED, key=len, reverse=True)) + r"|\w+|[^\w\s]")
-        rows = [[{"id": GUARDED.get(m[0], 300 + len(m[0]) % 100), "start": m.start(), "stop": m.end()} for m in piece.finditer(t or "")] for t in texts.to_pylist()]
-        return pa.array(rows, pa.list_(pa.struct([("id", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])))
+        size, flat = [0], array("i")  # plain numbers: a batch holds millions of tokens
+        for t in texts:
+            for m in piece.finditer(t.as_py() or ""):
+                flat.extend((GUARDED.get(m[0], 300 + len(m[0]) % 100), m.start(), m.end()))
+            size.append(len(flat) // 3)
+        parts = np.frombuffer(flat, dtype=np.int32).reshape(-1, 3)
+        return pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.StructArray.from_arrays([pa.array(parts[:, k]) for k in range(3)], ["id", "start", "stop"]))
 
     return F.arrow_udf(run, "array<struct<id:int,start:int,stop:int>>")(text)
 

@@ -3,12 +3,15 @@
 import json
 import random
 import threading
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from assayer.operators import protect, records, representation
+from assayer.plans import plan_queries
 from assayer.sources import canonical, packed, versions
 
 GOOD = {
@@ -144,3 +147,21 @@ def test_wide_rank(spark):
     few = representation.wide_rank(rows, width=3, rounds=10)
     assert few["effective_rank_low"] < exact < few["effective_rank_high"]
     assert representation.wide_rank(rows.limit(0))["count"] == 0
+
+
+def test_tokens_of_a_large_batch_stay_small(monkeypatch):
+    """Tokenizing, searching and replacing a batch take no Python object per token."""
+    taken = []
+    monkeypatch.setattr(protect.F, "arrow_udf", lambda run, kind: lambda *columns: taken.append(run))
+    monkeypatch.setattr(protect, "package_path", lambda spark: None)
+    monkeypatch.setattr(protect, "PORTION", 1000, raising=False)
+    plan_queries._outside_tokens(None), protect.protected_spans(None, plan_queries.GUARDED), protect.neutralized(None, None, plan_queries.GUARDED)
+    texts = pa.array(["a b " * 5000 + "<unused0>"] * 10 + [None, ""])
+    tracemalloc.start()
+    tokens = taken[0](texts)
+    spans, ids = taken[1](texts), taken[2](tokens, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(x) for x in ids[:10]] == [10_009] * 10 and [len(x) for x in ids[10:]] == [0, 0]
+    assert spans[0].as_py() == [{"start": 20_000, "stop": 20_009, "id": 50_000}]
+    assert peak < 100 * 100_000
