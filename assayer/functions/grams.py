@@ -8,9 +8,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from assayer.functions.tape import text_bytes
+from assayer.functions.tape import text_bytes, text_ends
 
-PORTION = 1 << 20  # bytes of text hashed at once
+PORTION = 1 << 18  # bytes of text hashed at once
 U64 = np.uint64
 GAP = np.zeros(256, dtype=bool)
 GAP[[0x20, *range(0x09, 0x0E)]] = True
@@ -52,7 +52,7 @@ def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def hashed(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Portions of a column: its first row, the bytes, begin and end of every word, and row and hash of every ``n`` words in a row (indexed by first word)."""
-    off_all = text_bytes(column)[1]
+    off_all = text_ends(column)
     at = 0
     while at < len(column):
         to = min(len(column), max(at + 1, int(np.searchsorted(off_all, off_all[at] + PORTION, "right")) - 1))

@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -140,3 +141,17 @@ def test_any_depth(spark):
     assert [got[i].s.strict for i in range(1, 6)] == [True, False, False, False, True]
     assert got[5].n[0].name.count("/") == 2999 and got[5].n[0].value == 1.5
     assert rows.limit(0).select(T.scanned(F.col("t"), T.Shape({"*": None})).alias("s"), T.numeric_leaves(F.col("t"))).count() == 0
+
+
+def test_scan_memory_follows_the_portion():
+    """A batch of many texts is scanned in portions: the arrays beside the result stay small, and the portions change nothing."""
+    texts = pa.array(['{"a":[%d,{"b":"x y"},null],"c":{"d":1.5e3}}' % i for i in range(60_000)])
+    shape = T.Shape({"*": None})
+    T.scan_column(texts.slice(0, 10), shape)
+    tracemalloc.start()
+    whole = T.scan_column(texts, shape)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+    assert whole.slice(31_000, 50).to_pylist() == T.scan_column(texts.slice(31_000, 50), shape).to_pylist()
+    assert list(T.text_ends(pa.array(["ab", None, "", "é"]).slice(1))) == [0, 0, 0, 2]
