@@ -8,19 +8,17 @@ from pyspark.sql import functions as F
 from assayer.constants import ALLOWED_SET, BERNOULLI, BOOLEAN, CHOICE, CLASS, DISTRIBUTION, SCORE
 
 # Tables whose queries compute much per row.
-SPREAD = ("lineitem", "orders", "events", "documents", "embeddings", "customer")
+SPREAD = ("lineitem", "orders", "events", "documents", "embeddings", "customer", "part")
+ROWS_PER_TASK = 50_000
 DIGITS = [str(i) for i in range(10)]
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A driver table. A file of a single row group arrives as one split; then the rows are spread
-    over the cores before any arithmetic. A table with enough splits is left alone."""
+    """A driver table. How its files split says little: a row group is read by one task, and a compressed row is a few bytes. So tables whose queries compute much per
+    row are spread over the cores before any arithmetic, at most ROWS_PER_TASK rows to a task, by the number of rows in the footers."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-df.count() // ROWS_PER_TASK))) if name in SPREAD else df
 
 
 def names(values: list[str]) -> Column:

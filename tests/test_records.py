@@ -13,6 +13,7 @@ from assayer.operators import adapters as A
 from assayer.operators import leakage as K
 from assayer.operators import records as R
 from assayer.operators import validate as V
+from assayer.plans import fixtures
 from assayer.sources import packed as P
 from assayer.sources import rows as S
 
@@ -242,3 +243,12 @@ def test_manifests_reports_and_temperatures(spark, tmp_path):
         S.finite_report(report.withColumn("temperature", F.lit(float("nan")))).collect()
     with pytest.raises(ValueError, match="empty dataset"):
         S.require_rows(report.limit(0), "none")
+
+
+def test_tables_are_spread_by_rows(spark, monkeypatch):
+    """A small file of many rows becomes as many tasks as its rows need, whatever its splits."""
+    monkeypatch.setattr(fixtures, "ROWS_PER_TASK", 10, raising=False)
+    for name in ("events", "part"):
+        rows = fixtures.table(spark, "/root/testdata/sf0.001", name)
+        n = rows.count()
+        assert rows.rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, -(-n // 10)) > spark.sparkContext.defaultParallelism
