@@ -195,8 +195,22 @@ def inherited_sources(asked: DataFrame, labels: DataFrame, sources: DataFrame) -
     return _under(asked, labels, highest).select("run", "source.*")
 
 
-def incomplete_runs(labels: DataFrame, sources: DataFrame, split: str) -> DataFrame:
-    """(run, cyclic): runs whose history holds no source of ``split``, and those whose history loops."""
+def _held_in_loops(labels: DataFrame, runs: DataFrame, held: DataFrame) -> DataFrame:
+    """(run, n): how many of the ``held`` runs the history of each cyclic run holds, as 0 or more than 0. Every round looks twice as far up."""
+    cyclic = labels.where("cyclic").select("run")
+    up = parents(runs).hint("merge").join(cyclic, "run").select("run", F.col("parent").alias("far"))
+    up = stored(up.hint("merge").join(held, "run", "left").select("run", "far", F.coalesce("n", F.lit(0)).cast("long").alias("n")), "loops")
+    reach, limit = 1, up.count()
+    while reach <= limit:
+        above = up.select(F.col("run").alias("far"), F.col("far").alias("next"), F.col("n").alias("more"))
+        up = stored(up.hint("merge").join(above, "far").select("run", F.col("next").alias("far"), F.greatest("n", "more").alias("n")), "loops")
+        reach *= 2
+    return up.select("run", "n")
+
+
+def incomplete_runs(labels: DataFrame, runs: DataFrame, sources: DataFrame, split: str) -> DataFrame:
+    """(run, cyclic, sourced): runs whose history holds no source of ``split``, and those whose history loops, with whether it holds one all the same."""
     held = sources.where(F.col("split") == split).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
-    sums = ancestor_sums(labels, held, ["n"])
-    return labels.select("run", "cyclic").hint("merge").join(sums, "run").where(F.col("cyclic") | (F.col("n") == 0)).select("run", "cyclic")
+    sums = ancestor_sums(labels, held, ["n"]).where("n is not null").unionByName(_held_in_loops(labels, runs, held))
+    found = labels.select("run", "cyclic").hint("merge").join(sums, "run")
+    return found.where(F.col("cyclic") | (F.col("n") == 0)).select("run", "cyclic", (F.col("n") > 0).alias("sourced"))

@@ -100,10 +100,10 @@ def ancestor_closure(spark, folder):
 
 
 def inherited_sources(spark, folder):
-    """Runs without training data in their history, and runs whose history is a loop."""
-    runs = _runs(spark, folder)
+    """Runs without training data in their history, and runs whose history is a loop, which may hold some."""
+    runs = stored(_runs(spark, folder), "runs")
     sources = runs.select("run", F.when(F.col("run") % 4 == 0, "train").otherwise("dev").alias("split"))
-    return N.incomplete_runs(N.interval_labels(runs), sources, "train")
+    return N.incomplete_runs(N.interval_labels(runs), runs, sources, "train")
 
 
 CHAIN = 2000
@@ -469,8 +469,9 @@ SELECT m.key_kind, m.key, m.split, o.split AS prior_split FROM m JOIN (SELECT DI
     "course_merge": """SELECT o_orderstatus AS split, md5(CAST(o_custkey AS VARCHAR)) AS sha256, max(o_orderkey) AS ord,
   arg_max(o_orderpriority, o_orderkey) AS path FROM orders GROUP BY 1, 2""",
     "ancestor_closure": f"WITH RECURSIVE {_RUNS} SELECT f.run, ancestor, depth, cyclic FROM f JOIN g ON f.run = g.run",
-    "inherited_sources": f"""WITH RECURSIVE {_RUNS} SELECT run, g.cyclic FROM f JOIN g USING (run) GROUP BY run, g.cyclic
-HAVING g.cyclic OR sum(CASE WHEN ancestor % 4 = 0 AND ancestor IN (SELECT run FROM r) THEN 1 ELSE 0 END) = 0""",
+    "inherited_sources": f"""WITH RECURSIVE {_RUNS},
+h AS (SELECT run, g.cyclic, sum(CASE WHEN ancestor % 4 = 0 AND ancestor IN (SELECT run FROM r) THEN 1 ELSE 0 END) > 0 AS sourced FROM f JOIN g USING (run) GROUP BY run, g.cyclic)
+SELECT run, cyclic, sourced FROM h WHERE cyclic OR NOT sourced""",
     "lineage_sums": f"""WITH {_CHAINS} SELECT run, CASE WHEN NOT cyclic THEN count(*) OVER w END AS ancestors,
   CASE WHEN NOT cyclic THEN CAST(count(*) FILTER (WHERE state = 'F') OVER w AS BIGINT) END AS finished, cyclic FROM chains WINDOW w AS (PARTITION BY chain ORDER BY run)""",
     "lineage_sources": f"""WITH {_CHAINS}, seen AS (SELECT chain, state, min(run) AS first FROM chains GROUP BY 1, 2)

@@ -171,6 +171,16 @@ def test_inherited_sources_without_pairs(spark):
     assert "Broadcast" not in plan and "ancestor" not in plan
 
 
+def test_loops_keep_their_sources(spark):
+    """A run whose history loops is told apart by whether the loop, or a run on the way to it, holds a source."""
+    rows = [(i, (i + 1) % 6, False) for i in range(6)] + [(10 + i, 10 + (i + 1) % 5, False) for i in range(5)] + [(20, 12, False), (21, 20, False), (22, 3, False), (30, None, False), (31, 30, False), (32, 31, True)]
+    runs = spark.createDataFrame(rows, "run long, parent long, self_contained boolean")
+    sources = spark.createDataFrame([(4, "train"), (20, "train"), (31, "train"), (13, "dev")], "run long, split string")
+    found = {(r.run, r.cyclic, r.sourced) for r in lineage.incomplete_runs(lineage.interval_labels(runs), runs, sources, "train").collect()}
+    loops = {(r, True, True) for r in (*range(6), 20, 21, 22)} | {(r, True, False) for r in range(10, 15)}
+    assert found == loops | {(30, False, False), (32, False, False)}
+
+
 # ---- overlap
 
 
