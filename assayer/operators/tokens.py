@@ -137,13 +137,18 @@ def question_layout(questions: DataFrame, layout: Layout, q: str = "question") -
     ).drop("__head", "__texts", "__break", "__options", "__chunks")
 
 
-def compile_distinct(questions: DataFrame, layout: Layout, text: str, row_key: Column, q: str = "question", **options) -> DataFrame:
-    """Lay out each distinct question once and join it back. A template that holds a large share of
+def per_distinct(questions: DataFrame, work: Callable[[DataFrame], DataFrame], text: str, row_key: Column, q: str = "question", **options) -> DataFrame:
+    """Do ``work`` once on each distinct question (rows with ``question_sha``, ``n`` and the question) and join its columns back. A template that holds a large share of
     the rows is split over several tasks on the way back."""
     keyed = questions.withColumn("question_sha", F.sha2(F.col(text), 256))
     distinct = keyed.groupBy("question_sha").agg(F.any_value(q).alias(q), F.count(F.lit(1)).alias("n"))
-    laid = question_layout(distinct, layout, q).drop(q)
-    return fan_out_join(keyed, laid, "question_sha", row_key, **options).drop("question_sha", "n")
+    counts = keyed.groupBy("question_sha").agg(F.count(F.lit(1)).alias("n"))
+    return fan_out_join(keyed, work(distinct).drop(q), "question_sha", row_key, counts=counts, **options).drop("question_sha", "n")
+
+
+def compile_distinct(questions: DataFrame, layout: Layout, text: str, row_key: Column, q: str = "question", **options) -> DataFrame:
+    """Lay out each distinct question once and join it back."""
+    return per_distinct(questions, lambda distinct: question_layout(distinct, layout, q), text, row_key, q, **options)
 
 
 def preface(instructions: Column) -> Column:

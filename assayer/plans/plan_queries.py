@@ -203,19 +203,19 @@ def stored_layout_rules(spark, folder):
 
 
 def option_reordering(spark, folder):
-    """Stored chunks in reverse order equal a fresh layout of the reversed question."""
-    rows = _questions(spark, folder)
-    laid = T.question_layout(rows, LAYOUT)
+    """Stored chunks in reverse order equal a fresh layout of the reversed question, for each distinct question, joined back to all rows that use it."""
+    rows = _questions(spark, folder).withColumn("text", F.to_json("question"))
     back = F.reverse("question.keys")
-    moved = laid.withColumn("moved", T.reorder_options(
-        F.col("tokens"), F.col("question.keys"), F.col("candidate_starts"), F.col("candidate_positions"),
-        F.col("decision_position"), back))
-    fresh = T.question_layout(
-        rows.select("id", F.col("question").withField("keys", back).alias("question")), LAYOUT
-    ).select("id", F.col("tokens").alias("t2"), F.col("candidate_positions").alias("p2"))
-    both = moved.join(fresh, "id")
-    return both.select("id", (F.col("moved.tokens") == F.col("t2")).cast("int").alias("same_tokens"),
-                       (F.col("moved.candidate_positions") == F.col("p2")).cast("int").alias("same_positions"))
+
+    def compared(distinct):
+        moved = T.question_layout(distinct, LAYOUT).withColumn("moved", T.reorder_options(
+            F.col("tokens"), F.col("question.keys"), F.col("candidate_starts"), F.col("candidate_positions"), F.col("decision_position"), back))
+        turned = distinct.select("question_sha", F.col("question").withField("keys", back).alias("question"))
+        fresh = T.question_layout(turned, LAYOUT).select("question_sha", F.col("tokens").alias("t2"), F.col("candidate_positions").alias("p2"))
+        return moved.join(fresh, "question_sha").select("question_sha", "n", "question", (F.col("moved.tokens") == F.col("t2")).cast("int").alias("same_tokens"),
+                                                        (F.col("moved.candidate_positions") == F.col("p2")).cast("int").alias("same_positions"))
+
+    return T.per_distinct(rows, compared, "text", F.col("id")).select("id", "same_tokens", "same_positions")
 
 
 def neutralized_markers(spark, folder):

@@ -12,6 +12,7 @@ from assayer.functions import json as J
 from assayer.operators import adapters as A
 from assayer.operators import leakage as K
 from assayer.operators import records as R
+from assayer.operators import tokens as T
 from assayer.operators import validate as V
 from assayer.plans import fixtures
 from assayer.sources import packed as P
@@ -252,3 +253,10 @@ def test_tables_are_spread_by_rows(spark, monkeypatch):
         rows = fixtures.table(spark, "/root/testdata/sf0.001", name)
         n = rows.count()
         assert rows.rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, -(-n // 10)) > spark.sparkContext.defaultParallelism
+
+
+def test_distinct_questions_are_worked_on_once(spark):
+    """``per_distinct`` hands each distinct question to the work once and gives its result to every row."""
+    rows = spark.range(90).selectExpr("id", "named_struct('k', id % 3) as question", "string(id % 3) as text")
+    out = T.per_distinct(rows, lambda d: d.select("question_sha", "n", "question", F.col("n").alias("rows"), F.col("question.k").alias("k")), "text", F.col("id"), rows_per_task=10)
+    assert {(r.id, r.k, r.rows) for r in out.collect()} == {(i, i % 3, 30) for i in range(90)}
