@@ -8,6 +8,7 @@ import random
 import re
 import statistics
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,3 +200,20 @@ def test_overlap(spark, monkeypatch):
         assert sorted((str(r.item), r.grams, r.seen) for r in overlap.text_overlap(rows, docs, "item", n=3).collect()) == want
     plan = overlap.text_overlap(rows, docs, "item", n=3)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
+
+
+def test_arcs_followed_inside_a_task():
+    """A chain of neighbouring runs needs no join: one task follows its arcs to the end of the walk, out of the task, or around a loop."""
+    def arcs(rows):
+        columns = list(zip(*rows))
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["run", "up", "next_run", "next_up", "dist"])
+
+    down = [(i, False, i + 1, False, 1) if i < 5 else (5, False, 5, True, 1) for i in range(6)]
+    up = [(i, True, i - 1, True, 1) if i else (0, True, 0, True, 0) for i in range(6)]
+    rows = [r for b in lineage._followed(iter([arcs(down + up)])) for r in b.to_pylist()]
+    assert {(r["run"], r["up"]): (r["next_run"], r["dist"], r["state"]) for r in rows} == {
+        **{(i, False): (0, 11 - i, lineage.DONE) for i in range(6)}, **{(i, True): (0, i, lineage.DONE) for i in range(6)}}
+    rows = [r for b in lineage._followed(iter([arcs([(1, False, 2, False, 1), (2, False, 9, True, 1), (3, False, 3, False, 1)])])) for r in b.to_pylist()]
+    assert [(r["next_run"], r["dist"], r["state"]) for r in rows[:2]] == [(9, 2, lineage.OPEN), (9, 1, lineage.OPEN)] and rows[2]["state"] == lineage.LOOP
+    assert list(lineage._followed(iter([]))) == []
