@@ -6,19 +6,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.constants import ALLOWED_SET, BERNOULLI, BOOLEAN, CHOICE, CLASS, DISTRIBUTION, SCORE
+from assayer.session import compilable, spread
 
 # Tables whose queries compute much per row.
 SPREAD = ("lineitem", "orders", "events", "documents", "embeddings", "customer", "part")
 ROWS_PER_TASK = 50_000
+ROWS_OF = {"lineitem": 500_000}  # a few numbers a row: what a task takes to begin would be most of its time
 DIGITS = [str(i) for i in range(10)]
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A driver table. How its files split says little: a row group is read by one task, and a compressed row is a few bytes. So tables whose queries compute much per
-    row are spread over the cores before any arithmetic, at most ROWS_PER_TASK rows to a task, by the number of rows in the footers."""
+    row are spread over the cores before any arithmetic, at most ROWS_PER_TASK rows to a task (or ROWS_OF), by the number of rows in the footers."""
+    compilable(spark)
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-df.count() // ROWS_PER_TASK))) if name in SPREAD else df
+    return spread(df, ROWS_OF.get(name, ROWS_PER_TASK)) if name in SPREAD else df
 
 
 def names(values: list[str]) -> Column:

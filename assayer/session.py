@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+HUGE_METHOD = "spark.sql.codegen.hugeMethodLimit"
+
 
 def local_session(cores: int | str = 8, name: str = "assayer", **conf: str) -> SparkSession:
     """A session for tests and the bench. On a cluster the caller brings its own."""
@@ -63,5 +65,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def compilable(spark: SparkSession) -> None:
+    """The JVM never compiles a method of over 8,000 bytes unless told to, and runs it many times slower. Stages whose generated method is longer go operator by
+    operator, in short methods. A limit that the session has set stays."""
+    if spark.conf.get(HUGE_METHOD) == "65535":
+        spark.conf.set(HUGE_METHOD, "8000")
+
+
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """A table dealt over all cores, about ``rows`` rows to a task, whatever its files are."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)))
+
+
 def task_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
