@@ -6,8 +6,8 @@ the tree's weights. The weights follow from the counts of the training texts alo
 after another: sums per parent going up, mixtures going down. What lies below a context of the last such level is worked out in
 one task. A text's score is the sum of its bytes' log probabilities.
 
-Tables of counts and probabilities cover all texts and grow with them. The entries that occur most are sent to every task, up to ``SENT`` of each
-kind; what they do not cover is joined exactly.
+Tables of counts and probabilities cover all texts and grow with them. The entries that occur most are sent to every task, up to ``SENT`` of both
+kinds, words first and at most half of them; what they do not cover is joined exactly.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ DEPTH = 6  # at most 7: a context and its byte are packed into 64 bits
 CUT = 3  # context bytes of the upper levels, more where over GROUP_GRAMS distinct contexts end in the same bytes
 GROUP_GRAMS = 1 << 20
 TASK_GRAMS = 1 << 18  # distinct contexts with their byte that a task is dealt on average
-SENT = 1 << 20  # entries of the word table, and of the byte table, that tasks look up themselves; about 40 bytes each
+SENT = 1 << 21  # entries of the word table and of the byte table that tasks look up themselves; about 40 bytes each
+LISTED = 1 << 16  # entries of one list of a text's words or bytes that are left to be joined
 HELD = 1 << 19  # distinct keys that a task sums up before it hands them on
 WORD, GRAM = 0, 1
 END = -1  # key of the end token among the words
@@ -107,7 +108,7 @@ def counts(docs: DataFrame, depth: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([WORD], pa.int32()), pa.array([END], pa.int64()), pa.array([ends], pa.int64())], ["kind", "key", "n"])
 
     rows = docs.select("train", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda batches: tx.tidy(run(batches)), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(tx.tidied(run), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def _log_gamma(x, log=F.log):
@@ -191,7 +192,7 @@ def _up(depth: int, cut: int):
             for nodes, n0, n1, below, _ in subtrees(keys.view(tx.U64), n, depth, cut):
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(n0), pa.array(n1), pa.array(below)], ["node", "n0", "n1", "below"])
 
-    return lambda batches: tx.tidy(run(batches))
+    return tx.tidied(run)
 
 
 def _down(depth: int, cut: int):
@@ -214,7 +215,7 @@ def _down(depth: int, cut: int):
             b = a + tx.BLOCK
             yield pa.RecordBatch.from_arrays([pa.array(keys[a:b]), pa.array(n[a:b]), pa.array(value[a:b])], ["key", "n", "value"])
 
-    return lambda batches: tx.tidy(run(batches))
+    return tx.tidied(run)
 
 
 def probabilities(found: DataFrame, depth: int, made: list[str]) -> DataFrame:
@@ -245,19 +246,30 @@ def probabilities(found: DataFrame, depth: int, made: list[str]) -> DataFrame:
     return rows.repartition(tasks, _ending(cut)).mapInArrow(_down(depth, cut), "key long, n long, value double")
 
 
-def _most(table: DataFrame) -> tuple[pa.Table, bool]:
-    """The entries with the largest ``n``, at most ``SENT`` of them, and whether that is all. Cut between eighths of powers of two."""
+def _most(table: DataFrame, limit: int) -> tuple[pa.Table, bool]:
+    """The entries with the largest ``n``, at most ``limit`` of them, and whether that is all. Cut between eighths of powers of two."""
     band = F.floor(8 * F.log2(F.col("n") + 1))
     sizes = sorted(((r[0], r[1]) for r in table.groupBy(band.alias("band")).count().collect()), reverse=True)
     total, least = 0, None
     for b, n in sizes:
-        if total + n > SENT:
+        if total + n > limit:
             break
         total, least = total + n, b
     got = table.where(band >= least) if least is not None else table.limit(0)
     return got.toArrow(), total == sum(n for _, n in sizes)
 
 
+def _lists(rest: list[tuple[np.ndarray, np.ndarray, int]]) -> Iterator[tuple]:
+    """Row, kind and size of every list of at most LISTED distinct keys, all keys, and how often their row holds each."""
+    for rows, keys, kind in rest:
+        if len(rows):
+            code, names = pd.factorize(keys)
+            pair, many = np.unique(rows.astype(np.int64) * len(names) + code, return_counts=True)
+            row, at = pair // len(names), np.arange(len(pair))
+            begin = np.flatnonzero((at - np.searchsorted(row, row)) % LISTED == 0)
+            yield row[begin], np.full(len(begin), kind), np.diff(np.append(begin, len(pair))), names[pair % len(names)].view(np.int64), many
+
+
 def score(docs: DataFrame, train: Column, keep: list[str], *, depth: int = DEPTH) -> DataFrame:
     """Columns ``keep`` of ``docs`` and ``n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte``.
 
@@ -277,8 +289,8 @@ def score(docs: DataFrame, train: Column, keep: list[str], *, depth: int = DEPTH
     bytes_ = stored(probabilities(found, depth, made), "bytes")
     discard(spark, made)
     sent = []
-    for part in (words, bytes_):
-        got, whole = _most(part)
+    for part, limit in ((words, lambda: SENT // 2), (bytes_, lambda: SENT - len(sent[0][0]))):
+        got, whole = _most(part, limit())
         sent.append((got.column("key").to_numpy().view(np.uint64), got.column("value").to_numpy(), whole))
     shared = spark.sparkContext.broadcast(sent)
     base = math.log10(n_train + distinct + 1)
@@ -309,18 +321,18 @@ def score(docs: DataFrame, train: Column, keep: list[str], *, depth: int = DEPTH
                 bytes_sum += np.bincount(own, weights=byte_value[at], minlength=n)
                 if not all_bytes:
                     rest.append((own[at < 0], packed[at < 0], GRAM))
-            row, key, kind, many = [np.arange(n)], [np.zeros(n, np.int64)], [np.full(n, -1)], [np.zeros(n, np.int64)]
-            for r, k, what in rest:
-                if len(r):
-                    code, names = pd.factorize(k)
-                    pair, m = np.unique(r.astype(np.int64) * len(names) + code, return_counts=True)
-                    row.append(pair // len(names)), key.append(names[pair % len(names)].view(np.int64)), many.append(m)
-                    kind.append(np.full(len(m), what))
-            row, key, kind, many = (np.concatenate(x) for x in (row, key, kind, many))
+            row, kind, size = [np.arange(n)], [np.full(n, -1)], [np.zeros(n, np.int64)]
+            key, many = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for parts in _lists(rest):
+                for column, part in zip((row, kind, size, key, many), parts):
+                    column.append(part)
+            row, kind, size, key, many = (np.concatenate(x) for x in (row, kind, size, key, many))
             first = kind < 0
+            places = pa.array(np.append(0, np.cumsum(size)).astype(np.int32))
+            listed = lambda x: pa.ListArray.from_arrays(places, pa.array(x))
             pick = lambda x: pa.array(np.where(first, x[row], 0))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row").take(pa.array(row)), batch.column("id").take(pa.array(row)), pa.array(kind.astype(np.int32)), pa.array(key), pa.array(many), pick(tokens.astype(np.int64)), pick(known.astype(np.int64)), pick(words_sum), pick(bytes_sum), pick(np.diff(off).astype(np.int64))],
+                [batch.column("row").take(pa.array(row)), batch.column("id").take(pa.array(row)), pa.array(kind.astype(np.int32)), listed(key), listed(many), pick(tokens.astype(np.int64)), pick(known.astype(np.int64)), pick(words_sum), pick(bytes_sum), pick(np.diff(off).astype(np.int64))],
                 ["row", "id", "kind", "key", "many", "tokens", "known", "words", "bytes", "n_bytes"],
             )
 
@@ -329,29 +341,33 @@ def score(docs: DataFrame, train: Column, keep: list[str], *, depth: int = DEPTH
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), identity, F.col("text").cast("string").alias("text"))
     kind = T.StructType(
         [rows.schema["row"], rows.schema["id"], number("kind", T.IntegerType)]
-        + [number(c, T.LongType) for c in ("key", "many", "tokens", "known")] + [number(c, T.DoubleType) for c in ("words", "bytes")] + [number("n_bytes", T.LongType)]
+        + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("key", "many")] + [number(c, T.LongType) for c in ("tokens", "known")] + [number(c, T.DoubleType) for c in ("words", "bytes")] + [number("n_bytes", T.LongType)]
     )
-    passed = stored(rows.mapInArrow(run, kind), "scored")
+    passed = stored(rows.mapInArrow(tx.tidied(run), kind), "scored")
     number_of = F.xxhash64("id.doc_id", "id.th")
     whole = passed.where("kind < 0")
     # texts go by a short number where no two share one, and need no grouping where no row repeats
     facts = whole.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_distinct(number_of).alias("numbers")).first()
     name = number_of if facts.ids == facts.numbers else F.col("id")
     whole = whole.withColumn("ref", name)
-    rest = passed.where("kind >= 0").select(name.alias("ref"), "kind", "key", "many")
-    if facts.n > facts.ids:
-        rest = rest.groupBy("ref", "kind", "key").agg(F.max("many").alias("many"))  # repeated rows have the same
-    values = words.select(F.lit(WORD).alias("kind"), "key", "value", F.lit(1).alias("one")).union(bytes_.select(F.lit(GRAM), "key", "value", F.lit(0)))
-    added = rest.join(values, ["kind", "key"], "left").groupBy("ref").agg(
-        F.sum(F.col("many") * F.coalesce("one", F.lit(0))).alias("more_known"),
-        F.sum(F.when(F.col("kind") == WORD, F.col("many") * F.coalesce("value", F.lit(0.0)))).alias("more_words"),
-        F.sum(F.when(F.col("kind") == GRAM, F.col("many") * F.coalesce("value", F.lit(0.0)))).alias("more_bytes"),
-    )
-    joined = whole.join(added, "ref", "left")
+    joined = whole
+    for what, part, (*_, all_sent) in ((WORD, words, sent[0]), (GRAM, bytes_, sent[1])):
+        names = [f"{c}_{what}" for c in ("held", "sum")]
+        if all_sent:
+            joined = joined.withColumns({names[0]: F.lit(0).cast("long"), names[1]: F.lit(0.0)})
+            continue
+        rest = passed.where(F.col("kind") == what).select(name.alias("ref"), F.inline(F.arrays_zip("key", "many")))
+        if facts.n > facts.ids:
+            rest = rest.groupBy("ref", "key").agg(F.max("many").alias("many"))  # repeated rows have the same
+        # a task's share of the table is far smaller than that of the texts, which need no sorting then
+        found = rest.join(part.select("key", "value").hint("shuffle_hash"), "key", "left")
+        held = F.sum(F.when(F.col("value").isNotNull(), F.col("many")))
+        added = found.groupBy("ref").agg(held.alias(names[0]), F.sum(F.col("many") * F.coalesce("value", F.lit(0.0))).alias(names[1]))
+        joined = joined.join(added, "ref", "left")
     plus = lambda c: F.coalesce(c, F.lit(0))
-    value = F.col("bytes") + plus("more_bytes")
+    value = F.col("bytes") + plus(f"sum_{GRAM}")
     return joined.select(
-        *[F.col(f"row.`{c}`").alias(c) for c in keep], F.col("tokens").alias("n_tokens"), (F.col("known") + plus("more_known")).alias("n_known"),
-        F.lit(n_train).cast("long").alias("train_tokens"), (F.col("words") + plus("more_words") - F.col("tokens") * base).alias("base_score"),
+        *[F.col(f"row.`{c}`").alias(c) for c in keep], F.col("tokens").alias("n_tokens"), (F.col("known") + plus(f"held_{WORD}")).alias("n_known"),
+        F.lit(n_train).cast("long").alias("train_tokens"), (F.col("words") + plus(f"sum_{WORD}") - F.col("tokens") * base).alias("base_score"),
         value.alias("score"), "n_bytes", F.when(F.col("n_bytes") > 0, -value / F.col("n_bytes") / math.log10(2)).alias("bits_per_byte"),
     )

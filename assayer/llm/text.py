@@ -80,6 +80,11 @@ def tidy(batches: Iterator) -> Iterator:
         release()
 
 
+def tidied(run):
+    """``run`` over a task's batches, with ``release`` after its last work arrays are gone."""
+    return lambda batches: tidy(run(batches))
+
+
 def portions(batches: Iterator[pa.RecordBatch], column=lambda batch: batch.column("text"), limit: int = 2 * BLOCK) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``limit`` bytes of text, or one row, so that a task's work arrays stay small."""
     for batch in batches:

@@ -533,3 +533,29 @@ def test_context_tree_empty(spark):
     none = context_tree.score(documents(spark, 10), F.lit(False), ["doc_id"]).collect()
     assert all(r.train_tokens == 0 and abs(r.base_score) < 1e-12 for r in none)
     assert all(abs(r.bits_per_byte - 8) < 1e-9 for r in none if r.n_bytes)
+
+
+def test_context_tree_lists(monkeypatch):
+    """What is left of a text goes in lists of bounded length, each distinct key once with its number."""
+    monkeypatch.setattr(context_tree, "LISTED", 3)
+    rows, keys = np.array([2, 0, 2, 2, 2, 2, 0]), np.array([9, 7, 8, 9, 5, 4, 7], dtype=np.uint64)
+    [(row, kind, size, key, many)] = context_tree._lists([(rows, keys, 1), (rows[:0], keys[:0], 0)])
+    assert row.tolist() == [0, 2, 2] and kind.tolist() == [1, 1, 1] and size.tolist() == [1, 3, 1]
+    assert sorted(zip(np.repeat(row, size).tolist(), key.tolist(), many.tolist())) == [(0, 7, 2), (2, 4, 1), (2, 5, 1), (2, 8, 1), (2, 9, 2)]
+
+
+def test_memory_is_given_back_after_the_last_work_arrays(monkeypatch):
+    """The work arrays of a task's last batch are gone when the memory is given back."""
+    class Arrays:
+        def __del__(self):
+            events.append("freed")
+
+    events = []
+    monkeypatch.setattr(text, "release", lambda: events.append("release"))
+
+    def run(batches):
+        for _ in batches:
+            work = Arrays()  # noqa: F841
+            yield 1
+
+    assert sum(text.tidied(run)(iter([0]))) == 1 and events == ["freed", "release"]
