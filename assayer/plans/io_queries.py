@@ -14,7 +14,7 @@ from assayer.plans import fixtures as X
 from assayer.plans.metric_queries import _rounded
 from assayer.plans.record_queries import DAMAGE, _record_texts
 from assayer.plans.sql import r6
-from assayer.session import fresh_path, stored
+from assayer.session import fresh_path, spread, stored
 from assayer.sources import canonical as C
 from assayer.sources import packed as K
 from assayer.sources import rows as S
@@ -86,7 +86,8 @@ def packed_roundtrip(spark, folder):
     path = fresh_path(spark, "packed")
     records = _image_records(spark, folder)
     K.write_packed(K.pack(records).filter(F.col("problem").isNull()), path)
-    back = K.unpack(K.packed_problem(K.read_packed(spark, path)).filter(F.col("problem").isNull()))
+    sent = spread(K.read_packed(spark, path), X.ROWS_PER_TASK)  # a file per data set would be read by as many tasks
+    back = K.unpack(K.packed_problem(sent).filter(F.col("problem").isNull()))
     both = back.join(records.select("id", R.record_json(records).alias("sent")), "id")
     return both.select("id", F.size("images").alias("images"), (F.col("value") == F.col("sent")).cast("int").alias("same"), "dataset")
 

@@ -200,9 +200,18 @@ def read_packed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(columns).parquet(path)
 
 
+def _with_members(df: DataFrame) -> DataFrame:
+    """Add ``__members``: those of the record's text, read once and used several times."""
+    return df.withColumn("__members", J.entries(F.col("record_json")))
+
+
 def references(df: DataFrame) -> DataFrame:
     """Add ``refs``: image references of the base request and all views, in order."""
-    members = J.entries(F.col("record_json"))
+    return _references(_with_members(df)).drop("__members")
+
+
+def _references(df: DataFrame) -> DataFrame:
+    members = F.col("__members")
     request = J.entries(J.member(members, "request"))
     views = F.transform(
         J.items(J.member(members, "views")), lambda v: J.member(J.entries(v["json"]), "request")
@@ -222,8 +231,8 @@ def references(df: DataFrame) -> DataFrame:
 
 def packed_problem(df: DataFrame) -> DataFrame:
     """Add ``problem``: identity, image index, image bytes or reference count; NULL when sound."""
-    df = references(df)
-    members = J.entries(F.col("record_json"))
+    df = _references(_with_members(df))
+    members = F.col("__members")
     text = lambda n: F.get(F.filter(members, lambda e: e["key"] == n), F.lit(0))["text"]
     n = F.size("images")
     used = F.array_sort(F.transform("refs", lambda r: r["image_index"]))
@@ -237,7 +246,7 @@ def packed_problem(df: DataFrame) -> DataFrame:
         )
         .when(used != every, "references")
     )
-    return df.withColumn("problem", evaluated_once(problem))
+    return df.withColumn("problem", evaluated_once(problem)).drop("__members")
 
 
 def _url(reference: Column) -> Column:
@@ -264,7 +273,7 @@ def _restored_request(text: Column) -> Column:
 def unpack(df: DataFrame) -> DataFrame:
     """Add ``value``: the record text with its data URLs back in place. Only sound rows should be
     passed."""
-    members = J.entries(F.col("record_json"))
+    members = F.col("__members")
 
     def with_request(item: Column) -> Column:
         m = J.entries(item["json"])
@@ -279,7 +288,7 @@ def unpack(df: DataFrame) -> DataFrame:
         .when(e["key"] == "views", J.array_of(F.transform(J.items(e["json"]), with_request)))
         .otherwise(e["json"]),
     )
-    return df.withColumn("value", J.object_from(F.transform(members, lambda e: e["key"]), values))
+    return _with_members(df).withColumn("value", J.object_from(F.transform(members, lambda e: e["key"]), values)).drop("__members")
 
 
 def publish_tokens(
