@@ -236,7 +236,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         index = spark.sparkContext.broadcast(built)  # of at most ITEMS items
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in tx.portions(batches):
+            for batch in tx.portions(batches, limit=tx.SHORT):
                 found = list(matches(index.value, batch.column("text")))
                 row, items, score, word, question, answer = zip(*found) if found else ((),) * 6
                 take = pa.array(row, pa.int64())
@@ -245,6 +245,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     ["doc_id", "th", "item_id", "score", "first_word", "question_overlap", "answer_overlap"],
                 )
 
-        part = rows.mapInArrow(run, "doc_id long, th long, item_id long, score double, first_word long, question_overlap double, answer_overlap double")
+        part = rows.mapInArrow(tx.tidied(run), "doc_id long, th long, item_id long, score double, first_word long, question_overlap double, answer_overlap double")
         out = out.union(part)
     return out

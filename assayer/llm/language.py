@@ -253,4 +253,4 @@ def identify(docs: DataFrame, net: Network | None, keep: list[str] | None = None
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), letter, *(["text"] if at is None else []))
     kind = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(run, kind).select(*[F.col(f"row.`{c}`").alias(c) for c in names], "lang_pred", "score")
+    return rows.mapInArrow(tx.tidied(run), kind).select(*[F.col(f"row.`{c}`").alias(c) for c in names], "lang_pred", "score")

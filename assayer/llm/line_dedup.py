@@ -145,8 +145,8 @@ def _spans(rows: DataFrame, spans: Callable[[list[str]], Iterator[tuple]], wante
             yield pa.RecordBatch.from_arrays(columns, names)
 
     if wanted is None:
-        return rows.mapInArrow(run, "key long")
-    return rows.mapInArrow(run, f"key long, doc_id long, th long, first_line long, n_lines long, body {kind}").join(small(wanted), "key", "left_semi")
+        return rows.mapInArrow(tx.tidied(run), "key long")
+    return rows.mapInArrow(tx.tidied(run), f"key long, doc_id long, th long, first_line long, n_lines long, body {kind}").join(small(wanted), "key", "left_semi")
 
 
 def _repeated_keys(rows: DataFrame, spans: Callable[..., DataFrame], size: int) -> DataFrame:

@@ -82,7 +82,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     null for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tx.portions(batches):
+        for batch in tx.portions(batches, limit=tx.SHORT):
             data, off = tx.texts(batch.column("text"))
             count, node, sig = [], [], []
             for found in _sets(data, off, size):
@@ -95,7 +95,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, th long, n_shingles long, node long, sig binary")
+    return rows.mapInArrow(tx.tidied(run), "doc_id long, th long, n_shingles long, node long, sig binary")
 
 
 def _symbols(column: pa.Array) -> np.ndarray:
@@ -109,7 +109,7 @@ def keys(nodes: DataFrame, percent: int) -> DataFrame:
     factor, absent = tx._random(INDEXED, 17) | tx.U64(1), tx._random(INDEXED, 19)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tx.tidy(batches):
+        for batch in batches:
             if not len(batch):
                 continue
             symbols = _symbols(batch.column("sig"))[:, :INDEXED].astype(np.uint64) + tx.U64(1)
@@ -122,7 +122,7 @@ def keys(nodes: DataFrame, percent: int) -> DataFrame:
             node = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), INDEXED)
             yield pa.RecordBatch.from_arrays([pa.array(out.ravel().view(np.int64)), pa.array(node)], ["key", "node"])
 
-    return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
+    return nodes.select("node", "sig").mapInArrow(tx.tidied(run), "key long, node long")
 
 
 def _unlike(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def _apart(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     near, far = allowed(INDEXED, percent), allowed(SYMBOLS, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tx.tidy(batches):
+        for batch in batches:
             if not len(batch):
                 continue
             other = _symbols(batch.column("sig_a")) != _symbols(batch.column("sig_b"))
@@ -163,7 +163,7 @@ def _apart(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return both.where(fits).select("a", "b", "weight", "sig_a", "sig_b").mapInArrow(run, "a long, b long, weight long, apart int")
+    return both.where(fits).select("a", "b", "weight", "sig_a", "sig_b").mapInArrow(tx.tidied(run), "a long, b long, weight long, apart int")
 
 
 def _texts(used: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, perc
     """The stored pairs ``a, b`` whose full shingle sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tx.portions(batches, lambda b: b.column("text_b")):
+        for batch in tx.portions(batches, lambda b: b.column("text_b"), limit=tx.SHORT):
             left, right = (_sets(*tx.texts(batch.column(c)), size) for c in ("text_a", "text_b"))
             keep = []
             for x, y in zip(left, right):
@@ -197,7 +197,7 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, perc
     )
     spread = pairs.join(hubs, "a").select("a", "b", F.pmod(F.xxhash64("b"), parts).alias("part"))
     joined = spread.join(text.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(hub_text, ["a", "part"])
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(tx.tidied(run), "a long, b long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -252,7 +252,7 @@ def _close(rows: DataFrame, percent: int) -> DataFrame:
     near, far = allowed(INDEXED, percent), allowed(SYMBOLS, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tx.tidy(_runs(batches, "block")):
+        for part in _runs(batches, "block"):
             node, root, size = (part.column(c).to_numpy() for c in ("node", "root", "n_shingles"))
             sig, side = _symbols(part.column("sig")), part.column("side").to_numpy()
             groups, found = _Groups(len(node)), []
@@ -267,7 +267,7 @@ def _close(rows: DataFrame, percent: int) -> DataFrame:
                     found += [(int(node[i]), int(node[j])) for j in other.tolist() if groups.join(i, j)]
             yield _edges(found)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tx.tidied(run), "a long, b long")
 
 
 def _exact(rows: DataFrame, size: int, percent: int) -> DataFrame:
@@ -277,7 +277,7 @@ def _exact(rows: DataFrame, size: int, percent: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tx.tidy(_runs(batches, "block")):
+        for part in _runs(batches, "block"):
             node, root, side = (part.column(c).to_numpy() for c in ("node", "root", "side"))
             sets = list(_sets(*tx.texts(part.column("text")), size))
             count = np.array([len(x) for x in sets])
@@ -298,7 +298,7 @@ def _exact(rows: DataFrame, size: int, percent: int) -> DataFrame:
                 found += [(int(node[i]), int(node[j])) for j in right[good].tolist() if groups.join(i, j)]
             yield _edges(found)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tx.tidied(run), "a long, b long")
 
 
 def _clusters(edges: DataFrame, roots: DataFrame) -> DataFrame:

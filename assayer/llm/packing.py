@@ -211,7 +211,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end: in
         tx.release()
 
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kind)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tx.tidied(run), kind)
 
 
 # ---------------------------------------------------------------- plan
@@ -392,4 +392,4 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end: int
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if ids else [])]
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if ids else "") + ", sequence_id long, offset long"
-    return ranked.select(*names, F.col("rank").cast("long").alias("rank")).mapInArrow(run, kind)
+    return ranked.select(*names, F.col("rank").cast("long").alias("rank")).mapInArrow(tx.tidied(run), kind)

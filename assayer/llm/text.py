@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK = 1 << 20
+SHORT = 1 << 18  # bytes of a portion where many tasks of a long job share an executor
 U64 = np.uint64
 
 
@@ -144,7 +145,7 @@ def words(data: np.ndarray, off: np.ndarray, places: bool = False, gaps: np.ndar
         after[cuts[cuts > 0] - 1] = True
         b = np.flatnonzero(before & ~gap)
         e = np.flatnonzero(after & ~gap) + 1
-        size = BLOCK if n <= BLOCK else 1 << (n - 1).bit_length()
+        size = SHORT if n <= SHORT else BLOCK if n <= BLOCK else 1 << (n - 1).bit_length()
         power, inverse = _powers(size)
         sums = np.zeros(n + 1, dtype=U64)
         np.cumsum(_BYTE[part] * power[:n], out=sums[1:])

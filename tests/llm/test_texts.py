@@ -559,3 +559,17 @@ def test_memory_is_given_back_after_the_last_work_arrays(monkeypatch):
             yield 1
 
     assert sum(text.tidied(run)(iter([0]))) == 1 and events == ["freed", "release"]
+
+
+def test_work_arrays_of_short_portions_are_small():
+    """Fingerprints are the same in short portions, and their work arrays a fraction of those of a whole block."""
+    import tracemalloc
+
+    part = "Some words, and more of them. " * 4000
+    whole = text.words(*text.texts(pa.array([part * 8])))[0]
+    text._powers.cache_clear()
+    tracemalloc.start()
+    short = text.words(*text.texts(pa.array([part])))[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (whole.reshape(8, -1) == short).all() and peak < 14 << 20  # 24 MB and more with the tables of a block
