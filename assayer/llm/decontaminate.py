@@ -231,7 +231,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    out = spark.createDataFrame([], "doc_id long, th long, item_id long, score double, first_word long, question_overlap double, answer_overlap double")
+    kind = "doc_id long, th long, item_id long, score double, first_word long, question_overlap double, answer_overlap double"
+    # an empty list of rows would start Python workers of another kind on every executor, which stay
+    out = rows.where(F.lit(False)).select(*[F.lit(None).cast(t).alias(c) for c, t in (x.split(" ") for x in kind.split(", "))])
     for built in _indexes(benchmark):
         index = spark.sparkContext.broadcast(built)  # of at most ITEMS items
 
@@ -245,6 +247,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     ["doc_id", "th", "item_id", "score", "first_word", "question_overlap", "answer_overlap"],
                 )
 
-        part = rows.mapInArrow(tx.tidied(run), "doc_id long, th long, item_id long, score double, first_word long, question_overlap double, answer_overlap double")
-        out = out.union(part)
+        out = out.union(rows.mapInArrow(tx.tidied(run), kind))
     return out

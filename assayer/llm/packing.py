@@ -125,7 +125,7 @@ class Segments:
 
     def _cuts(self, data, off, at: int) -> tuple[np.ndarray, int]:
         """Where segments begin from ``at`` on, and where the block of segments ends."""
-        n, limit = len(data), tx.BLOCK
+        n, limit = len(data), min(tx.SHORT, tx.BLOCK)
         while True:
             to = min(n, at + limit)
             i = np.flatnonzero((data[at:to] == 0x20) | (data[at:to] == 0x0A)) + at
@@ -148,7 +148,7 @@ class Segments:
         at = int(cuts[0])
         part = data[at:to]
         n = len(part)
-        power, inverse = tx._powers(tx.BLOCK if n <= tx.BLOCK else 1 << (n - 1).bit_length())
+        power, inverse = tx._powers(tx.SHORT if n <= tx.SHORT else 1 << (n - 1).bit_length())
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(_EXACT[part] * power[:n], out=sums[1:])
         b = cuts - at
@@ -188,7 +188,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _segments(tokenizer)
         last = np.array([end], dtype="<u4")
-        for batch in tx.portions(batches):
+        for batch in tx.portions(batches, limit=tx.SHORT):
             flat, begin = encoder.encode(*tx.texts(batch.column("text")))
             flat = flat.astype("<u4", copy=False)
             row, number, start, length, crc, lists = [], [], [], [], [], []
@@ -367,9 +367,9 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end: int
     slots = _slots(plan(histogram, capacity))
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(slots)
-    shares = F.broadcast(
-        spark.createDataFrame([(s, -(-n // RANKED_ROWS)) for s, n in histogram.items()], "length long, shares long")
-    )
+    # as an Arrow table: rows of a list would start Python workers of another kind on every executor, which stay
+    split = {"length": pa.array(histogram, pa.int64()), "shares": pa.array([-(-n // RANKED_ROWS) for n in histogram.values()], pa.int64())}
+    shares = F.broadcast(spark.createDataFrame(pa.table(split)))
     order = ["doc_id", "piece", "start", "ids_crc32"]
     own = F.pmod(F.xxhash64(*order), F.col("shares"))
     rows = cut.join(shares, "length").withColumn("share", own).drop("shares")
