@@ -10,6 +10,7 @@ bounded counts and one lookup per piece.
 from __future__ import annotations
 
 import functools
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -41,6 +42,12 @@ _NEXT &= ~_LEAD
 _ODD = _LEAD.copy()
 _ODD[:0x20] = True
 _ODD[0x7F] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # an apostrophe may belong to the letters after it
+_TWO = np.zeros(256, dtype=bool)  # second bytes of letters after 0xC3
+_TWO[[x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]] = True
+_SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 
 
 class Segments:
@@ -48,14 +55,30 @@ class Segments:
 
     The vocabulary's splitting pattern always begins a token at a single space or line feed between two characters that are
     not white space, and decides what follows from there on without looking back. So the text between two such places
-    has the same ids wherever it stands, and each distinct segment is encoded once and then remembered. Beyond CACHE_BYTES the older half of the
-    segments is forgotten. A special token's spelling inside a text is that token, as in the library.
+    has the same ids wherever it stands, and each distinct segment is encoded once and then remembered. The same holds for a punctuation mark after an
+    ASCII letter, if no special token has that mark. Beyond CACHE_BYTES the older half of the
+    segments is forgotten. A special token's spelling inside a text is that token, as in the library. A space and letters
+    are one part for the splitting pattern, so the library gets such segments without it, already in the vocabulary's alphabet of bytes.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.encoder = Tokenizer.from_file(path)
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.encoder, self.bare = Tokenizer.from_file(path), None
+        rules = json.loads(self.encoder.to_str())
+        names = [x["content"] for x in rules["added_tokens"]]
+        if rules["pre_tokenizer"] == _SPLIT and rules["normalizer"] is None and all(set(x) & set(_MARKS) for x in names):
+            self.bare = Tokenizer.from_file(path)
+            self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+            plain = [x for x in range(256) if 0x21 <= x < 0x7F or 0xA1 <= x and x != 0xAD]
+            self.alphabet = np.arange(256, dtype="<u2")
+            self.alphabet[np.setdiff1d(np.arange(256), plain)] = 0x100 + np.arange(256 - len(plain))
+            self.led = np.zeros(max(self.encoder.get_vocab().values()) + 1, dtype=bool)
+            self.led[[i for token, i in self.encoder.get_vocab().items() if token[0] == chr(self.alphabet[0x20])]] = True
+            self.alphabet[0x0A] = 0x0A  # between segments
+        special = "".join(names)
+        self.marks = np.zeros(256, dtype=bool)
+        self.marks[[ord(x) for x in _MARKS if x not in special]] = True
         self.kind = np.uint16 if self.encoder.get_vocab_size() <= 1 << 16 else np.uint32
         self.line = self.encoder.encode("\n", add_special_tokens=False).ids
         self.clear()
@@ -92,24 +115,34 @@ class Segments:
         at = np.searchsorted(self.known, keys[order])
         self.known, self.place = np.insert(self.known, at, keys[order]), np.insert(self.place, at, place[order])
 
-    def _learn(self, keys: np.ndarray, parts: list[bytes], odd: np.ndarray) -> None:
-        group, alone, found, length = np.flatnonzero(~odd), np.flatnonzero(odd), [], []
+    def _ids(self, encoder, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, dtype=np.uint32) for x in encoder.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, keys: np.ndarray, parts: list[bytes], odd: np.ndarray, word: np.ndarray) -> None:
+        order, found, length, alone = [], [], [], [np.flatnonzero(odd)]
+        group = np.flatnonzero(word)
+        if len(group):
+            joined = np.frombuffer(b"\n".join([parts[i] for i in group]), dtype=np.uint8)
+            ids = self._ids(self.bare, [self.alphabet[joined].tobytes().decode("utf-16-le")])[0]
+            first = np.flatnonzero(self.led[ids])
+            if len(first) == len(group):
+                order.append(group), found.append(ids), length.append(np.diff(np.append(first, len(ids))))
+            else:
+                word = np.zeros(len(parts), dtype=bool)
+        group = np.flatnonzero(~word & ~odd)
         if len(group):
-            joined = b"\n".join([parts[i] for i in group]).decode("utf-8", "replace")
-            ids = np.array(self.encoder.encode(joined, add_special_tokens=False).ids, dtype=np.uint32)
+            ids = self._ids(self.encoder, [b"\n".join([parts[i] for i in group]).decode("utf-8", "replace")])[0]
             line = ids == self.line[0]
             cuts = np.flatnonzero(line)
             if len(self.line) == 1 and len(cuts) == len(group) - 1:
-                found.append(ids[~line])
-                length.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
+                order.append(group), found.append(ids[~line]), length.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
             else:
-                group, alone = group[:0], np.concatenate([group, alone])
-        if len(alone):
-            texts = [parts[i].decode("utf-8", "replace") for i in alone]
-            got = [np.array(x.ids, dtype=np.uint32) for x in self.encoder.encode_batch(texts, add_special_tokens=False)]
-            found += got
-            length.append(np.array([len(x) for x in got], dtype=np.int64))
-        self._keep(keys[np.concatenate([group, alone])], np.concatenate(found), np.concatenate(length))
+                alone.append(group)
+        rest = np.concatenate(alone)
+        if len(rest):
+            got = self._ids(self.encoder, [parts[i].decode("utf-8", "replace") for i in rest])
+            order.append(rest), found.extend(got), length.append(np.array([len(x) for x in got], dtype=np.int64))
+        self._keep(keys[np.concatenate(order)], np.concatenate(found), np.concatenate(length))
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the n + 1 places where each text's ids begin."""
@@ -136,7 +169,8 @@ class Segments:
             first, last = np.searchsorted(off, at, "left"), np.searchsorted(off, to, "right")
             edges = off[first:last]
             i = i[~np.isin(i + 1, edges)]  # white space at the end of a text
-            cuts = np.sort(np.concatenate([i, i[data[i] == 0x0A] + 1, edges, [at]]))
+            marks = np.flatnonzero(self.marks[data[at + 1 : to]] & _LETTER[data[at : to - 1]]) + at + 1
+            cuts = np.sort(np.concatenate([i, i[data[i] == 0x0A] + 1, marks, edges, [at]]))
             cuts = cuts[(cuts >= at) & (cuts <= to) & (np.diff(cuts, prepend=-1) > 0)]
             if to == n:
                 return cuts[cuts < n], n
@@ -157,7 +191,8 @@ class Segments:
         code, distinct = pd.factorize(keys)
         if 20 * len(self.known) + self.flat.itemsize * int(self.begin[-1]) > CACHE_BYTES:
             self.shrink()
-        missing = np.flatnonzero(self._find(distinct) < 0)
+        place = self._find(distinct)
+        missing = np.flatnonzero(place < 0)
         if len(missing):
             where = np.zeros(len(distinct), dtype=np.int64)
             where[code[::-1]] = np.arange(len(code) - 1, -1, -1)
@@ -166,9 +201,18 @@ class Segments:
             np.cumsum(_ODD[part] | (part == 0x20), out=odd[1:])
             lead = (part[b[which]] == 0x20).astype(np.int64)
             strange = (odd[e[which]] - odd[b[which]] > lead) | (e[which] - b[which] <= lead)
+            word = (lead == 1) & ~strange & (self.bare is not None)
+            if word.any():
+                letter = _LETTER[part]
+                two = (part[:-1] == 0xC3) & _TWO[part[1:]]
+                letter[:-1] |= two
+                letter[1:] |= two
+                np.cumsum(~letter, out=odd[1:])
+                word &= (odd[e[which]] - odd[b[which]] == 1) & (part[e[which] - 1] != 0xC3)
             raw = part.tobytes()
-            self._learn(distinct[missing], [raw[x:y] for x, y in zip(b[which].tolist(), e[which].tolist())], strange)
-        place = self._find(distinct)[code]
+            self._learn(distinct[missing], [raw[x:y] for x, y in zip(b[which].tolist(), e[which].tolist())], strange, word)
+            place[missing] = self._find(distinct[missing])
+        place = place[code]
         begin = self.begin[place]
         length = self.begin[place + 1] - begin
         ends = np.cumsum(length)

@@ -357,6 +357,20 @@ def test_segments(limit, cache, monkeypatch):
     text._powers.cache_clear()
 
 
+def test_words_are_learned_without_their_marks():
+    words = ["house", "été", "über", "don't", "a×b"]
+    docs = [" ".join(w + m for w in words for m in ("", ",", ".", "...", "?!", "|x|", "'s,")), "<|endoftext|>, a<|endoftext|>b.<|x|>", "ASCII,c'll.d x\n,y", "Ã, ©. \u0301a ª."]
+    encoder = packing.Segments(tokenizer("byte_bpe_50k.json"))
+    want = [w.ids for w in plain_tokenizer().encode_batch(docs, add_special_tokens=False)]
+    for _ in range(2):
+        flat, begin = encoder.encode(*text.texts(pa.array(docs)))
+        assert [flat[a:b].tolist() for a, b in zip(begin, begin[1:])] == want
+    encoder.clear()
+    encoder.encode(*text.texts(pa.array(["a house. house, house! house"])))
+    assert len(encoder.known) == 5  # "a", " house", ".", ",", "!"
+    assert encoder.bare.encode_batch_fast(["Ġhouse\nĠhouses"])[0].ids == plain_tokenizer().encode(" house houses").ids
+
+
 def best_of(sizes, capacity):
     """Fewest sequences, by search over all assignments."""
     sizes = sorted(sizes, reverse=True)
