@@ -127,6 +127,7 @@ def keys(nodes: DataFrame, percent: int) -> DataFrame:
 
 def _unlike(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose ends lie in different groups so far."""
+    roots = small(roots)
     root = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
     both = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
     return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b")
@@ -136,10 +137,11 @@ def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     """``node, root`` after more links: only the groups that they touch are joined."""
     if roots is None:
         return stored(components(links), "roots")
+    roots = small(roots)
     known = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
     both = links.join(known("a"), "a", "left").join(known("b"), "b", "left")
     both = stored(both.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).distinct(), "group-links")
-    moved = components(both).withColumnRenamed("root", "to")
+    moved = small(stored(components(both).withColumnRenamed("root", "to"), "moved"))
     old = roots.join(moved.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
     fresh = moved.join(roots, "node", "left_anti").select("node", F.col("to").alias("root"))
     return stored(old.union(fresh), "roots")
@@ -168,7 +170,8 @@ def _apart(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def _texts(used: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """``node, text`` of the nodes in ``used``."""
-    want = stored(used.join(nodes, "node").select("node", "doc_id", "th"), "wanted")
+    used = small(stored(used, "used"))
+    want = stored(nodes.join(used, "node", "left_semi").select("node", "doc_id", "th"), "wanted")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
     rows = rows.join(small(want), rows.doc_id.eqNullSafe(want.doc_id) & (rows.th == want.th)).select("node", "text")
     return stored(rows.dropDuplicates(["node"]), "texts")
@@ -186,9 +189,9 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, perc
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
     text = _texts(used, nodes, docs)
-    hubs = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    hubs = small(stored(pairs.groupBy("a").agg(F.count("*").alias("n")), "hubs"))
     parts = F.ceil(F.col("n") / HUB_ROWS).cast("long")
     hub_text = (
         hubs.join(text.withColumnRenamed("node", "a"), "a")
@@ -308,13 +311,13 @@ def _clusters(edges: DataFrame, roots: DataFrame) -> DataFrame:
     share slices.
     """
     clusters = components(edges).select("node", F.col("root").alias("cluster"))
-    rows = stored(clusters.join(roots, "node", "left").select("node", "cluster", F.coalesce("root", "node").alias("root")), "clusters")
-    large = rows.groupBy("cluster", "root").agg(F.count("*").alias("n"))
-    rows = rows.join(large, ["cluster", "root"]).withColumn("own", F.when(F.col("n") > SLICE_ROWS, F.col("root")))
+    rows = stored(clusters.join(small(roots), "node", "left").select("node", "cluster", F.coalesce("root", "node").alias("root")), "clusters")
+    large = stored(rows.groupBy("cluster", "root").agg(F.count("*").alias("n")), "cluster-groups")
+    rows = rows.join(small(large), ["cluster", "root"]).withColumn("own", F.when(F.col("n") > SLICE_ROWS, F.col("root")))
     total = rows.groupBy("cluster", "own").agg(F.count("*").alias("m")).withColumn("slices", F.ceil(F.col("m") / SLICE_ROWS))
     total = stored(total.select(F.col("cluster"), "own", F.col("slices").cast("int").alias("slices")), "slices")
     same = rows.cluster.eqNullSafe(total.cluster) & rows.own.eqNullSafe(total.own)
-    placed = rows.join(total, same).select(
+    placed = rows.join(small(total), same).select(
         rows.cluster, rows.own, "node", "root", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int").alias("slice")
     )
     every = total.select(F.col("cluster"), F.col("own").alias("other"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other_slice"))
@@ -327,10 +330,9 @@ def _clusters(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _blocks(shared: DataFrame) -> DataFrame:
-    """Cut each key's members into slices by hash and pair the slices of large keys with each other."""
-    counts = shared.groupBy("key").agg(F.count("*").alias("members"))
+    """Cut each key's rows (``members`` of them) into slices by hash and pair the slices of large keys with each other."""
     slices = F.ceil(F.col("members") / BLOCK_ROWS).cast("int")
-    rows = shared.join(counts, "key").withColumn("slices", slices).withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
+    rows = shared.withColumn("slices", slices).withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
     inside = rows.withColumn("x", F.col("own")).withColumn("y", F.col("own")).withColumn("side", F.lit(0))
     others = (
         rows.where("slices > 1")
@@ -358,8 +360,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     keyed = keys(nodes, percent)
     common = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
     shared = stored(keyed.join(common, "key"), "members")
-    central = shared.groupBy("node").agg(F.sum("n").alias("weight"))
-    hubs = shared.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("hub"))
+    central = stored(shared.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
+    hubs = shared.join(small(central), "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("hub"))
     star = shared.join(hubs, "key").where("node <> hub.node").select(F.col("hub.node").alias("a"), F.col("node").alias("b"), "hub.weight")
     star = _apart(star.groupBy("a", "b").agg(F.max("weight").alias("weight")), nodes, percent)
     star = stored(star, "hub-candidates")
@@ -373,8 +375,9 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
         roots = _joined(roots, links)
         if links.count() < GAIN * pairs.count() or not links.head(1):
             break
-    placed = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("key")
+    placed = shared.join(small(roots), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.count("*").alias("members")).where("p <> q")
+    mixed = small(stored(mixed.select("key", "members"), "mixed-keys"))
     members = placed.join(mixed, "key").join(nodes.select("node", "n_shingles", "sig"), "node")
     blocks = _blocks(members).repartition("block").sortWithinPartitions("block")
     edges = stored(_close(blocks, percent).distinct(), "close")

@@ -47,7 +47,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps, each written to the shared folder, until nothing
     changes: logarithmically many steps in practice, and no group is gathered in one task, since each step takes a
-    minimum per node (combined before the shuffle) and one join that adaptive execution can split.
+    minimum per node (combined before the shuffle) and one join that adaptive execution can split. The minima go by broadcast if
+    the counted edges allow it. A large-star step gives at most one row per edge, so its repeated rows can stay until the next one.
     """
     edges = stored(
         links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(),
@@ -55,16 +56,17 @@ def components(links: DataFrame) -> DataFrame:
     )
     seen = _digest(edges)
     while seen[0]:
+        near = F.broadcast if 2 * seen[0] <= BROADCAST_ROWS else lambda df: df  # an edge has two nodes
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(
             edges.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = stored(
-            both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(),
+            both.where("v > u").join(near(least), "u").where("v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")),
             "large-star",
         )
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        step = large.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        step = large.join(near(least), "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         edges = stored(step.union(least.select("hi", F.col("m").alias("lo"))).distinct(), "small-star")
         now = _digest(edges)
         if now == seen:
