@@ -64,12 +64,12 @@ class Segments:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.encoder, self.bare = Tokenizer.from_file(path), None
+        self.encoder = Tokenizer.from_file(path)
+        self.pattern, self.bare = self.encoder.pre_tokenizer, None
         rules = json.loads(self.encoder.to_str())
         names = [x["content"] for x in rules["added_tokens"]]
         if rules["pre_tokenizer"] == _SPLIT and rules["normalizer"] is None and all(set(x) & set(_MARKS) for x in names):
-            self.bare = Tokenizer.from_file(path)
-            self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+            self.bare = pre_tokenizers.CharDelimiterSplit("\n")
             plain = [x for x in range(256) if 0x21 <= x < 0x7F or 0xA1 <= x and x != 0xAD]
             self.alphabet = np.arange(256, dtype="<u2")
             self.alphabet[np.setdiff1d(np.arange(256), plain)] = 0x100 + np.arange(256 - len(plain))
@@ -115,15 +115,21 @@ class Segments:
         at = np.searchsorted(self.known, keys[order])
         self.known, self.place = np.insert(self.known, at, keys[order]), np.insert(self.place, at, place[order])
 
-    def _ids(self, encoder, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, dtype=np.uint32) for x in encoder.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str], bare: bool = False) -> list[np.ndarray]:
+        if bare:
+            self.encoder.pre_tokenizer = self.bare
+        try:
+            return [np.array(x.ids, dtype=np.uint32) for x in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
+        finally:
+            if bare:
+                self.encoder.pre_tokenizer = self.pattern
 
     def _learn(self, keys: np.ndarray, parts: list[bytes], odd: np.ndarray, word: np.ndarray) -> None:
         order, found, length, alone = [], [], [], [np.flatnonzero(odd)]
         group = np.flatnonzero(word)
         if len(group):
             joined = np.frombuffer(b"\n".join([parts[i] for i in group]), dtype=np.uint8)
-            ids = self._ids(self.bare, [self.alphabet[joined].tobytes().decode("utf-16-le")])[0]
+            ids = self._ids([self.alphabet[joined].tobytes().decode("utf-16-le")], bare=True)[0]
             first = np.flatnonzero(self.led[ids])
             if len(first) == len(group):
                 order.append(group), found.append(ids), length.append(np.diff(np.append(first, len(ids))))
@@ -131,7 +137,7 @@ class Segments:
                 word = np.zeros(len(parts), dtype=bool)
         group = np.flatnonzero(~word & ~odd)
         if len(group):
-            ids = self._ids(self.encoder, [b"\n".join([parts[i] for i in group]).decode("utf-8", "replace")])[0]
+            ids = self._ids([b"\n".join([parts[i] for i in group]).decode("utf-8", "replace")])[0]
             line = ids == self.line[0]
             cuts = np.flatnonzero(line)
             if len(self.line) == 1 and len(cuts) == len(group) - 1:
@@ -140,7 +146,7 @@ class Segments:
                 alone.append(group)
         rest = np.concatenate(alone)
         if len(rest):
-            got = self._ids(self.encoder, [parts[i].decode("utf-8", "replace") for i in rest])
+            got = self._ids([parts[i].decode("utf-8", "replace") for i in rest])
             order.append(rest), found.extend(got), length.append(np.array([len(x) for x in got], dtype=np.int64))
         self._keep(keys[np.concatenate(order)], np.concatenate(found), np.concatenate(length))
 
